@@ -5,8 +5,8 @@ does not know is certainly absent); only references that pass the filter are ver
 references are first pre-aggregated per (table, key, period), so a key that holds a third of all rows is one
 row per period before anything is shuffled.
 
-Nulls: a reference with a null key or a null time is no reference; parent and delete rows with a null key or
-time are ignored.  Repeated rows change nothing but the counts.  Empty tables on either side are allowed: without
+Nulls: a reference with a null key or a null time is no reference; parent rows with a null key and delete rows
+with a null key or time are ignored; a parent row without a time proves that the key exists, but at no time.  Repeated rows change nothing but the counts.  Empty tables on either side are allowed: without
 parents every reference is `missing`.  Other columns of the inputs are never read, so clashing names do no harm.
 """
 
@@ -112,7 +112,7 @@ def orphans(refs: DataFrame, parents: DataFrame, deletes: DataFrame, always: Dat
     first_delete = deletes.groupBy("soma_joinid").agg(F.min("at").alias("first_delete"))
     first = first_load.join(first_delete, "soma_joinid", "left").select("soma_joinid", F.least("first_load", "first_delete").alias("first_event"), F.lit(True).alias("has_parent"))
     checked = per_key.where("maybe_known").join(first, "soma_joinid", "left")
-    reason = F.when(F.col("has_parent").isNull(), "missing").when(F.col("first_ref") < F.col("first_event"), "late")
+    reason = F.when(F.col("has_parent").isNull(), "missing").when(F.col("first_event").isNull() | (F.col("first_ref") < F.col("first_event")), "late")
     verified = checked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*out)
 
     # only keys that were ever deleted need every instant of their references
