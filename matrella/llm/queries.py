@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matrella.llm import neighbours, vectors
+from matrella.functions.labels import plain_integer
+from matrella.llm import clusters, neighbours, vectors
 from matrella.session import table
 
 DIMS = 50
@@ -21,5 +23,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(_vectors(spark, d), DIMS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found,)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cells in groups of mutually similar vectors, by the smallest cell of the group."""
+    return clusters.linked_groups(_vectors(spark, d), DIMS).select("cluster_key", F.col("id").alias("soma_joinid"))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each Ward cluster's size and most typical cells, next to the labels of these cells in obs."""
+    found = clusters.describe(_vectors(spark, d), DIMS)
+    obs = table(spark, d, "obs")
+    labels = obs.groupBy("soma_joinid").agg(F.max_by(plain_integer(F.col("seurat_clusters")), "loaded_at").alias("label"))
+    return found.join(labels, found.id == labels.soma_joinid, "left").select("cluster", "size", "nth", F.col("id").alias("soma_joinid"), "nearness", "label")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_clusters)}
 SQL: dict[str, str] = {}
