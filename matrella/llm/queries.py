@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrella.functions.labels import plain_integer
-from matrella.llm import clusters, neighbours, vectors
+from matrella.llm import clusters, neighbours, percentiles, vectors
 from matrella.session import table
 
 DIMS = 50
@@ -36,5 +37,56 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.join(labels, found.id == labels.soma_joinid, "left").select("cluster", "size", "nth", F.col("id").alias("soma_joinid"), "nearness", "label")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_clusters)}
-SQL: dict[str, str] = {}
+FIELDS = ("ncount_rna", "nfeature_rna", "percent.mt")
+P4_KEYS = ("experiment_id", "seurat_clusters", "field_name")
+MIN_VALUES = 50
+
+
+def _measurements(spark: SparkSession, d: str) -> DataFrame:
+    """(experiment_id, seurat_clusters, field_name, value) of the latest row of each cell, measured values only."""
+    obs = table(spark, d, "obs").where("soma_joinid is not null")
+    row = F.struct("loaded_at", "experiment_id", plain_integer(F.col("seurat_clusters")).alias("label"), *[F.col(f"`{f}`").cast("double").alias(f.replace(".", "_")) for f in FIELDS])
+    last = obs.groupBy("soma_joinid").agg(F.max(row).alias("r")).select("r.*").where("label is not null and experiment_id is not null")
+    stack = ", ".join(f"'{f}', `{f.replace('.', '_')}`" for f in FIELDS)
+    long = last.selectExpr("experiment_id", "label as seurat_clusters", f"stack({len(FIELDS)}, {stack}) as (field_name, value)")
+    return long.where("value is not null and not isnan(value) and value >= 0")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose percentile of a field is at least its limit: by sketches, the doubtful ones by exact counts."""
+    values = _measurements(spark, d)
+    limits: dict[str, list[tuple[int, float]]] = {}
+    for r in table(spark, d, "percentile_limits").where("pct is not null and limit_value is not null").collect():  # 9 rows, fixed
+        limits.setdefault(r.field_name, []).append((r.pct, r.limit_value))
+    states = percentiles.sketches(values, P4_KEYS, F.col("value"))
+    judged = percentiles.against_limits(states, lambda key: limits.get(json.loads(key)["field_name"], ()))
+    judged = judged.where(F.col("n") >= MIN_VALUES).withColumn("k", F.from_json("key", "experiment_id bigint, seurat_clusters bigint, field_name string"))
+    judged = judged.select("k.*", "n", "pct", "limit_value", "reaches")
+    doubt = judged.where("reaches is null").select(*P4_KEYS, "n", "pct", "limit_value")
+    counted = values.join(doubt, list(P4_KEYS)).groupBy(*P4_KEYS, "n", "pct").agg(F.count_if(F.col("value") < F.col("limit_value")).alias("less"))
+    sure = judged.where("reaches").select(*P4_KEYS, "pct")
+    return sure.unionAll(counted.where("less < greatest(1, (pct * n + 99) div 100)").select(*P4_KEYS, "pct"))
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median, 90th and 99th percentile of each field per experiment and label, with certain bounds of the rank."""
+    got = percentiles.percentiles(percentiles.merge(percentiles.sketches(_measurements(spark, d), P4_KEYS, F.col("value"))), (50, 90, 99))
+    return got.select(F.from_json("key", "experiment_id bigint, seurat_clusters bigint, field_name string").alias("k"), "n", "pct", "value", "low", "high").select("k.*", "n", "pct", "value", "low", "high")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters)}
+
+_VALUES = r"""
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY soma_joinid ORDER BY loaded_at DESC) AS nth FROM obs WHERE soma_joinid IS NOT NULL) WHERE nth = 1),
+labelled AS (SELECT *, CASE WHEN regexp_full_match(trim(seurat_clusters), '[+-]?[0-9]{1,18}(\.0*)?') THEN CAST(regexp_replace(trim(seurat_clusters), '\..*$', '') AS BIGINT) END AS label FROM last),
+vals AS (SELECT experiment_id, label AS seurat_clusters, 'ncount_rna' AS field_name, ncount_rna AS v FROM labelled
+  UNION ALL SELECT experiment_id, label, 'nfeature_rna', CAST(nfeature_rna AS DOUBLE) FROM labelled
+  UNION ALL SELECT experiment_id, label, 'percent.mt', "percent.mt" FROM labelled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, seurat_clusters, field_name ORDER BY v) AS nth, count(*) OVER (PARTITION BY experiment_id, seurat_clusters, field_name) AS n
+  FROM vals WHERE seurat_clusters IS NOT NULL AND experiment_id IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND v >= 0)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH {_VALUES} SELECT experiment_id, seurat_clusters, r.field_name, pct FROM ranked r JOIN percentile_limits l ON l.field_name = r.field_name
+WHERE n >= 50 AND nth = greatest(1, (pct * n + 99) // 100) AND v >= limit_value""",
+}
