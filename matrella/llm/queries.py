@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrella.functions.labels import plain_integer
-from matrella.llm import clusters, neighbours, percentiles, vectors
+from matrella.llm import clusters, neighbours, packing, percentiles, repetition, vectors
 from matrella.session import table
 
 DIMS = 50
@@ -74,7 +74,34 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.from_json("key", "experiment_id bigint, seurat_clusters bigint, field_name string").alias("k"), "n", "pct", "value", "low", "high").select("k.*", "n", "pct", "value", "low", "high")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters)}
+CAPACITY = 8192
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(packing.sized_items(table(spark, d, "documents")), CAPACITY)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that had to be split over containers."""
+    return _placed(spark, d).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers with what they hold and what room is left."""
+    return packing.containers(_placed(spark, d), CAPACITY)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which at least 0.3 of the words lie in repeated runs of six words."""
+    return repetition.judged(table(spark, d, "documents")).where("runs_fails and n_words > 0").select("doc_id").distinct()
+
+
+def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of each rule per host, with shrunk rates and verdict."""
+    return repetition.host_verdicts(repetition.shares(table(spark, d, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_containers, p9_found, p9_hosts)}
 
 _VALUES = r"""
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY soma_joinid ORDER BY loaded_at DESC) AS nth FROM obs WHERE soma_joinid IS NOT NULL) WHERE nth = 1),
@@ -87,6 +114,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, seurat_clust
 """
 
 SQL: dict[str, str] = {
+    "p7_found": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > 8192",
     "p4_found": f"""WITH {_VALUES} SELECT experiment_id, seurat_clusters, r.field_name, pct FROM ranked r JOIN percentile_limits l ON l.field_name = r.field_name
 WHERE n >= 50 AND nth = greatest(1, (pct * n + 99) // 100) AND v >= limit_value""",
 }
