@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrella.functions.labels import plain_integer
-from matrella.llm import clusters, neighbours, packing, percentiles, repetition, vectors
+from matrella.llm import clusters, leaks, neighbours, packing, percentiles, repetition, vectors
 from matrella.session import table
 
 DIMS = 50
@@ -91,6 +91,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_placed(spark, d), CAPACITY)
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items of which they hold a stretch of ten words, up to one edit, and how much of it."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items of which they hold ten consecutive words unchanged."""
+    return p8_leaks(spark, d).where("exact_words >= 10").select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which at least 0.3 of the words lie in repeated runs of six words."""
     return repetition.judged(table(spark, d, "documents")).where("runs_fails and n_words > 0").select("doc_id").distinct()
@@ -101,7 +111,7 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
     return repetition.host_verdicts(repetition.shares(table(spark, d, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_containers, p9_found, p9_hosts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_hosts)}
 
 _VALUES = r"""
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY soma_joinid ORDER BY loaded_at DESC) AS nth FROM obs WHERE soma_joinid IS NOT NULL) WHERE nth = 1),
