@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values of the format: kinds of geometry
 POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING, MULTIPOLYGON, COLLECTION = range(1, 8)
@@ -77,9 +78,7 @@ def envelope(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def with_envelope(df: DataFrame, geometry: str = "soma_geometry", axes: tuple[str, str] = ("x", "y")) -> DataFrame:
     """df with <axis>__min and <axis>__max of its geometry column; null for null or empty geometries."""
     names = [f"{a}__{b}" for a in axes for b in ("min", "max")]
-    schema = df.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,13 +93,17 @@ def with_envelope(df: DataFrame, geometry: str = "soma_geometry", axes: tuple[st
     return df.mapInArrow(run, schema)
 
 
+def _every_other(k: int):
+    return lambda _, i: i % 2 == k
+
+
 def outlines_to_geometry(df: DataFrame, outline: str = "outline", axes: tuple[str, str] = ("x", "y")) -> DataFrame:
     """df with soma_geometry (a polygon) and its envelope for outlines [x0, y0, x1, y1, ...]; the envelope stays in the engine."""
     o = F.col(outline)
     for k, axis in enumerate(axes):
-        part = F.filter(o, lambda _, i, k=k: i % 2 == k)
+        part = F.filter(o, _every_other(k))
         df = df.withColumn(f"{axis}__min", F.array_min(part)).withColumn(f"{axis}__max", F.array_max(part))
-    schema = df.schema.add("soma_geometry", "binary")
+    schema = T.StructType([*df.schema.fields, T.StructField("soma_geometry", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
