@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -225,10 +226,11 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, edits: int = 1
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
     out = None
     for block in blocks:
-        shipped = spark.sparkContext.broadcast(build_index(block, min_words, edits))
+        index = build_index(block, min_words, edits)
+        shipped = spark.sparkContext.broadcast(index and vars(index))  # plain arrays: tasks need no copy of the package
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ix = shipped.value
+            ix = SimpleNamespace(**shipped.value) if shipped.value else None
             for batch in batches:
                 for at in range(0, batch.num_rows if ix else 0, 512):
                     b = batch.slice(at, 512)
