@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrella.llm.words import words_of
+from matrella.llm.words import slabs, words_of
 
 Q = 12
 FOUND = "doc_id bigint, item_id bigint, shared int, score int, exact_words int"
@@ -33,6 +33,7 @@ FOUND = "doc_id bigint, item_id bigint, shared int, score int, exact_words int"
 BLOCK_CHARS = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
+COARSE = 6  # bits of a coarse band of diagonals
 _BLANK = 32
 
 
@@ -153,10 +154,10 @@ def align(chars: np.ndarray, doc_at: np.ndarray, ix: Index, item: np.ndarray, wi
     return best
 
 
-def leaks_of(chars: np.ndarray, ix: Index, edits: int, q: int = Q) -> tuple[np.ndarray, ...]:
-    """(place in chars, item number, shared q-grams, score, exact words) of each verified band.
+def leaks_of(chars: np.ndarray, ends: np.ndarray, ix: Index, edits: int, q: int = Q) -> tuple[np.ndarray, ...]:
+    """(document number, item number, shared q-grams, score, exact words) of each verified band.
 
-    chars: documents' characters one after the other, with a character that no passage has between them.
+    chars: documents' characters one after the other, with a character that no passage has after each of them; ends: where the next one begins.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     codes = gram_codes(chars, q)
@@ -169,10 +170,25 @@ def leaks_of(chars: np.ndarray, ix: Index, edits: int, q: int = Q) -> tuple[np.n
     if not len(hits):
         return none
     owner, posting = _expand(ix.first[gram], ix.first[gram + 1] - ix.first[gram])
-    place, item = hits[owner], ix.item_of[posting]
+    item = ix.item_of[posting]
+    # a document that shares too few q-grams with a passage in all has no band that shares enough
+    pair = np.searchsorted(ends, hits, side="right")[owner] * len(ix.items) + item
+    enough = np.bincount(pair, minlength=len(ends) * len(ix.items)) >= np.tile(ix.bound, len(ends))
+    keep = np.flatnonzero(enough[pair])
+    if not len(keep):
+        return none
+    place, item, posting, pair = hits[owner[keep]], item[keep], posting[keep], pair[keep]
     diagonal = place - ix.place[posting] + (1 << 20)
     # bands of 2e+1 diagonals at least, each overlapping the next by half, so e edits never leave all bands
     half = max(4, 2 * edits)
+    # nor has a band in two adjoining coarse bands that hold too few together; cells that share a counter only count too much
+    cell = (pair * 40503 + (diagonal >> max(COARSE, (2 * half).bit_length()))) & ((1 << 21) - 1)
+    count = np.bincount(cell, minlength=1 << 21)
+    held = np.concatenate([count[-1:], count, count[:1]])
+    keep = np.flatnonzero(held[cell + 1] + np.maximum(held[cell], held[cell + 2]) >= ix.bound[item])
+    if not len(keep):
+        return none
+    place, item, diagonal = place[keep], item[keep], diagonal[keep]
     band = np.concatenate([2 * (diagonal // (2 * half)), 2 * ((diagonal + half) // (2 * half)) + 1])
     key = np.tile(item, 2) * (1 << 40) + band
     kinds, inverse, shared = np.unique(key, return_inverse=True, return_counts=True)
@@ -203,7 +219,17 @@ def leaks_of(chars: np.ndarray, ix: Index, edits: int, q: int = Q) -> tuple[np.n
         score[s] = align(chars, low[s] - edits, ix, which[chosen[s]], 2 * half + 2 * edits)
     fine = score >= ix.score[which[chosen]]
     chosen, score = chosen[fine], score[fine]
-    return some[chosen], which[chosen], shared[chosen], score, words[chosen]
+    return np.searchsorted(ends, some[chosen], side="right"), which[chosen], shared[chosen], score, words[chosen]
+
+
+def _pieces(texts: list[str], overlap: int, longest: int = 1 << 20) -> tuple[list[str], np.ndarray]:
+    """Texts beyond `longest` characters in pieces that overlap by more than any passage is long; and the text that each piece is of."""
+    out, owner = [], []
+    for k, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - overlap), longest):
+            out.append(t[at : at + longest + overlap])
+            owner.append(k)
+    return out, np.array(owner, np.int64)
 
 
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, edits: int = 1, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
@@ -232,14 +258,12 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, edits: int = 1
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ix = SimpleNamespace(**shipped.value) if shipped.value else None
             for batch in batches:
-                for at in range(0, batch.num_rows if ix else 0, 512):
-                    b = batch.slice(at, 512)
-                    texts = [normal(t) for t in b.column("text").to_pylist()]
+                for b in slabs(batch, "text") if ix else ():
+                    texts, owner = _pieces([normal(t) for t in b.column("text").to_pylist()], int(ix.length.max()) + 64)
                     chars = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
                     ends = np.cumsum([len(t) + 1 for t in texts])
-                    place, item, *rest = leaks_of(chars, ix, edits)
-                    doc = np.searchsorted(ends, place, side="right")
-                    ids = b.column("doc_id").take(pa.array(doc))
+                    doc, item, *rest = leaks_of(chars, ends, ix, edits)
+                    ids = b.column("doc_id").take(pa.array(owner[doc]))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(ix.items[item]), *[pa.array(x.astype(np.int32)) for x in rest]], ["doc_id", "item_id", "shared", "score", "exact_words"])
 
         part = src.mapInArrow(run, FOUND)
