@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matrella.llm.words import slabs
 from matrella.session import cut
 
 CELLS, AXES, BITS = 256, 4, 10
@@ -117,8 +118,7 @@ def hilbert_key(places: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _measure(count: Counter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
+            for b in slabs(batch, "text"):
                 texts = b.column("text")
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count(texts)), pa.array(hilbert_key(grid_places(hashed_vectors(texts))))], ["doc_id", "tokens", "place"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matrella.llm.words import _WORD, kept_lines, plain
+from matrella.llm.words import _WORD, kept_lines, plain, slabs
 from matrella.session import cut
 
 RUN = 6
@@ -66,8 +66,7 @@ def _repeated_share(units: list[str]) -> float:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            b = batch.slice(at, 512)
+        for b in slabs(batch, "text"):
             words: list[str] = []
             counts, line_share, block_share = [], [], []
             for text in b.column("text").to_pylist():

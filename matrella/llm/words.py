@@ -8,6 +8,10 @@ deleted, the case is lowered, and words are the longest runs of Unicode letters
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 _BRACKETS = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\[[^\[\]\n]*\]|\([^()\n]*\)")
 _WORD = re.compile(r"[^\W_]+")
@@ -37,3 +41,15 @@ def plain(lines: list[str]) -> str:
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(plain(kept_lines(text))) if text else []
+
+
+def slabs(batch: pa.RecordBatch, text: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of at most so many rows, and of at most so many bytes of text unless a single text is longer."""
+    wide = batch.column(text).cast(pa.large_string())
+    ends = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8) if len(wide) else np.zeros(1, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, ends[at] + size, side="right")) - 1
+        to = min(max(to, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
