@@ -72,9 +72,11 @@ def _declare_levels(frame: DataFrame, t: pa.Table) -> None:
             frame.extend_enumeration_values({f.name: c.combine_chunks().dictionary if c.num_chunks == 1 else c.unify_dictionaries().chunk(0).dictionary}, deduplicate=True)
 
 
-def write_frame(parent: Collection, key: str, pdf: pd.DataFrame, index_name: str | None = None, rows: int | None = None) -> DataFrame:
+def write_frame(parent: Collection, key: str, pdf: pd.DataFrame, index_name: str | None = None, rows: int | None = None, schema_only: bool = False) -> DataFrame:
     """A new annotation frame, or rows appended to the one that is there; columns unknown to it are an error."""
     t = coerce(pdf)
+    if schema_only:
+        t = t.slice(0, 0)
     if key in parent:
         frame = DataFrame.open(parent[key].uri, "w", spark=parent.spark, timestamp=parent.timestamp)
         if extra := [n for n in t.column_names if n not in frame.schema.names]:
@@ -238,7 +240,6 @@ def write_experiment(uri: str, source: Source, measurement_name: str = "RNA", *,
         n_obs, n_var = registration.obs_size, registration.var_size
         order = lambda f: f.orderBy("place").toArrow()["soma_joinid"].to_numpy()
         obs_ids, var_ids = order(rows), order(cols)
-    keep = 0 if schema_only else None
 
     def annotate(parent: Collection, key: str, pdf: pd.DataFrame, ids: np.ndarray, size: int, index: str) -> None:
         new = _numbered(pdf, ids)
@@ -246,7 +247,7 @@ def write_experiment(uri: str, source: Source, measurement_name: str = "RNA", *,
             known = registration.obs if key == "obs" else registration.var
             fresh = known.where("is_new").select("soma_joinid").toArrow()["soma_joinid"].to_numpy()
             new = new[np.isin(new["soma_joinid"], fresh)]
-        write_frame(parent, key, new.drop_duplicates("soma_joinid").iloc[:keep], index, size)
+        write_frame(parent, key, new.drop_duplicates("soma_joinid"), index, size, schema_only)
 
     annotate(exp, "obs", obs, obs_ids, n_obs, source.obs_id)
     m = _slot(_slot(exp, "ms"), measurement_name, Measurement)
