@@ -3,7 +3,8 @@
 Each table applies three rounds of random signs and a fast Hadamard transform to the unit vectors (a pseudo-random
 rotation in O(d log d)) and assigns a vector to the nearest signed axis.  A vector lies in the bucket of its nearest
 axis and asks the buckets of its `probes` nearest axes in each of `tables` tables; what is found there is reranked by
-exact cosine.  Buckets of any size are worked through in blocks, never as pairs of rows in a shuffle.
+exact cosine.  Buckets of any size are worked through in blocks, never as pairs of rows in a shuffle; rows carry their axes in the earlier
+tables, so what met there already is not compared again.
 
 Equal vectors are hashed once: a group of copies is one vector with its smallest ids, which are the only ones that
 can be among anybody's nearest.  Ties go to the smaller id.  Vectors of zeros, and null ids, take no part.
@@ -55,55 +56,78 @@ def _hashed(dims: int, tables: int, probes: int) -> Callable[[Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_batch(batches, 8192):
             rows = unit(unpack(t["vec"], dims))
+            seen = np.zeros((len(rows), 0), np.uint16)  # axes in the tables so far, nearest first
             for table in range(tables):
                 axes = nearest_axes(rows, table, probes)
+                earlier = pa.array([x.tobytes() for x in seen], pa.binary())
                 for p in range(axes.shape[1]):
                     grp = pa.array(axes[:, p].astype(np.int64) + table * 100_000)
                     yes, home = pa.array(np.ones(len(rows), bool)), pa.array(np.full(len(rows), p == 0))
-                    yield from pa.table([grp, t["id"], t["vec"], yes, home], ["grp", "id", "vec", "is_q", "is_d"]).to_batches()
+                    yield from pa.table([grp, t["id"], t["vec"], earlier, yes, home], ["grp", "id", "vec", "earlier", "is_q", "is_d"]).to_batches()
+                seen = np.hstack([seen, axes.astype(np.uint16)])
 
     return run
 
 
-def _best_of_block(dims: int, k: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    """Of each asked row its k best held rows by (rounded cosine, smaller id)."""
+def _kinds(rows: np.ndarray, earlier: list[bytes], least: int = 256) -> list[tuple[np.ndarray, bytes | None]]:
+    """The rows split by their axes in earlier tables: common kinds one by one, the rare ones together as kind None."""
+    kinds, number, size = np.unique(np.array(earlier, dtype=object)[rows], return_inverse=True, return_counts=True)
+    common = size >= least
+    out = [(rows[number == k], kinds[k]) for k in np.flatnonzero(common)]
+    rare = rows[~common[number]]
+    return [*out, (rare, None)] if len(rare) else out
+
+
+def _met(asked: bytes | None, held: bytes | None, probes: int) -> bool:
+    """Whether rows asked and rows held of these kinds met in an earlier table: there the held ones lay on an axis that the others asked."""
+    if not asked or not held:
+        return False
+    q, d = (np.frombuffer(x, np.uint16).reshape(-1, probes) for x in (asked, held))
+    return bool((q == d[:, :1]).any())
+
+
+def _best_of_block(dims: int, k: int, least: float, probes: int) -> Callable[[pa.Table], pa.Table]:
+    """Of each asked row its k best held rows by (rounded cosine, smaller id), of those it has not met in an earlier table."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids, rows = t["id"].to_numpy(), unit(unpack(t["vec"], dims))
-        asked, held = np.flatnonzero(t["is_q"].to_numpy()), np.flatnonzero(t["is_d"].to_numpy())
+        earlier = t["earlier"].to_pylist()
         small = rows.astype(np.float32)
-        place = np.full(len(ids), -1)
-        place[held] = np.arange(len(held))
+        held = _kinds(np.flatnonzero(t["is_d"].to_numpy()), earlier)
         wide = k + 4  # candidates by float32; the order among them is exact
         out_q, out_c, out_s = [], [], []
-        for at in range(0, len(asked), 512):
-            q = asked[at : at + 512]
-            best_i = np.zeros((len(q), 0), np.int64)
-            best_s = np.zeros((len(q), 0), np.float32)
-            for from_ in range(0, len(held), 4096):
-                d = held[from_ : from_ + 4096]
-                s = small[q] @ small[d].T
-                itself = place[q] - from_
-                here = np.flatnonzero((itself >= 0) & (itself < len(d)))
-                s[here, itself[here]] = -2
-                n = min(wide, len(d))
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(d) else np.tile(np.arange(len(d)), (len(q), 1))
-                best_i = np.hstack([best_i, d[top]])
-                best_s = np.hstack([best_s, np.take_along_axis(s, top, 1)])
-                if best_i.shape[1] > wide:
-                    keep = np.argpartition(-best_s, wide - 1, axis=1)[:, :wide]
-                    best_i, best_s = np.take_along_axis(best_i, keep, 1), np.take_along_axis(best_s, keep, 1)
-            if not best_i.shape[1]:
+        for asked, kind in _kinds(np.flatnonzero(t["is_q"].to_numpy()), earlier):
+            among = [d for d, other in held if not _met(kind, other, probes)]
+            if not among:
                 continue
-            exact = np.round(np.einsum("qd,qcd->qc", rows[q], rows[best_i]), 6)
-            exact[best_s < -1.5] = -2
-            order = np.lexsort((ids[best_i], -exact), axis=1)[:, :k]
-            exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best_i], order, 1)
-            ok = exact >= least
-            out_q.append(np.repeat(ids[q], ok.sum(1)))
-            out_c.append(found[ok])
-            out_s.append(exact[ok])
+            among = np.sort(np.concatenate(among))
+            place = np.full(len(ids), -1)
+            place[among] = np.arange(len(among))
+            for at in range(0, len(asked), 512):
+                q = asked[at : at + 512]
+                best_i, best_s = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
+                for from_ in range(0, len(among), 4096):
+                    d = among[from_ : from_ + 4096]
+                    s = small[q] @ small[d].T
+                    itself = place[q] - from_
+                    here = np.flatnonzero((itself >= 0) & (itself < len(d)))
+                    s[here, itself[here]] = -2
+                    n = min(wide, len(d))
+                    top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(d) else np.tile(np.arange(len(d)), (len(q), 1))
+                    best_i = np.hstack([best_i, d[top]])
+                    best_s = np.hstack([best_s, np.take_along_axis(s, top, 1)])
+                    if best_i.shape[1] > wide:
+                        keep = np.argpartition(-best_s, wide - 1, axis=1)[:, :wide]
+                        best_i, best_s = np.take_along_axis(best_i, keep, 1), np.take_along_axis(best_s, keep, 1)
+                exact = np.round(np.einsum("qd,qcd->qc", rows[q], rows[best_i]), 6)
+                exact[best_s < -1.5] = -2
+                order = np.lexsort((ids[best_i], -exact), axis=1)[:, :k]
+                exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best_i], order, 1)
+                ok = exact >= least
+                out_q.append(np.repeat(ids[q], ok.sum(1)))
+                out_c.append(found[ok])
+                out_s.append(exact[ok])
         cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         return pa.table({"id": cat(out_q, np.int64), "other": cat(out_c, np.int64), "similarity": cat(out_s, np.float64)})
 
@@ -122,8 +146,8 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, least: float = 0.9, table
     groups = first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     groups = cut(groups.select(F.col("ids")[0].alias("id"), "vec", "ids"))
 
-    hashed = groups.select("id", "vec").mapInArrow(_hashed(dims, tables, probes), "grp bigint, id bigint, vec binary, is_q boolean, is_d boolean")
-    found = in_blocks(hashed, _best_of_block(dims, k, least), "id bigint, other bigint, similarity double")
+    hashed = groups.select("id", "vec").mapInArrow(_hashed(dims, tables, probes), "grp bigint, id bigint, vec binary, earlier binary, is_q boolean, is_d boolean")
+    found = in_blocks(hashed, _best_of_block(dims, k, least, probes), "id bigint, other bigint, similarity double")
     found = found.repartition("id").distinct()
     per = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     found = found.withColumn("nth", F.row_number().over(per)).where(F.col("nth") <= k).drop("nth")

@@ -76,7 +76,7 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
 def in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, chunk: int = CHUNK) -> DataFrame:
     """Run `work` over every block of every group: rows asked (is_q) against rows held (is_d).
 
-    rows: (grp, id, vec, is_q, is_d).  A group of any size is split into blocks of at most about `chunk` asked and `chunk` held rows, so no task
+    rows: (grp, id, vec, is_q, is_d, and whatever else `work` wants).  A group of any size is split into blocks of at most about `chunk` asked and `chunk` held rows, so no task
     sees a whole hot group; a row is copied once for each block of the other side.  `work` gets one block and returns its rows.
     """
     sizes = rows.groupBy("grp").agg(
@@ -89,7 +89,8 @@ def in_blocks(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str
     others = F.filter(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: ~(F.col("is_q") & (q == F.col("qc"))))
     held = F.when(F.col("is_d"), F.transform(others, lambda q: F.struct(q.alias("q"), F.col("dc").alias("d"), F.lit(False).alias("is_q"), F.lit(True).alias("is_d"))))
     none = F.array().cast("array<struct<q:int,d:int,is_q:boolean,is_d:boolean>>")
-    cells = r.select("grp", "id", "vec", F.explode(F.concat(F.coalesce(asked, none), F.coalesce(held, none))).alias("c")).select("grp", "c.q", "c.d", "id", "vec", "c.is_q", "c.is_d")
+    carried = [c for c in rows.columns if c not in ("grp", "is_q", "is_d")]
+    cells = r.select("grp", *carried, F.explode(F.concat(F.coalesce(asked, none), F.coalesce(held, none))).alias("c")).select("grp", "c.q", "c.d", *carried, "c.is_q", "c.is_d")
     return cells.groupBy("grp", "q", "d").applyInArrow(work, schema)
 
 
