@@ -140,6 +140,7 @@ def nearest(vectors: DataFrame, dims: int, k: int = 5, least: float = 0.9, table
     vectors: (id, vec) with unique ids, packed by `vectors.pack`.  Recall against brute force is measured in the tests (0.97 and more at the
     defaults); what is returned is exact.
     """
+    vectors = cut(vectors)
     same = Window.partitionBy("vec").orderBy("id")
     # the k + 2 smallest ids of each group of copies; the limit is applied before the shuffle
     first = vectors.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 2)
