@@ -106,7 +106,7 @@ def _prior(n: Column, fails: Column) -> tuple[Column, Column]:
 def host_verdicts(measured: DataFrame, limit: float = 0.2) -> DataFrame:
     """(host, n_docs, and per rule failures, shrunk rate and verdict): bad if any shrunk rate exceeds `limit`."""
     fails = [F.sum((F.col(c) >= least).cast("bigint")).alias(f"{rule}_failed") for rule, (c, least) in RULES.items()]
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails)
+    hosts = cut(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *fails))
     moments = []
     for rule in RULES:
         mean, strength = _prior(F.col("n_docs"), F.col(f"{rule}_failed"))
