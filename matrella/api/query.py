@@ -127,9 +127,8 @@ class ExperimentAxisQuery:
         return got
 
     def _slice(self, slot: str, name: str, axes: Sequence[str], result_order: str = "auto") -> TableRead:
-        df = self._layer(slot, name).snapshot()
-        for k, axis in enumerate(axes):
-            df = core.semi(df, f"soma_dim_{k}", self._ids(axis))
+        # ids are keys: cells outside them are gone before versions are resolved
+        df = self._layer(slot, name).snapshot([self._ids(axis) for axis in axes])
         return TableRead(core.in_order(df, ["soma_dim_0", "soma_dim_1"], result_order))
 
     def X(self, layer_name: str, *, result_order: str = "auto") -> TableRead:

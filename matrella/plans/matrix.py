@@ -130,8 +130,10 @@ def _var(t: Read) -> DataFrame:
     return core.read_rows(t("part"), None, VAR).select(F.col("p_partkey").alias("soma_joinid"))
 
 
-def _x(t: Read) -> DataFrame:
+def _x(t: Read, obs: DataFrame | None = None, var: DataFrame | None = None) -> DataFrame:
+    """The matrix, of wanted ids only: ids are keys, so other cells go before versions are resolved."""
     raw = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    raw = core.axis_matrix(raw, obs, var, ("l_orderkey", "l_partkey"))
     newest = [F.desc(c) for c in ("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")]
     one = core.latest(raw, ["l_orderkey", "l_partkey"], newest)
     return one.select(F.col("l_orderkey").alias("soma_dim_0"), F.col("l_partkey").alias("soma_dim_1"), F.col("l_quantity").cast("bigint").alias("soma_data"))
@@ -139,14 +141,14 @@ def _x(t: Read) -> DataFrame:
 
 @query(f"WITH o AS ({_OBS}), v AS ({_VAR}), x AS ({_X}) SELECT * FROM x WHERE soma_dim_0 IN (SELECT soma_joinid FROM o) AND soma_dim_1 IN (SELECT soma_joinid FROM v)")
 def axis_x(t: Read) -> DataFrame:
-    return core.axis_matrix(_x(t), _obs(t), _var(t))
+    return _x(t, _obs(t), _var(t))
 
 
 @query(f"""WITH o AS ({_OBS}), v AS ({_VAR}), x AS ({_X}), oi AS (SELECT soma_joinid, row_number() OVER (ORDER BY soma_joinid) - 1 AS i FROM o), vi AS (SELECT soma_joinid, row_number() OVER (ORDER BY soma_joinid) - 1 AS j FROM v)
 SELECT i, j, soma_data FROM x JOIN oi ON soma_dim_0 = oi.soma_joinid JOIN vi ON soma_dim_1 = vi.soma_joinid""")
 def axis_x_reindexed(t: Read) -> DataFrame:
     obs, var = _obs(t), _var(t)
-    return core.reindexed(core.axis_matrix(_x(t), obs, var), obs, var).select("i", "j", "soma_data")
+    return core.reindexed(_x(t, obs, var), obs, var).select("i", "j", "soma_data")
 
 
 @query(f"SELECT (SELECT count(*) FROM ({_OBS})) AS n_obs, (SELECT count(*) FROM ({_VAR})) AS n_vars")
