@@ -2,7 +2,8 @@
 
 Carriage returns are deleted; of the lines (split at line feeds) those with `-->` and those of digits only, with blanks or tabs around
 them, are left out; what stands within <>, {}, [] or () in a line becomes a blank, brackets included, innermost pairs only; apostrophes are
-deleted, the case is lowered, and words are the longest runs of Unicode letters and digits.  Null and empty texts have no words.
+deleted, the case is lowered, and words are the longest runs of Unicode letters and digits; all characters with a numeric value count as digits, also
+superscripts and fractions, which wrongly decoded texts are full of.  Null and empty texts have no words.
 """
 
 from __future__ import annotations
