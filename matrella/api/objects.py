@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from matrella.errors import DoesNotExistError, MatrellaError
 from matrella.functions.coords import check_coords, points_of, select_coords, slice_bounds
-from matrella.functions.filter_lang import columns_of, compile_tree, parse
+from matrella.functions.filter_lang import columns_of, compile_tree, parse, parse_r
 from matrella.operators import core
 from matrella.operators.assemble import Compressed, IntIndexer, rows_per_block, strides
 from matrella.store import types
@@ -565,13 +565,14 @@ class DataFrame(StoredArray):
 
     _reserved: tuple[str, ...] = ()
 
-    def read(self, coords: object = (), column_names: Sequence[str] | None = None, *, result_order: str = "auto", value_filter: str | None = None, batch_size: object = None, partitions: object = None) -> TableRead:
+    def read(self, coords: object = (), column_names: Sequence[str] | None = None, *, result_order: str = "auto", value_filter: str | None = None, syntax: str = "python", batch_size: object = None, partitions: object = None) -> TableRead:
+        """Rows of the coordinates that match the filter (spelled as in Python or, with syntax "r", as in R); the filter's columns join the projection."""
         self.need("r")
         _check_read(batch_size, partitions)
         df = self.snapshot(coords)
         names: list[str] = []
         if value_filter is not None:
-            tree = parse(value_filter)
+            tree = parse(value_filter) if syntax == "python" else parse_r(value_filter)
             df, names = df.where(compile_tree(tree, df.schema, self._units)), columns_of(tree)
         if column_names is not None:
             if missing := [c for c in column_names if c not in df.columns]:

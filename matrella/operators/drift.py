@@ -103,7 +103,7 @@ def changes(files: DataFrame, min_equal: int = 5) -> DataFrame:
     renamed: the old name is gone, the new one is new, and at least `min_equal` records have values in both that are all equal as text;
     removed, added: gone or new without a rename; retyped: the type differs, a field of nulls keeping the type it had before.
     """
-    facts = long_fields(files)
+    facts = long_fields(files).distinct()  # lines are parsed once: all below reads this exchange
     order = Window.partitionBy("stream_id").orderBy("exported_at", "file_id")
     seq = files.groupBy("stream_id", "file_id").agg(F.min("exported_at").alias("exported_at")).select("stream_id", "file_id", F.row_number().over(order).alias("seq"))
 
@@ -120,7 +120,7 @@ def changes(files: DataFrame, min_equal: int = 5) -> DataFrame:
     gone, new = both.where("here is null"), both.where("was is null")
 
     # values of vanished and of new fields meet per record; both sides are reduced to distinct values first
-    values = facts.where("value is not null and soma_joinid is not null").join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", "soma_joinid", "value").distinct()
+    values = facts.where("value is not null and soma_joinid is not null").join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", "soma_joinid", "value")
     old_values = values.withColumn("seq", F.col("seq") + 1).join(gone.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "old_field", "value": "old_value"})
     new_values = values.join(new.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "new_field", "value": "new_value"})
     met = old_values.join(new_values, ["stream_id", "seq", "soma_joinid"]).groupBy("stream_id", "seq", "old_field", "new_field")

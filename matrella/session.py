@@ -20,9 +20,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "matrella-checkpoints")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            named = os.path.join(tempfile.gettempdir(), "matrella-checkpoints")
+        else:  # a cluster that names none: beside its tables, which all executors reach
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(named)
     return named
 

@@ -33,6 +33,7 @@ def test_time_travel_and_upsert(spark, tmp_path):
     assert (f.reopen("r").count, len(f), f.fragment_cell_count(), f.non_empty_domain()) == (3, 3, 4, ((0, 2),))
     # a value filter sees the latest version only
     assert rows(f, value_filter="string == 'a1'") == []
+    assert rows(f, value_filter="string %in% c('b1', 'b2') && float > 101", syntax="r") == [(2, 102.0, "b2")]
 
 
 def test_ledger(spark, tmp_path):
