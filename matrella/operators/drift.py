@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matrella.session import cut
+
 KEY = "soma_joinid"
 LONG = "stream_id string, file_id bigint, soma_joinid bigint, field string, kind string, value string"
 
@@ -103,7 +105,7 @@ def changes(files: DataFrame, min_equal: int = 5) -> DataFrame:
     renamed: the old name is gone, the new one is new, and at least `min_equal` records have values in both that are all equal as text;
     removed, added: gone or new without a rename; retyped: the type differs, a field of nulls keeping the type it had before.
     """
-    facts = long_fields(files).distinct()  # lines are parsed once: all below reads this exchange
+    facts = long_fields(files)
     order = Window.partitionBy("stream_id").orderBy("exported_at", "file_id")
     seq = files.groupBy("stream_id", "file_id").agg(F.min("exported_at").alias("exported_at")).select("stream_id", "file_id", F.row_number().over(order).alias("seq"))
 
@@ -116,20 +118,22 @@ def changes(files: DataFrame, min_equal: int = 5) -> DataFrame:
     following = seq.where("seq > 1").select("stream_id", "seq", "file_id")
     now = seen.where("seq > 1").select("stream_id", "seq", "field", F.col("type").alias("new_type"), F.lit(True).alias("here"))
     before = seen.select("stream_id", (F.col("seq") + 1).alias("seq"), "field", F.col("type").alias("old_type"), F.lit(True).alias("was"))
-    both = now.join(before, ["stream_id", "seq", "field"], "full").join(following, ["stream_id", "seq"])
+    # what follows works on names of fields per file, written out so that its many small joins don't repeat the parsing
+    both = cut(now.join(before, ["stream_id", "seq", "field"], "full").join(following, ["stream_id", "seq"]))
     gone, new = both.where("here is null"), both.where("was is null")
 
     # values of vanished and of new fields meet per record; both sides are reduced to distinct values first
-    values = facts.where("value is not null and soma_joinid is not null").join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", "soma_joinid", "value")
+    values = facts.where("value is not null and soma_joinid is not null").join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", "soma_joinid", "value").distinct()
     old_values = values.withColumn("seq", F.col("seq") + 1).join(gone.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "old_field", "value": "old_value"})
     new_values = values.join(new.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "new_field", "value": "new_value"})
     met = old_values.join(new_values, ["stream_id", "seq", "soma_joinid"]).groupBy("stream_id", "seq", "old_field", "new_field")
     pairs = met.agg(F.countDistinct("soma_joinid").alias("n"), F.min((F.col("old_value") == F.col("new_value")).cast("int")).alias("all_equal"))
-    pairs = pairs.where((F.col("n") >= min_equal) & (F.col("all_equal") == 1)).select("stream_id", "seq", "old_field", "new_field")
+    pairs = cut(pairs.where((F.col("n") >= min_equal) & (F.col("all_equal") == 1)).select("stream_id", "seq", "old_field", "new_field"))
 
     old = gone.select("stream_id", "seq", F.col("field").alias("old_field"), "old_type")
     cur = new.select("stream_id", "seq", F.col("field").alias("new_field"), "new_type")
-    renamed = pairs.join(old, ["stream_id", "seq", "old_field"]).join(cur, ["stream_id", "seq", "new_field"]).join(following, ["stream_id", "seq"])
+    file_of = both.select("stream_id", "seq", "file_id").distinct()
+    renamed = pairs.join(old, ["stream_id", "seq", "old_field"]).join(cur, ["stream_id", "seq", "new_field"]).join(file_of, ["stream_id", "seq"])
 
     def out(df: DataFrame, kind: str, old_name: str, new_name: str) -> DataFrame:
         return df.select("stream_id", "file_id", F.lit(kind).alias("change_kind"), F.col(old_name).alias("old_field"), F.col(new_name).alias("new_field"))
