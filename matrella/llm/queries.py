@@ -123,7 +123,39 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY experiment_id, seurat_clust
   FROM vals WHERE seurat_clusters IS NOT NULL AND experiment_id IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND v >= 0)
 """
 
+_SIMS = """
+last AS (SELECT soma_dim_0 AS id, soma_dim_1 AS j, soma_data AS v FROM (SELECT *, row_number() OVER (PARTITION BY soma_dim_0, soma_dim_1 ORDER BY written_at DESC, soma_data DESC) AS nth
+  FROM obsm_pca WHERE soma_dim_0 IS NOT NULL AND soma_dim_1 BETWEEN 0 AND 49) WHERE nth = 1),
+vec AS (SELECT id, list(coalesce(CAST(v AS DOUBLE), 0) ORDER BY j) AS x FROM (SELECT DISTINCT id FROM last) CROSS JOIN (SELECT unnest(range(50)) AS j) LEFT JOIN last USING (id, j) GROUP BY id),
+sims AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS s FROM vec a JOIN vec b ON a.id <> b.id
+  WHERE list_dot_product(a.x, a.x) > 0 AND list_dot_product(b.x, b.x) > 0)
+"""
+
+
+def _words(table_name: str, key: str, column: str) -> str:
+    """(key, w): the list of words of each text."""
+    line = r"regexp_replace(line, '<[^<>]*>|\{[^{}]*\}|\[[^\[\]]*\]|\([^()]*\)', ' ', 'g')"
+    return rf"""SELECT {key}, regexp_extract_all(lower(replace(replace(string_agg({line}, chr(10) ORDER BY nth), chr(39), ''), chr(8217), '')), '[\p{{L}}\p{{N}}]+') AS w
+FROM (SELECT {key}, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM (SELECT {key}, string_split(replace({column}, chr(13), ''), chr(10)) AS lines FROM {table_name} WHERE {column} IS NOT NULL))
+WHERE NOT contains(line, '-->') AND NOT regexp_full_match(line, '[ \t]*[0-9]+[ \t]*') GROUP BY {key}"""
+
+
+def _runs(words: str, key: str, n: int) -> str:
+    """(key, pos, run): every run of n consecutive words."""
+    return f"SELECT {key}, pos, array_to_string(w[pos : pos + {n - 1}], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS pos FROM ({words}))"
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_SIMS} SELECT DISTINCT least(a, b) AS joinid_a, greatest(a, b) AS joinid_b
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nth FROM sims WHERE s >= 0.9) WHERE nth <= 5""",
+    "p5_found": f"""WITH RECURSIVE {_SIMS}, edges AS (SELECT a, b FROM sims WHERE s >= 0.9),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT least(a, min(b)) AS cluster_key, a AS soma_joinid FROM reach GROUP BY a""",
+    "p8_found": f"""WITH d AS ({_runs(_words("documents", "doc_id", "text"), "doc_id", 10)}), i AS ({_runs(_words("eval_items", "item_id", "passage"), "item_id", 10)})
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
+    "p9_found": f"""WITH w AS ({_words("documents", "doc_id", "text")}), r AS ({_runs("SELECT * FROM w", "doc_id", 6)}),
+hit AS (SELECT DISTINCT doc_id, pos + k AS place FROM r JOIN (SELECT doc_id, run FROM r GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, run) CROSS JOIN (SELECT unnest(range(6)) AS k))
+SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) JOIN w USING (doc_id) WHERE n >= 0.3 * len(w)""",
     "p7_found": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > 8192",
     "p4_found": f"""WITH {_VALUES} SELECT experiment_id, seurat_clusters, r.field_name, pct FROM ranked r JOIN percentile_limits l ON l.field_name = r.field_name
 WHERE n >= 50 AND nth = greatest(1, (pct * n + 99) // 100) AND v >= limit_value""",
