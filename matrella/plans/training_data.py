@@ -101,6 +101,35 @@ _CELLS = "SELECT soma_dim_0 AS k, count(*) AS n_rows, count(CASE WHEN NOT isnan(
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_REFS} SELECT DISTINCT table_name, period, soma_joinid, reason FROM judged WHERE reason IS NOT NULL",
     "p1_report": f"WITH {_REFS} SELECT table_name, period, reason, count(DISTINCT soma_joinid) AS n_keys FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
+    "p3_found": """
+WITH lines AS (SELECT stream_id, file_id, payload FROM obs_files WHERE payload IS NOT NULL AND json_valid(payload)),
+top AS (SELECT stream_id, file_id, TRY_CAST(json_extract_string(payload, '$.soma_joinid') AS BIGINT) AS k, e.key AS name, e.value AS v, e.type AS t
+  FROM lines, json_each(payload) e WHERE json_type(payload) = 'OBJECT' AND e.key <> 'soma_joinid'),
+flat AS (SELECT stream_id, file_id, k, name AS field, v, t FROM top WHERE t <> 'OBJECT'
+  UNION ALL SELECT stream_id, file_id, k, name || '/' || e.key, e.value, e.type FROM top, json_each(v) e WHERE t = 'OBJECT'),
+seq AS (SELECT stream_id, file_id, row_number() OVER (PARTITION BY stream_id ORDER BY exported_at, file_id) AS s
+  FROM (SELECT stream_id, file_id, min(exported_at) AS exported_at FROM obs_files GROUP BY 1, 2)),
+facts AS (SELECT stream_id, s, file_id, k, field, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'decimal' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' END AS kind,
+    CASE WHEN t <> 'NULL' THEN json_extract_string(v, '$') END AS val
+  FROM flat JOIN seq USING (stream_id, file_id)),
+seen AS (SELECT stream_id, s, field, last_value(kind IGNORE NULLS) OVER (PARTITION BY stream_id, field ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind
+  FROM (SELECT stream_id, s, field, max(kind) AS kind FROM facts GROUP BY 1, 2, 3)),
+both_files AS (SELECT q.stream_id, q.s, q.file_id, f.field, n.field IS NOT NULL AS here, o.field IS NOT NULL AS was, n.kind AS new_kind, o.kind AS old_kind
+  FROM seq q JOIN (SELECT DISTINCT stream_id, field FROM seen) f ON f.stream_id = q.stream_id
+  LEFT JOIN seen n ON n.stream_id = q.stream_id AND n.s = q.s AND n.field = f.field
+  LEFT JOIN seen o ON o.stream_id = q.stream_id AND o.s = q.s - 1 AND o.field = f.field WHERE q.s > 1),
+gone AS (SELECT * FROM both_files WHERE was AND NOT here),
+fresh AS (SELECT * FROM both_files WHERE here AND NOT was),
+moved AS (SELECT g.file_id, g.field AS old_field, n.field AS new_field, g.old_kind, n.new_kind
+  FROM gone g JOIN fresh n ON n.stream_id = g.stream_id AND n.s = g.s
+  JOIN facts a ON a.stream_id = g.stream_id AND a.s = g.s - 1 AND a.field = g.field AND a.val IS NOT NULL
+  JOIN facts b ON b.stream_id = g.stream_id AND b.s = g.s AND b.field = n.field AND b.val IS NOT NULL AND b.k = a.k
+  GROUP BY ALL HAVING count(DISTINCT a.k) >= 5 AND bool_and(a.val = b.val))
+SELECT file_id, 'renamed' AS change_kind, old_field, new_field FROM moved
+UNION SELECT file_id, 'retyped', new_field, new_field FROM moved WHERE old_kind <> new_kind
+UNION SELECT file_id, 'retyped', field, field FROM both_files WHERE here AND was AND old_kind <> new_kind
+UNION SELECT file_id, 'removed', field, field FROM gone g WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.file_id = g.file_id AND m.old_field = g.field)
+UNION SELECT file_id, 'added', field, field FROM fresh n WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.file_id = n.file_id AND m.new_field = n.field)""",
     "p6_found": f"""
 SELECT 'x_rna.soma_dim_0' AS field_name, CAST(soma_dim_0 AS VARCHAR) AS key_value FROM x_rna WHERE soma_dim_0 IS NOT NULL
 GROUP BY soma_dim_0 HAVING count(*) >= 0.02 * (SELECT count(*) FROM x_rna)
