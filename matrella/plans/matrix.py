@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matrella.functions.coords import select_coords
@@ -322,9 +322,7 @@ def _ordered(t: Read, order: str) -> DataFrame:
     few = select_coords(_x(t), ["soma_dim_0"], [slice(0, 200)])
     rows = core.in_order(few, ["soma_dim_0", "soma_dim_1"], order)
     first = rows.columns[:2] if order == "row-major" else rows.columns[:2][::-1]
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*first)))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*first)).cast("bigint"))
 
 
 @query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_0, soma_dim_1) AS place FROM ({_X}) WHERE soma_dim_0 BETWEEN 0 AND 200")
