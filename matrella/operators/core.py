@@ -149,6 +149,22 @@ def dense_box(matrix: DataFrame, dims: Sequence[str], box: Sequence[tuple[int, i
     return grid.join(inside.select(*dims, value), list(dims), "left").withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
 
 
+def filled_where_not(df: DataFrame, value: str, value_filter: str, fill: object = 0, syntax: str = "python") -> DataFrame:
+    """A dense read under a value filter: cells that don't match keep their place and hold the fill value."""
+    cond, _ = compile_filter(value_filter, df.schema, syntax)
+    return df.withColumn(value, F.when(cond, F.col(value)).otherwise(F.lit(fill)))
+
+
+def first_seen(*inputs: DataFrame) -> DataFrame:
+    """(label, pos): the distinct non-null labels of several frames (label, pos) with the first place of each, inputs one after the other."""
+    out = None
+    for k, df in enumerate(inputs):
+        part = df.select("label", F.struct(F.lit(k).alias("input"), F.col("pos").cast("bigint").alias("pos")).alias("seen"))
+        out = part if out is None else out.unionAll(part)
+    first = out.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("seen").alias("seen"))
+    return first.select("label", "seen.input", "seen.pos")
+
+
 def number_new(known: DataFrame, incoming: DataFrame, label: str, joinid: str = "soma_joinid") -> DataFrame:
     """(label, joinid, is_new): known labels keep their id; new ones are numbered after the largest, in order of label."""
     known = known.select(F.col(label), F.col(joinid).cast("bigint").alias(joinid))

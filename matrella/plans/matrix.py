@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from matrella.functions.coords import select_coords
 from matrella.operators import core
+from matrella.operators.assemble import Compressed, over_blocks
 from matrella.session import table
+from matrella.sources.spots import with_regions
 from matrella.spatial.regions import boxes_overlapping, points_in
 from matrella.spatial.transforms import AffineTransform, ScaleTransform
+from matrella.spatial.wkb import outlines_to_geometry, with_envelope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -253,6 +256,27 @@ def dense_box_fill(t: Read) -> DataFrame:
     return core.dense_box(_x(t), ["soma_dim_0", "soma_dim_1"], [(100, 150), (0, 40)], "soma_data")
 
 
+@query(f"""WITH x AS ({_X}) SELECT a.i AS soma_dim_0, b.j AS soma_dim_1, CASE WHEN coalesce(soma_data, 0) > 25 THEN soma_data ELSE 0 END AS soma_data FROM (SELECT unnest(range(0, 81)) AS i) a
+CROSS JOIN (SELECT unnest(range(0, 61)) AS j) b LEFT JOIN x ON soma_dim_0 = i AND soma_dim_1 = j""")
+def dense_filter_fill(t: Read) -> DataFrame:
+    return core.filled_where_not(core.dense_box(_x(t), ["soma_dim_0", "soma_dim_1"], [(0, 80), (0, 60)], "soma_data"), "soma_data", "soma_data > 25")
+
+
+@query(f"SELECT soma_dim_0 // 500 AS block, count(*) AS nnz, max(soma_dim_0 % 500) + 1 AS n_rows, count(DISTINCT soma_dim_1) AS n_columns FROM ({_X}) GROUP BY 1")
+def blockwise_compressed(t: Read) -> DataFrame:
+    """Each block of 500 rows assembled as a compressed matrix in a task, and what it holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(block: pa.Table) -> pa.Table:
+        i, j, d = (block[n].to_numpy() for n in ("soma_dim_0", "soma_dim_1", "soma_data"))
+        first = int(block["block"][0].as_py()) * 500
+        m = Compressed.from_ijd(i - first, j, d, (500, int(j.max()) + 1))
+        return pa.table({"block": [first // 500], "nnz": [m.nnz], "n_rows": [int(np.flatnonzero(np.diff(m.indptr)).max()) + 1], "n_columns": [len(np.unique(m.indices))]})
+
+    return over_blocks(_x(t), "soma_dim_0", 500, work, "block bigint, nnz bigint, n_rows bigint, n_columns bigint")
+
+
 # --- versions, deletes, registration ---------------------------------------------------------------------------------------------------
 
 
@@ -313,6 +337,20 @@ def register_joinids(t: Read) -> DataFrame:
     return core.number_new(known, incoming, "label")
 
 
+@query("""SELECT label, input, min(pos) AS pos FROM (SELECT label, pos, input, min(input) OVER (PARTITION BY label) AS first FROM (
+  SELECT p_brand AS label, p_partkey AS pos, 0 AS input FROM part WHERE p_size < 10 UNION ALL SELECT p_brand, p_partkey, 1 FROM part UNION ALL SELECT p_type, p_partkey, 2 FROM part) WHERE label IS NOT NULL) WHERE input = first GROUP BY 1, 2""")
+def register_first_seen(t: Read) -> DataFrame:
+    p = t("part")
+    one = lambda df, c: df.select(F.col(c).alias("label"), F.col("p_partkey").alias("pos"))
+    return core.first_seen(one(p.where("p_size < 10"), "p_brand"), one(p, "p_brand"), one(p, "p_type"))
+
+
+@query("SELECT c_custkey, n_nationkey AS nation, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def region_join(t: Read) -> DataFrame:
+    regions = t("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_nationkey").alias("nation"), "n_name")
+    return with_regions(t("customer").select("c_custkey", "c_nationkey"), regions, "c_nationkey").select("c_custkey", "nation", "n_name")
+
+
 @query("SELECT DISTINCT o_orderpriority AS level FROM orders WHERE o_orderpriority IS NOT NULL")
 def enum_levels(t: Read) -> DataFrame:
     return t("orders").select(F.col("o_orderpriority").alias("level")).where("level is not null").distinct()
@@ -366,3 +404,15 @@ def affine_points(t: Read) -> DataFrame:
 def bbox_overlap(t: Read) -> DataFrame:
     half = {"x__min": F.col("x") - 0.1, "x__max": F.col("x") + 0.1, "y__min": F.col("y") - 0.05, "y__max": F.col("y") + 0.05}
     return boxes_overlapping(_points(t).withColumns(half), ["x", "y"], [0.1, -0.2, 0.3, 0.0]).select("soma_joinid")
+
+
+_OUTLINE = """SELECT vec_id AS soma_joinid, least(e1, e3, e5) AS x__min, greatest(e1, e3, e5) AS x__max, least(e2, e4, e6) AS y__min, greatest(e2, e4, e6) AS y__max FROM (SELECT vec_id,
+  CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2, CAST(embedding[3] AS DOUBLE) AS e3, CAST(embedding[4] AS DOUBLE) AS e4, CAST(embedding[5] AS DOUBLE) AS e5, CAST(embedding[6] AS DOUBLE) AS e6 FROM embeddings)"""
+
+
+@query(f"SELECT * FROM ({_OUTLINE}) WHERE x__min <= 0.2 AND x__max >= 0.1 AND y__min <= 0.2 AND y__max >= 0.1")
+def outline_envelopes(t: Read) -> DataFrame:
+    """Triangles from outlines to well-known binary and back to their envelopes, those that overlap a box."""
+    o = t("embeddings").select(F.col("vec_id").alias("soma_joinid"), F.slice("embedding", 1, 6).cast("array<double>").alias("outline"))
+    geometries = outlines_to_geometry(o).select("soma_joinid", "soma_geometry")
+    return boxes_overlapping(with_envelope(geometries), ["x", "y"], [0.1, 0.1, 0.2, 0.2]).drop("soma_geometry")
