@@ -3,8 +3,8 @@
 1. Each partition grows a cluster-feature tree: a leaf keeps the count and the linear sum of its unit vectors, from which centre
    and radius follow; leaves hang below coarse branches, so a vector is compared with branches first.
 2. Leaf summaries are merged in a tree of reductions; the sum of two features is the feature of the union.
-3. Ward agglomeration joins the leaves of the final set.
-4. One pass over all vectors assigns each to its nearest leaf, and the members nearest to a cluster's centre describe it.
+3. One pass over all vectors assigns each to its nearest leaf; vectors beyond all of them are leaves of their own.
+4. Ward agglomeration joins the leaves, component by component, and the members nearest to a cluster's centre describe it.
 
 For groups by the rule "linked if similar enough, directly or through others" the leaves serve as proof: two vectors within half the
 threshold angle of one centre are certainly similar, so such a leaf is one clique; leaves whose angles leave no doubt are linked
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from matrella.llm.graph import components
 from matrella.llm.vectors import distinct_vectors, each_batch, in_blocks, unit, unpack
+from matrella.operators.core import numbered
 from matrella.session import cut
 
 #: Bound of a merged set of leaves: 4,096 leaves of 50 components are 1.6 MB.  Where more would be left, those with the fewest vectors are
@@ -308,36 +309,127 @@ def linked_groups(vectors: DataFrame, dims: int, least: float = 0.9) -> DataFram
 def describe(vectors: DataFrame, dims: int, least: float = 0.9, typical: int = 3) -> DataFrame:
     """(cluster, id, size, nearness, nth): each vector's Ward cluster; nth orders the members of a cluster by nearness to its centre.
 
-    Only the `typical` members nearest to each centre and the size are returned; copies count in the size.  A vector that is at least as far
-    from every leaf as the threshold angle is a cluster of its own and not listed.
+    Only the `typical` members nearest to each centre and the size are returned; copies count in the size.  Every vector is in a cluster: one that is
+    farther from every kept leaf than the threshold angle is a leaf of its own.  Clusters are numbered in the order of their smallest ids.
+
+    Ward joins two clusters only if some leaf of the one and some leaf of the other have means whose product reaches `_least_product`; so leaves that are not
+    linked by it, directly or through others, never meet, and agglomerating each component by itself gives what all leaves at once would give.
     """
     theta = float(np.arccos(least))
+    spark = vectors.sparkSession
     copies = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     reps = cut(copies)
     centres = leaves(reps.select("id", "vec"), dims, theta / 2)
-    seen = cut(assign(reps.select("id", "vec"), centres, dims, 0.0).drop("near").where(F.col("angle") <= theta).join(reps.select("id", "copies"), "id"))
-    sums = _leaf_sums(seen, dims)
-    n, total = np.zeros(len(centres)), np.zeros((len(centres), dims))
-    for leaf, k, blob in sums:
-        n[leaf] += k
-        total[leaf] += np.frombuffer(blob, "<f8")
-    label = ward(centres, n, total, least)
-    kinds = [int(x) for x in np.unique(label[n > 0])] if len(n) else []
-    middle = unit(np.array([total[label == k].sum(0) for k in kinds])) if kinds else np.zeros((0, dims))
-    number = {k: i for i, k in enumerate(kinds)}
-    of_leaf = np.array([number.get(int(x), -1) for x in label], np.int32)
-
-    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = cut(assign(reps.select("id", "vec"), centres, dims, 0.0).drop("near").join(reps.select("id", "copies"), "id"))
+    covered, rest = seen.where(F.col("angle") <= theta), seen.where(F.col("angle") > theta)
+
+    # the kept leaves, at most MAX_LEAVES; a leaf goes by the smallest id of its members
+    first = {r.leaf: r.unit for r in covered.groupBy("leaf").agg(F.min("id").alias("unit")).collect()}
+    sums: dict[int, list] = {}
+    for leaf, k, blob in _leaf_sums(covered, dims):
+        was = sums.setdefault(leaf, [0, np.zeros(dims)])
+        was[0], was[1] = was[0] + k, was[1] + np.frombuffer(blob, "<f8")
+    at = sorted(first)
+    n, total = np.array([sums[k][0] for k in at], np.int64), np.array([sums[k][1] for k in at]).reshape(-1, dims)
+    unit_of = np.array([first[k] for k in at], np.int64)
+    mean = total / n[:, None]
+    needed = _least_product(np.linalg.norm(mean, axis=1), least)
+    node = unit_of[_components_of_leaves(mean, needed)]
+    blobs = pa.array([x.astype("<f8").tobytes() for x in total], pa.binary())
+    kept = spark.createDataFrame(pa.table([pa.array(at, pa.int32()), pa.array(unit_of), pa.array(node), pa.array(n), blobs], ["leaf", "unit", "node", "n", "total"]))
+
+    # the rest against the kept leaves, and against each other in blocks
+    to_kept = rest.select("id", "vec").mapInArrow(_beside_leaves(dims, mean, needed, node, least), "a bigint, b bigint")
+    both = rest.select(F.pmod("id", F.lit(1)).alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(True).alias("is_d"))
+    among = in_blocks(both, _linked(dims, least**2 - 2e-6), "a bigint, b bigint").where("a <> b")
+    joined = cut(components(to_kept.unionAll(among)))
+    component = F.coalesce("component", "node").alias("component")
+    units = kept.join(joined, "node", "left").select(component, "unit", "n", "total")
+    loose = rest.join(joined.withColumnRenamed("node", "id"), "id").select("component", "id", "copies", "vec").mapInArrow(_as_leaves(dims), units.schema)
+    labels = cut(units.unionAll(loose).groupBy("component").applyInArrow(_warded(dims, least), "unit bigint, cluster_key bigint, middle binary"))
+
+    here = covered.join(F.broadcast(kept.select("leaf", "unit").join(labels, "unit").drop("unit")), "leaf").select("id", "vec", "copies", "cluster_key", "middle")
+    here = here.unionAll(rest.join(labels.withColumnRenamed("unit", "id"), "id").select("id", "vec", "copies", "cluster_key", "middle"))
+    alone = rest.join(joined, F.col("id") == F.col("node"), "left_anti").select("id", "copies", F.col("id").alias("cluster_key"), F.lit(1.0).alias("nearness"))
+    members = cut(here.mapInArrow(_nearness(dims), "id bigint, copies bigint, cluster_key bigint, nearness double").unionAll(alone))
+    order = Window.partitionBy("cluster_key").orderBy(F.desc("nearness"), "id")
+    top = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= typical)
+    size = members.groupBy("cluster_key").agg(F.sum("copies").alias("size"))
+    number = numbered(size.select("cluster_key"), "cluster_key", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+    return top.join(size, "cluster_key").join(number, "cluster_key").select("cluster", "id", "size", "nearness", "nth")
+
+
+def _least_product(length: np.ndarray, least: float) -> np.ndarray:
+    """The share of leaves with means of this length in the bound of `describe`: leaves i and j are linked if their means' product is at least share i * share j.
+
+    Ward's first condition is sum a . sum b >= least |sum a| |sum b|, so some pair of leaves reaches least times the lengths of the clusters' means; the mean of
+    a cluster of several leaves is at least sqrt(least) long, that of one leaf as long as it is.
+    """
+    return np.sqrt(least) * np.minimum(length, np.sqrt(least))
+
+
+def _components_of_leaves(mean: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each leaf the first leaf of its component."""
+    root = np.full(len(mean), -1)
+    for k in range(len(mean)):
+        front = np.array([k] if root[k] < 0 else [], np.int64)
+        root[front] = k
+        while len(front):
+            hit = np.zeros(len(mean), bool)
+            for at in range(0, len(front), 256):
+                f = front[at : at + 256]
+                hit |= (mean @ mean[f].T >= share[:, None] * share[f] - 1e-6).any(axis=1)
+            front = np.flatnonzero(hit & (root < 0))
+            root[front] = k
+    return root
+
+
+def _beside_leaves(dims: int, mean: np.ndarray, share: np.ndarray, node: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b): a vector that is a leaf of its own and the node of each component of kept leaves that it is linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_batch(batches, 1024):
+            r, c = np.nonzero(unit(unpack(t["vec"], dims)) @ mean.T >= _least_product(np.ones(1), least) * share - 1e-6)
+            found = np.unique(np.stack([t["id"].to_numpy()[r], node[c]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _as_leaves(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_batch(batches, 8192):
-            c = of_leaf[t["leaf"].to_numpy()]
-            near = np.round((unit(unpack(t["vec"], dims)) * middle[c]).sum(1), 6)
-            yield from pa.table([t["id"], t["copies"], pa.array(c), pa.array(near)], ["id", "copies", "cluster", "nearness"]).to_batches()
+            total = unit(unpack(t["vec"], dims)) * t["copies"].to_numpy()[:, None]
+            yield from pa.table([t["component"], t["id"], t["copies"], pa.array([x.astype("<f8").tobytes() for x in total], pa.binary())], ["component", "unit", "n", "total"]).to_batches()
 
-    members = cut(seen.select("id", "vec", "leaf", "copies").mapInArrow(nearness, "id bigint, copies bigint, cluster int, nearness double"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("nearness"), "id")
-    top = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= typical)
-    size = members.groupBy("cluster").agg(F.sum("copies").alias("size"))
-    return top.join(size, "cluster").select("cluster", "id", "size", "nearness", "nth")
+    return run
+
+
+def _warded(dims: int, least: float) -> Callable[[pa.Table], pa.Table]:
+    """(unit, cluster_key, middle): cluster of each leaf of a component, by its smallest unit, and the cluster's centre."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, n, total = t["unit"].to_numpy(), t["n"].to_numpy(), _totals(t["total"], dims)
+        order = np.lexsort((ids, -n))  # the result does not depend on the order of rows
+        ids, n, total = ids[order], n[order], total[order]
+        kinds, at = np.unique(ward(unit(total), n, total, least), return_inverse=True)
+        key = np.full(len(kinds), np.iinfo(np.int64).max)
+        np.minimum.at(key, at, ids)
+        middle = np.zeros((len(kinds), dims))
+        np.add.at(middle, at, total)
+        blobs = [x.astype("<f8").tobytes() for x in unit(middle)]
+        return pa.table([pa.array(ids), pa.array(key[at]), pa.array([blobs[k] for k in at], pa.binary())], ["unit", "cluster_key", "middle"])
+
+    return run
+
+
+def _nearness(dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_batch(batches, 8192):
+            near = np.round((unit(unpack(t["vec"], dims)) * _totals(t["middle"], dims)).sum(1), 6)
+            yield from pa.table([t["id"], t["copies"], t["cluster_key"], pa.array(near)], ["id", "copies", "cluster_key", "nearness"]).to_batches()
+
+    return run
 
 
 def _leaf_sums(seen: DataFrame, dims: int) -> list:

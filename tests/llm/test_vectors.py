@@ -148,6 +148,32 @@ def test_described_clusters(spark):
     assert all(r.nearness > 0.98 and r.nth <= 3 for r in got) and len(got) == 9
 
 
+@pytest.mark.parametrize("most", [0, 2, 4096])
+def test_described_clusters_hold_every_vector(spark, monkeypatch, most):
+    """Groups of four cells, and cells unlike all others, are found however few leaves are kept."""
+    monkeypatch.setattr(clusters, "MAX_LEAVES", most)
+    rng = np.random.default_rng(8)
+    base = np.eye(32)
+    rows = np.vstack([np.repeat(base[:12], 4, 0) + 0.01 * rng.standard_normal((48, 32)), base[12:20], base[12:13]])
+    got = clusters.describe(frame(spark, range(57), rows), 32).collect()
+    assert sum(r.size for r in got if r.nth == 1) == 57
+    assert sorted(r.size for r in got if r.nth == 1) == [1] * 7 + [2] + [4] * 12
+    assert all({r.id // 4 for r in got if r.cluster == c} == {c} for c in range(12))
+
+
+def test_ward_by_components_is_ward(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MAX_LEAVES", 0)
+    rng = np.random.default_rng(9)
+    rows = np.vstack([clustered(rng, 300, noise=0.25), rng.standard_normal((30, 16))])
+    u = vectors.unit(np.asarray(rows, np.float32))
+    label = clusters.ward(u, np.ones(330, np.int64), u, 0.9)
+    want = {frozenset(np.flatnonzero(label == k).tolist()) for k in np.unique(label)}
+    found = {}
+    for r in clusters.describe(frame(spark, range(330), rows), 16, typical=330).collect():
+        found.setdefault(r.cluster, set()).add(r.id)
+    assert len(want) > 30 and max(map(len, want)) > 5 and {frozenset(x) for x in found.values()} == want
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(500 + k, 501 + k) for k in range(40)] + [(3, 3), (None, 4)]
