@@ -86,6 +86,14 @@ def _met(asked: bytes | None, held: bytes | None, probes: int) -> bool:
     return bool((q == d[:, :1]).any())
 
 
+def _first_by_cosine(asked: np.ndarray, held: np.ndarray, itself: np.ndarray, n: int) -> np.ndarray:
+    """For each asked row the places of its first n held rows by (rounded cosine, place) but `itself`, in no order; held rows stand in the order of their ids."""
+    place = np.arange(len(held))
+    key = -np.rint((asked @ held.T) * 1e6).astype(np.int64) * len(held) + place
+    key[itself[:, None] == place] = np.iinfo(np.int64).max
+    return np.argpartition(key, n - 1, axis=1)[:, :n]
+
+
 def _best_of_block(dims: int, k: int, least: float, probes: int) -> Callable[[pa.Table], pa.Table]:
     """Of each asked row its k best held rows by (rounded cosine, smaller id), of those it has not met in an earlier table."""
 
@@ -95,18 +103,21 @@ def _best_of_block(dims: int, k: int, least: float, probes: int) -> Callable[[pa
         earlier = t["earlier"].to_pylist()
         small = rows.astype(np.float32)
         held = _kinds(np.flatnonzero(t["is_d"].to_numpy()), earlier)
-        wide = k + 4  # candidates by float32; the order among them is exact
+        wide = k + 4  # candidates by float32, where that leaves no doubt; the order among them is exact
+        # float32 scores err by less than (dims + 2) / 2^24; scores farther apart than this have different rounded cosines in the same order
+        margin = 1e-6 + 2 * (dims + 2) / 2**24
         out_q, out_c, out_s = [], [], []
         for asked, kind in _kinds(np.flatnonzero(t["is_q"].to_numpy()), earlier):
             among = [d for d, other in held if not _met(kind, other, probes)]
             if not among:
                 continue
-            among = np.sort(np.concatenate(among))
+            among = np.concatenate(among)
+            among = among[np.argsort(ids[among])]
             place = np.full(len(ids), -1)
             place[among] = np.arange(len(among))
             for at in range(0, len(asked), 512):
                 q = asked[at : at + 512]
-                best_i, best_s = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
+                best_i, best_e = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
                 for from_ in range(0, len(among), 4096):
                     d = among[from_ : from_ + 4096]
                     s = small[q] @ small[d].T
@@ -114,16 +125,21 @@ def _best_of_block(dims: int, k: int, least: float, probes: int) -> Callable[[pa
                     here = np.flatnonzero((itself >= 0) & (itself < len(d)))
                     s[here, itself[here]] = -2
                     n = min(wide, len(d))
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(d) else np.tile(np.arange(len(d)), (len(q), 1))
-                    best_i = np.hstack([best_i, d[top]])
-                    best_s = np.hstack([best_s, np.take_along_axis(s, top, 1)])
-                    if best_i.shape[1] > wide:
-                        keep = np.argpartition(-best_s, wide - 1, axis=1)[:, :wide]
-                        best_i, best_s = np.take_along_axis(best_i, keep, 1), np.take_along_axis(best_s, keep, 1)
-                exact = np.round(np.einsum("qd,qcd->qc", rows[q], rows[best_i]), 6)
-                exact[best_s < -1.5] = -2
-                order = np.lexsort((ids[best_i], -exact), axis=1)[:, :k]
-                exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best_i], order, 1)
+                    if n < len(d):
+                        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                        kept = np.sort(np.take_along_axis(s, top, 1), axis=1)
+                        kth = kept[:, n - k]
+                        doubt = np.flatnonzero((kept[:, 0] >= kth - margin) & (kth >= least - margin))
+                        for x in np.array_split(doubt, -(-len(doubt) // 128)) if len(doubt) else []:
+                            top[x] = _first_by_cosine(rows[q[x]], rows[d], itself[x], n)
+                    else:
+                        top = np.tile(np.arange(len(d)), (len(q), 1))
+                    exact = np.round(np.einsum("qd,qcd->qc", rows[q], rows[d[top]]), 6)
+                    exact[top == itself[:, None]] = -2
+                    best_i, best_e = np.hstack([best_i, d[top]]), np.hstack([best_e, exact])
+                    order = np.lexsort((ids[best_i], -best_e), axis=1)[:, :k]
+                    best_i, best_e = np.take_along_axis(best_i, order, 1), np.take_along_axis(best_e, order, 1)
+                exact, found = best_e, ids[best_i]
                 ok = exact >= least
                 out_q.append(np.repeat(ids[q], ok.sum(1)))
                 out_c.append(found[ok])

@@ -103,6 +103,17 @@ def test_copies_have_their_smallest_fellows(spark):
     assert got[19] == {0, 1, 2, 3, 4} and got[0] == {1, 2, 3, 4, 5} and got[3] == {0, 1, 2, 4, 5}
 
 
+@pytest.mark.parametrize("n", [50, 4500])
+def test_near_ties_go_to_the_smallest_ids(spark, n):
+    """Vectors of one direction but different length have distinct bytes and one rounded cosine."""
+    rng = np.random.default_rng(10)
+    rows, ids = rng.standard_normal(16) * rng.uniform(0.1, 9, (n, 1)), rng.permutation(n)
+    got = {}
+    for r in neighbours.nearest(frame(spark, ids, rows), 16).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert got == {k: set([x for x in range(6) if x != k][:5]) for k in range(n)}
+
+
 def test_nothing_to_compare(spark):
     empty = frame(spark, [], np.zeros((0, 4)))
     assert neighbours.nearest(empty, 4).count() == 0 and clusters.linked_groups(empty, 4).count() == 0 and clusters.describe(empty, 4).count() == 0
