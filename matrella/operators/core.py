@@ -62,19 +62,20 @@ def axis_matrix(matrix: DataFrame, obs_ids: DataFrame | None, var_ids: DataFrame
     return matrix
 
 
-def numbered(keys: DataFrame, by: str, name: str, start: int = 0) -> DataFrame:
-    """keys (distinct, not null) with their place in ascending order of `by`, from `start`.
+def numbered(keys: DataFrame, by: str | Sequence[str], name: str, start: int = 0) -> DataFrame:
+    """keys (distinct, not null) with their place in ascending order of `by` (one column or several), from `start`.
 
     Up to NUMBERING_STEP keys are numbered by one sort.  More of them are range-partitioned and written out once, so that the ranges stay as they are when
     tasks are repeated; each range is numbered by its own task and shifted by the sizes of the ranges before (one row a range).
     """
+    by = [by] if isinstance(by, str) else list(by)
     n = keys.count()
     if n <= NUMBERING_STEP:
-        return keys.withColumn(name, (F.row_number().over(Window.orderBy(by)) - 1 + F.lit(start)).cast("bigint"))
-    ranges = cut(keys.repartitionByRange(-(-n // NUMBERING_STEP), by).withColumn("__range", F.spark_partition_id()))
+        return keys.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1 + F.lit(start)).cast("bigint"))
+    ranges = cut(keys.repartitionByRange(-(-n // NUMBERING_STEP), *by).withColumn("__range", F.spark_partition_id()))
     sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*by)) - 1
     out = ranges.withColumn("__within", within).join(before, "__range")
     return out.withColumn(name, (F.col("__within") + F.col("__before") + F.lit(start)).cast("bigint")).drop("__range", "__within", "__before")
 

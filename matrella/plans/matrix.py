@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrella.functions.coords import select_coords
@@ -356,21 +356,34 @@ def enum_levels(t: Read) -> DataFrame:
     return t("orders").select(F.col("o_orderpriority").alias("level")).where("level is not null").distinct()
 
 
-def _ordered(t: Read, order: str) -> DataFrame:
-    few = select_coords(_x(t), ["soma_dim_0"], [slice(0, 200)])
-    rows = core.in_order(few, ["soma_dim_0", "soma_dim_1"], order)
-    first = rows.columns[:2] if order == "row-major" else rows.columns[:2][::-1]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*first)).cast("bigint"))
+def _ordered(matrix: DataFrame, order: str) -> DataFrame:
+    """The matrix in a result order, with the place of each cell in it, numbered by ranges."""
+    dims = ["soma_dim_0", "soma_dim_1"]
+    return core.in_order(core.numbered(matrix, dims if order == "row-major" else dims[::-1], "place", 1), dims, order)
+
+
+def _few(t: Read) -> DataFrame:
+    return select_coords(_x(t), ["soma_dim_0"], [slice(0, 200)])
 
 
 @query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_0, soma_dim_1) AS place FROM ({_X}) WHERE soma_dim_0 BETWEEN 0 AND 200")
 def result_order_row(t: Read) -> DataFrame:
-    return _ordered(t, "row-major")
+    return _ordered(_few(t), "row-major")
 
 
 @query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_1, soma_dim_0) AS place FROM ({_X}) WHERE soma_dim_0 BETWEEN 0 AND 200")
 def result_order_column(t: Read) -> DataFrame:
-    return _ordered(t, "column-major")
+    return _ordered(_few(t), "column-major")
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_0, soma_dim_1) AS place FROM ({_X})")
+def result_order_row_whole(t: Read) -> DataFrame:
+    return _ordered(_x(t), "row-major")
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_1, soma_dim_0) AS place FROM ({_X})")
+def result_order_column_whole(t: Read) -> DataFrame:
+    return _ordered(_x(t), "column-major")
 
 
 # --- spatial ---------------------------------------------------------------------------------------------------------------------------

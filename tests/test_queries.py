@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from matrella.operators import core
 from tests.oracle import connection, rows
 
 Q, SQL = entry.queries(), entry.oracle_sql()
@@ -24,6 +25,15 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["result_order_row_whole", "result_order_column_whole"])
+def test_result_order_of_the_whole_matrix(spark, sf, duck, monkeypatch, name):
+    """Numbered in several ranges, no task sorts all cells; rows come in the order of their places."""
+    monkeypatch.setattr(core, "NUMBERING_STEP", 1000)
+    got = Q[name](spark, sf).toPandas()
+    assert len(got) > 5000 and got["place"].tolist() == list(range(1, len(got) + 1))
+    assert rows(got) == rows(duck.execute(SQL[name]).fetch_df())
+
+
 def test_sql_only_for_queries():
     assert set(SQL) <= set(Q)
 
