@@ -130,8 +130,8 @@ def _expand(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner, np.repeat(first, size) + within
 
 
-def align(chars: np.ndarray, doc_at: np.ndarray, ix: Index, item: np.ndarray, width: int) -> np.ndarray:
-    """Best local alignment score of each passage `item` in the band of diagonals doc_at .. doc_at + width - 1 of the row of characters."""
+def align(chars: np.ndarray, doc_at: np.ndarray, ix: Index, item: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Best local alignment score of each passage `item` in the band of diagonals doc_at .. doc_at + width - 1 of the characters begin .. end - 1."""
     steps = np.arange(width)
     best = np.zeros(len(item), np.int32)
     score = np.zeros((len(item), width), np.int32)
@@ -142,7 +142,7 @@ def align(chars: np.ndarray, doc_at: np.ndarray, ix: Index, item: np.ndarray, wi
         live = i < ix.length[item]
         c = ix.text[np.minimum(ix.start[item] + i, len(ix.text) - 1)]
         at = doc_at[:, None] + i + steps
-        d = padded[np.where((at >= 0) & (at < len(chars)), at, len(chars))]
+        d = padded[np.where((at >= begin[:, None]) & (at < end[:, None]), at, len(chars))]
         hit = (d == c[:, None]) & live[:, None]
         # the band moves one character along with the passage: straight on is the same column, a passage character without
         # partner comes from one column further, a document character without partner from one column before
@@ -188,11 +188,11 @@ def leaks_of(chars: np.ndarray, ends: np.ndarray, ix: Index, edits: int, q: int
     keep = np.flatnonzero(held[cell + 1] + np.maximum(held[cell], held[cell + 2]) >= ix.bound[item])
     if not len(keep):
         return none
-    place, item, diagonal = place[keep], item[keep], diagonal[keep]
+    place, pair, diagonal = place[keep], pair[keep], diagonal[keep]
     band = np.concatenate([2 * (diagonal // (2 * half)), 2 * ((diagonal + half) // (2 * half)) + 1])
-    key = np.tile(item, 2) * (1 << 40) + band
+    key = np.tile(pair, 2) * (1 << 32) + band  # a band never goes beyond its document
     kinds, inverse, shared = np.unique(key, return_inverse=True, return_counts=True)
-    which = kinds >> 40
+    doc, which = np.divmod(kinds >> 32, len(ix.items))
     good = shared >= ix.bound[which]
     if not good.any():
         return none
@@ -208,18 +208,17 @@ def leaks_of(chars: np.ndarray, ends: np.ndarray, ix: Index, edits: int, q: int
     whole = blanks[p[end] + q] - blanks[p[start]] - 1
     words = np.zeros(len(kinds), np.int64)
     np.maximum.at(words, b[start], whole)
-    some = np.zeros(len(kinds), np.int64)
-    some[b] = p
     chosen = np.flatnonzero(good)
-    number = kinds[chosen] & ((1 << 40) - 1)
+    number = kinds[chosen] & ((1 << 32) - 1)
     low = (number // 2) * 2 * half - (number % 2) * half - (1 << 20)
+    begin = np.concatenate([[0], ends[:-1]])
     score = np.zeros(len(chosen), np.int64)
     for k in range(0, len(chosen), 512):
         s = slice(k, k + 512)
-        score[s] = align(chars, low[s] - edits, ix, which[chosen[s]], 2 * half + 2 * edits)
+        score[s] = align(chars, low[s] - edits, ix, which[chosen[s]], 2 * half + 2 * edits, begin[doc[chosen[s]]], ends[doc[chosen[s]]])
     fine = score >= ix.score[which[chosen]]
     chosen, score = chosen[fine], score[fine]
-    return np.searchsorted(ends, some[chosen], side="right"), which[chosen], shared[chosen], score, words[chosen]
+    return doc[chosen], which[chosen], shared[chosen], score, words[chosen]
 
 
 def _pieces(texts: list[str], overlap: int, longest: int = 1 << 20) -> tuple[list[str], np.ndarray]:

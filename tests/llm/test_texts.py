@@ -165,6 +165,24 @@ def test_no_run_of_ten_words_is_missed(words, start, edit):
     assert exact.max(initial=0) >= 10
 
 
+def test_neighbouring_texts_are_kept_apart():
+    """The next text goes on with the same passage, on the same diagonals."""
+
+    def found(passage, *texts):
+        ix = leaks.build_index([(1, leaks.normal(passage))], 10, 1)
+        texts = [leaks.normal(t) for t in texts]
+        chars = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        doc, _, _, _, exact = leaks.leaks_of(chars, np.cumsum([len(t) + 1 for t in texts]), ix, 1)
+        return {int(d): int(exact[doc == d].max()) for d in doc}
+
+    words = [f"word{k}" for k in range(30)]
+    assert found(" ".join(words), " ".join(words[:14]), " ".join(words[14:]), "other") == {0: 14, 1: 16}
+    assert found(" ".join(words), "other", " ".join(words[:14]), " ".join(words[14:19])) == {1: 14}
+    short = [a + b for a in "abcd" for b in "wxyz"]
+    assert found(" ".join(short), " ".join(short[:6]), " ".join(short[6:12])) == {}  # no text holds ten words
+    assert found(" ".join(short), " ".join(short[:12])) == {0: 12}
+
+
 def test_gram_codes_by_doubling():
     chars = np.array([5, 6, 7, 5, 6, 7, 8], np.uint32)
     for q in (1, 2, 3, 5, 7):
