@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator, Mapping
+import warnings
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -159,33 +160,45 @@ def promotions(found: DataFrame, target: Iterable[str], max_names: int = 10_000)
     """Drifted name -> target field, from the renames found.
 
     Names linked by renames, directly or through others, stand for one field; such a set is promoted if it holds exactly one target
-    name (compared without case, last part of an inner name).  The distinct names of fields, not of records, come to the driver; more
-    than `max_names` of them are refused.
+    name (compared without case, last part of an inner name).  Renames found in more files count first: one that would link two targets is
+    refused, so a chance rename does not undo better ones.  Where renames of as many files contradict each other, the names concerned are
+    not promoted; a warning names them.  The distinct names of fields, not of records, come to the driver; more than `max_names` of them
+    are refused.
     """
-    edges = found.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(max_names + 1).collect()
+    renamed = found.where("change_kind = 'renamed'").groupBy("old_field", "new_field").agg(F.countDistinct("file_id").alias("n"))
+    edges = renamed.limit(max_names + 1).collect()
     if len(edges) > max_names:
         raise ValueError(f"more than {max_names} distinct renames; these are not field names")
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for e in edges:
-        parent[root(e.old_field)] = root(e.new_field)
     wanted = {t.lower(): t for t in target}
-    sets: dict[str, set[str]] = {}
-    for name in list(parent):
-        sets.setdefault(root(name), set()).add(name)
-    out: dict[str, str] = {}
-    for names in sets.values():
-        hits = {wanted[k] for n in names if (k := n.rsplit("/", 1)[-1].lower()) in wanted}
-        if len(hits) == 1:
-            out |= dict.fromkeys(sorted(names), hits.pop())
-    return out
+    weight: dict[tuple[str, str], int] = {}
+    for e in edges:
+        pair = min(e.old_field, e.new_field), max(e.old_field, e.new_field)
+        weight[pair] = weight.get(pair, 0) + e.n
+    of = {name: k for k, name in enumerate(sorted({x for pair in weight for x in pair}))}  # number of the set of each name
+    sets = {k: {name} for name, k in of.items()}
+    hits = {k: {wanted[t]} if (t := name.rsplit("/", 1)[-1].lower()) in wanted else set() for name, k in of.items()}
+    doubtful: set[int] = set()
+    for n in sorted(set(weight.values()), reverse=True):
+        beside: dict[int, set[int]] = {}
+        for (x, y), w in weight.items():
+            if w == n and of[x] != of[y]:
+                beside.setdefault(of[x], set()).add(of[y])
+                beside.setdefault(of[y], set()).add(of[x])
+        while beside:
+            group, new = set(), {next(iter(beside))}
+            while new:
+                group |= new
+                new = {z for k in new for z in beside.pop(k)} - group
+            if len(set().union(*(hits[k] for k in group))) > 1 or group & doubtful:
+                warnings.warn(f"renames contradict each other: {', '.join(sorted(x for k in group for x in sets[k]))}", stacklevel=2)
+                doubtful |= {k for k in group if not hits[k]}
+                continue
+            first = min(group)
+            for k in group - {first}:
+                sets[first] |= sets[k]
+                hits[first] |= hits[k]
+                of |= dict.fromkeys(sets.pop(k), first)
+    return {name: min(hits[k]) for k, names in sets.items() if hits[k] for name in sorted(names)}
 
 
 def _line_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,14 +216,15 @@ def _line_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ingest(files: DataFrame, target: Mapping[str, str]) -> DataFrame:
     """All lines as (file_id, line_no, soma_joinid, target fields typed, _rescued).
 
-    target: field -> Spark type.  A field of exactly that name is taken if it can be cast; every other non-null field, and every value
+    target: field -> Spark type.  A field of exactly that name is taken if it can be cast, else the first by name of those that equal it without case
+    (last part of an inner name); every other non-null field, and every value
     that cannot be cast, stays in `_rescued` (a JSON object of texts, null when nothing is left).
     """
     raw = files.select("file_id", "line_no", "payload").mapInPandas(_line_rows, "file_id bigint, line_no int, soma_joinid bigint, _rescued string")
     raw = raw.withColumn("__m", F.from_json("_rescued", "map<string,string>"))
     for field, kind in target.items():
         raw = raw.withColumn(field, F.lit(None).cast(kind))
-    return _fill(raw, target, {f: f for f in target})
+    return _fill(raw, target, {f: f for f in target}, spellings=True)
 
 
 def replay(table: DataFrame, target: Mapping[str, str], promoted: Mapping[str, str]) -> DataFrame:
@@ -227,17 +241,25 @@ def _cast(text: Column, kind: str) -> Column:
     return text if kind == "string" else text.try_cast(kind)
 
 
-def _fill(df: DataFrame, target: Mapping[str, str], names: Mapping[str, str]) -> DataFrame:
-    cols, used = {}, []
+def _spelled(field: str, agrees: Callable[[Column], Column]) -> Column:
+    """The rescued names that equal the field without case and whose values agree."""
+    return F.map_keys(F.map_filter("__m", lambda k, v: (F.lower(F.substring_index(k, "/", -1)) == field.lower()) & agrees(v)))
+
+
+def _fill(df: DataFrame, target: Mapping[str, str], names: Mapping[str, str], spellings: bool = False) -> DataFrame:
+    cols, used, spelled = {}, [], []
     for field, kind in target.items():
         sources = sorted(n for n, f in names.items() if f == field)
         tries = [_cast(F.try_element_at("__m", F.lit(n)), kind) for n in sources]
+        if spellings:
+            tries.append(_cast(F.try_element_at("__m", F.array_min(_spelled(field, lambda v, kind=kind: _cast(v, kind).isNotNull()))), kind))
+            spelled.append(_spelled(field, lambda v, kind=kind, field=field: F.coalesce(_cast(v, kind) == F.col(f"`{field}`"), F.lit(False))))
         cols[field] = F.coalesce(F.col(f"`{field}`"), *tries) if tries else F.col(f"`{field}`")
         # a value leaves the rescue column when it agrees with what the typed column now holds
         used += [(n, _cast(F.try_element_at("__m", F.lit(n)), kind).eqNullSafe(F.col(f"`{field}`")) & F.col(f"`{field}`").isNotNull()) for n in sources]
     df = df.withColumns(cols)
     gone = F.array_compact(F.array(*[F.when(done, F.lit(n)) for n, done in used])) if used else F.array().cast("array<string>")
-    df = df.withColumn("__gone", gone)
+    df = df.withColumn("__gone", F.concat(gone, *spelled))
     left = F.map_filter("__m", lambda k, _: ~F.array_contains("__gone", k))
     df = df.withColumn("_rescued", F.when(F.size(left) > 0, F.to_json(left)))
     return df.drop("__m", "__gone")

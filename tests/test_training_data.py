@@ -175,6 +175,23 @@ def test_promotions(spark):
     assert drift.promotions(f, TARGET) == {"x": "x", "y": "x", "z": "x"}
 
 
+def test_a_chance_rename_undoes_no_promotion(spark):
+    edges = [(k, "renamed", "x", "X_drift") for k in range(3)] + [(k + 10, "renamed", "label", "name") for k in range(2)] + [(20, "renamed", "X_drift", "label"), (21, "removed", "label", "label")]
+    found = spark.createDataFrame(edges, "file_id bigint, change_kind string, old_field string, new_field string")
+    with pytest.warns(UserWarning, match="X_drift, label, name, x"):
+        assert drift.promotions(found, TARGET) == {"x": "x", "X_drift": "x", "label": "name", "name": "name"}
+    even = spark.createDataFrame([(1, "renamed", "x", "y"), (2, "renamed", "y", "name")], found.schema)
+    with pytest.warns(UserWarning):
+        assert drift.promotions(even, TARGET) == {"x": "x", "name": "name"}
+
+
+def test_spellings_without_case_need_no_rename(spark):
+    f = files(spark, [[{"soma_joinid": 1, "X": "3.0"}, {"soma_joinid": 2, "x": "many", "X": 5}, {"soma_joinid": 3, "inner": {"NAME": "n"}}, {"soma_joinid": 4, "x": 1, "X": 2}]])
+    rows = {r.soma_joinid: r for r in drift.ingest(f, TARGET).collect()}
+    assert rows[1].x == 3 and rows[1]._rescued is None and rows[3].name == "n" and rows[3]._rescued is None
+    assert rows[2].x == 5 and json.loads(rows[2]._rescued) == {"x": "many"} and rows[4].x == 1 and json.loads(rows[4]._rescued) == {"X": "2"}
+
+
 def test_no_value_is_lost_between_lines_and_table(spark, sf):
     """Every non-null field of every valid line is in a typed column or still rescued."""
     t = training_data.p3_table(spark, sf)
