@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator, MutableMapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, MutableMapping, Sequence
 from contextlib import suppress
 from datetime import datetime
 
@@ -17,16 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import DataFrame as Frame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as arrow_type
 
 from matrella.errors import DoesNotExistError, MatrellaError
-from matrella.functions.coords import check_coords, points_of, select_coords, slice_bounds
+from matrella.functions.coords import MAX_BROADCAST, check_coords, points_of, select_coords, slice_bounds
 from matrella.functions.filter_lang import columns_of, compile_tree, parse, parse_r
 from matrella.operators import core
-from matrella.operators.assemble import Compressed, IntIndexer, rows_per_block, strides
+from matrella.operators.assemble import Compressed, rows_per_block
 from matrella.store import types
 from matrella.store.log import Log, State, now_ms
 
-TS, FRAG = "__ts", "__frag"
+TS, FRAG, PLACE = "__ts", "__frag", "__place"
+#: Fragments of one read whose places are broadcast (about 60 bytes each); beyond that the engine chooses the join.
+MAX_PLACES = 100_000
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
@@ -275,26 +278,35 @@ class StoredArray(StoredObject):
     def snapshot(self, coords: object = ()) -> Frame:
         """The rows at the object's time.  Keys are selected before versions are resolved, values never are: they could bring old rows back."""
         s = self.state
-        coords = check_coords(coords, len(s.index))
+        coords = check_coords(coords, len(s.index), s.index)
         struct = types.struct(s.schema)
         fragments = self._fragments_for(coords)
         if not fragments:
             df = select_coords(self.spark.createDataFrame([], struct), s.index, coords, self._domains())
             return df
-        physical = types.T.StructType([*struct.fields, types.T.StructField(TS, types.T.LongType()), types.T.StructField(FRAG, types.T.StringType())])
-        df = self.spark.read.schema(physical).parquet(*[f"{self.uri}/frag/{f['id']}" for f in fragments])
+        physical = types.T.StructType([*struct.fields, types.T.StructField(FRAG, types.T.StringType())])
+        df = self.spark.read.schema(physical).parquet(*[f"{self.uri}/{f.get('dir', 'frag')}/{f['id']}" for f in fragments])
         df = select_coords(df, s.index, coords, self._domains())
+        # a fragment's place in the order of (time, sequence) says which of two versions is the later and which deletes follow it
+        places = {f["id"]: k for k, f in enumerate(s.fragments)}
+        if len(fragments) == 1:
+            df = df.withColumn(PLACE, F.lit(places[fragments[0]["id"]])).drop(FRAG)
+        elif s.deletes or not s.options.get("allows_duplicates"):
+            ids = pa.table({FRAG: [f["id"] for f in fragments], PLACE: pa.array([places[f["id"]] for f in fragments], pa.int32())})
+            at = self.spark.createDataFrame(ids)
+            df = df.join(F.broadcast(at) if len(fragments) <= MAX_PLACES else at, FRAG).drop(FRAG)
         if len(fragments) > 1 and not s.options.get("allows_duplicates"):
-            df = core.latest(df, [f"`{k}`" for k in s.index], [F.desc(TS), F.desc(FRAG)])
+            df = core.latest(df, [f"`{k}`" for k in s.index], [F.desc(PLACE)])
         for d in s.deletes:
-            df = self._without(df, d, struct)
+            before = sum(f["at"] < (d["ts"], d["seq"]) for f in s.fragments)
+            if before:
+                df = self._without(df, d, struct, F.col(PLACE) < before)
         return df.select(*[f"`{c}`" for c in struct.fieldNames()])
 
     def _domains(self) -> list[tuple] | None:
         return [tuple(d) if d and not isinstance(d[0], str) else None for d in self.state.domain] if self.state.domain else None
 
-    def _without(self, df: Frame, d: dict, struct: types.T.StructType) -> Frame:
-        old = F.col(TS) <= d["ts"]
+    def _without(self, df: Frame, d: dict, struct: types.T.StructType, old: Column) -> Frame:
         if "ids" in d:
             ids = self.spark.read.parquet(d["ids"]).select(F.col("soma_joinid").alias("__gone"))
             for dim in d["dims"]:
@@ -316,6 +328,9 @@ class StoredArray(StoredObject):
 
     @property
     def count(self) -> int:
+        s = self.state
+        if not s.deletes and (len(s.fragments) <= 1 or s.options.get("allows_duplicates")):
+            return self.fragment_cell_count()  # the log knows
         return self.snapshot().count()
 
     def fragment_cell_count(self) -> int:
@@ -355,7 +370,8 @@ class StoredArray(StoredObject):
         table = pa.table(cols, names=values.column_names)
         return self.spark.createDataFrame(table) if table.num_rows else self.spark.createDataFrame([], types.struct([c for c in self.state.schema if c["name"] in table.column_names]))
 
-    def _write(self, df: Frame) -> None:
+    def _write(self, df: Frame, within: Sequence[tuple] | None = None, **note: object) -> None:
+        """Write df as one fragment, its keys within the domain and the box that may be given; `note` goes into its log entry."""
         self.need("w")
         s = self.state
         names = [c["name"] for c in s.schema]
@@ -386,27 +402,28 @@ class StoredArray(StoredObject):
                 stats.append(F.count_if(F.col(f"`{c['name']}`").isNull()).alias(f"hole{k}"))
         ts, name = self.stamp(), None
         name = f"{ts:015d}_{uuid.uuid4().hex}"
-        out = f"{self.uri}/frag/{name}"
+        out = f"{self.uri}/stage/{name}"
         order = df.withColumn(TS, F.lit(ts).cast("bigint")).withColumn(FRAG, F.lit(name))
         clustered = order if s.options.get("unsorted") else order.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        # what is wrong shows in the data written; nothing is visible before the log entry
-        clustered.write.option("compression", "zstd").parquet(out)
+        # what is wrong shows in the data written, which lies apart until it is found right; nothing is visible to readers before the log entry
+        clustered.write.option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS).parquet(out)
         got = self.spark.read.schema(order.schema).parquet(out).agg(*stats).first()
         try:
-            self._check_written(s, got)
+            self._check_written(s, got, within)
             self._extend_levels(s, self.spark.read.schema(order.schema).parquet(out))
         except Exception:
             self.log.files.delete(out)
             raise
-        self.record({"op": "fragment", "ts": ts, "id": name, "rows": got.n, "low": [_jsonable(got[f"low{k}"]) for k in range(len(keys))], "high": [_jsonable(got[f"high{k}"]) for k in range(len(keys))]})
+        self.log.files.move(out, f"{self.uri}/frag/{name}")
+        self.record({"op": "fragment", **note, "ts": ts, "id": name, "rows": got.n, "low": [_jsonable(got[f"low{k}"]) for k in range(len(keys))], "high": [_jsonable(got[f"high{k}"]) for k in range(len(keys))]})
 
-    def _check_written(self, s: State, got: object) -> None:
+    def _check_written(self, s: State, got: object, within: Sequence[tuple] | None) -> None:
         if not got.n:
             return
         for k, key in enumerate(s.index):
             if got[f"null{k}"]:
                 raise ValueError(f"index column {key!r} holds nulls")
-            dom = s.domain[k] if s.domain else None
+            dom = within[k] if within else s.domain[k] if s.domain else None
             low, high = got[f"low{k}"], got[f"high{k}"]
             if dom and dom[0] is not None and not isinstance(dom[0], str):
                 lo, hi = ((datetime.fromisoformat(x["at"]) if isinstance(x, dict) else x) for x in dom)
@@ -435,21 +452,22 @@ class StoredArray(StoredObject):
         ts = self.stamp()
         name = f"{ts:015d}_{uuid.uuid4().hex}"
         keys = [f"`{k}`" for k in s.index]
+        # apart from the written fragments: whoever follows those has seen these rows
         df = self.snapshot().withColumn(TS, F.lit(ts).cast("bigint")).withColumn(FRAG, F.lit(name))
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(f"{self.uri}/frag/{name}")
-        got = self.spark.read.schema(df.schema).parquet(f"{self.uri}/frag/{name}").agg(F.count(F.lit(1)).alias("n"), *[f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
-        fragment = {"id": name, "ts": ts, "rows": got.n, "low": [_jsonable(got[f"low{k}"]) for k in range(len(keys))], "high": [_jsonable(got[f"high{k}"]) for k in range(len(keys))]}
-        old = [f["id"] for f in s.fragments]
-        self.record({"op": "consolidate", "ts": ts, "fragment": fragment, "replaces": old})
-        for f in old:
-            self.log.files.delete(f"{self.uri}/frag/{f}")
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(f"{self.uri}/base/{name}")
+        got = self.spark.read.schema(df.schema).parquet(f"{self.uri}/base/{name}").agg(F.count(F.lit(1)).alias("n"), *[f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
+        fragment = {"id": name, "dir": "base", "ts": ts, "rows": got.n, "low": [_jsonable(got[f"low{k}"]) for k in range(len(keys))], "high": [_jsonable(got[f"high{k}"]) for k in range(len(keys))]}
+        old = {f["id"]: f.get("dir", "frag") for f in s.fragments}
+        self.record({"op": "consolidate", "ts": ts, "fragment": fragment, "replaces": list(old), "applied": [d["seq"] for d in s.deletes]})
+        for f, place in old.items():
+            self.log.files.delete(f"{self.uri}/{place}/{f}")
 
     # deleting
 
     def _delete(self, coords: object, value_filter: str | None) -> None:
         self.need("d")
         s = self.state
-        coords = check_coords(coords, len(s.index))
+        coords = check_coords(coords, len(s.index), s.index)
         packed = []
         for k, (name, c) in enumerate(zip(s.index, coords)):
             dom = (s.domain[k] if s.domain else None) or (None, None)
@@ -510,6 +528,8 @@ class StoredArray(StoredObject):
 
 
 MAX_LEVELS = 32_767
+#: rows of one file of a fragment
+MAX_RECORDS = 100_000_000
 
 
 class DataFrame(StoredArray):
@@ -682,8 +702,8 @@ class SparseNDArray(NDArray):
         _check_read(batch_size, partitions)
         return SparseRead(self, coords, core.in_order(self.snapshot(coords), self.state.index, result_order))
 
-    def write(self, values: object) -> SparseNDArray:
-        """COO as a table or frame, an Arrow COO, CSR or CSC tensor, or a compressed block."""
+    def write(self, values: object, bbox: Sequence[tuple[int, int]] | None = None) -> SparseNDArray:
+        """COO as a table or frame, an Arrow COO, CSR or CSC tensor, or a compressed block; cells outside a bounding box that is given are an error."""
         if isinstance(values, Compressed):
             i, j, d = values.to_coo()
             values = pa.table({"soma_dim_0": i, "soma_dim_1": j, "soma_data": d})
@@ -693,8 +713,10 @@ class SparseNDArray(NDArray):
         elif isinstance(values, pa.SparseCSRMatrix | pa.SparseCSCMatrix):
             data, indptr, indices = values.to_numpy()
             kind = "csr" if isinstance(values, pa.SparseCSRMatrix) else "csc"
-            return self.write(Compressed(indptr.reshape(-1), indices.reshape(-1), data.reshape(-1), values.shape, kind))
-        self._write(self._frame_of(values))
+            return self.write(Compressed(indptr.reshape(-1), indices.reshape(-1), data.reshape(-1), values.shape, kind), bbox)
+        if bbox is not None and (len(bbox) != self.ndim or any(not d[0] <= a <= b <= d[1] for d, (a, b) in zip(self.state.domain, bbox))):
+            raise ValueError(f"the box {bbox} does not lie in the shape {self.shape}")
+        self._write(self._frame_of(values), bbox)
         return self
 
     def delete_cells(self, coords: object) -> None:
@@ -726,40 +748,118 @@ class SparseRead:
         return Blockwise(self, axes[0], size or (1 << 16 if axes[0] == 0 else 1 << 8), off)
 
 
+class Span:
+    """Consecutive joinids, written out only where they are asked for."""
+
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, max(first, end)
+
+    def __len__(self) -> int:
+        return self.end - self.first
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        lo, hi, step = at.indices(len(self))
+        return np.arange(self.first + lo, self.first + hi, step)
+
+    def __array__(self, dtype: object = None, copy: object = None) -> np.ndarray:
+        return np.arange(self.first, self.end, dtype=dtype or np.int64)
+
+    def tolist(self) -> list[int]:
+        return list(range(self.first, self.end))
+
+
 class Blockwise:
-    """Blocks of complete rows (axis 0) or columns (axis 1), one after the other; joinids say which they are."""
+    """Blocks of complete rows (axis 0) or columns (axis 1); joinids say which they are.
+
+    `frame` and `over` work on all blocks at once in tasks; the iterators hand them to the driver one after the other, from one job whose partitions come
+    in the order of the blocks.
+    """
 
     def __init__(self, read: SparseRead, axis: int, size: int, keep: Sequence[int]):
         self.read, self.axis, self.size, self.keep = read, axis, size, keep
         self.array = read.array
 
-    def _ids(self, k: int) -> np.ndarray:
-        c = check_coords(self.read.coords, self.array.ndim)[k]
+    def _ids(self, k: int) -> Span | np.ndarray:
+        c = check_coords(self.read.coords, self.array.ndim, self.array.index_column_names)[k]
         n = self.array.shape[k]
         if c is None or isinstance(c, slice):
             s = c or slice(None)
-            return np.arange(s.start or 0, n if s.stop is None else min(n, s.stop + 1))
+            return Span(s.start or 0, n if s.stop is None else min(n, s.stop + 1))
         points = points_of(c)
-        return np.array([c] if points is None else points, np.int64)
+        ids = np.array([c] if points is None else points, np.int64)
+        if len(np.unique(ids)) < len(ids):
+            raise ValueError("keys must be unique")
+        return ids
+
+    def frame(self) -> Frame:
+        """The cells with the number of their block; coordinates are places within the block, or within the other axes' coordinates, unless reindexing is disabled."""
+        df = self.read.df
+        for k, d in enumerate(self.array.index_column_names):
+            ids, col = self._ids(k), F.col(d)
+            if isinstance(ids, Span):
+                at = col - ids.first
+            elif k == self.axis or k not in self.keep:
+                points = self.array.spark.createDataFrame(pa.table({"__id": ids, "__at": np.arange(len(ids))}))
+                df = df.join(F.broadcast(points) if len(ids) <= MAX_BROADCAST else points, col == F.col("__id")).drop("__id").withColumnRenamed("__at", f"__at{k}")
+                at = F.col(f"__at{k}")
+            if k == self.axis:
+                df = df.withColumn("block", F.floor(at / self.size).cast("bigint"))
+                at = at - F.col("block") * self.size
+            if k not in self.keep:
+                df = df.withColumn(d, at.cast("bigint"))
+        return df.select("block", *self.array.index_column_names, "soma_data")
+
+    def over(self, work: Callable[[int, pa.Table], pa.Table], schema: str) -> Frame:
+        """Run `work` on (number, cells) of each block in a task; a block must fit into a task: see `rows_per_partition`."""
+
+        def run(t: pa.Table) -> pa.Table:
+            return work(t["block"][0].as_py(), t.drop_columns("block"))
+
+        return self.frame().groupBy("block").applyInArrow(run, schema)
+
+    def assembled(self) -> Frame:
+        """One row a non-empty block, assembled in a task: (block, n_rows, n_columns, indptr, indices, data), rows as CSR, columns as CSC."""
+        ids, axis, size, kind = [self._ids(k) for k in range(2)], self.axis, self.size, "csr" if self.axis == 0 else "csc"
+        width = [self.array.shape[k] if k in self.keep else len(x) for k, x in enumerate(ids)]
+        total = len(ids[axis])
+        data = self.read.df.schema["soma_data"].dataType.simpleString()
+        if axis in self.keep:
+            raise ValueError("the axis of the blocks must be reindexed to be compressed")
+
+        def work(block: int, t: pa.Table) -> pa.Table:
+            shape = list(width)
+            shape[axis] = min(size, total - block * size)
+            m = Compressed.from_ijd(*(t[n].to_numpy() for n in ("soma_dim_0", "soma_dim_1", "soma_data")), tuple(shape), kind)
+            return pa.table({"block": [block], "n_rows": [shape[0]], "n_columns": [shape[1]], "indptr": [m.indptr.astype(np.int64)], "indices": [m.indices.astype(np.int64)], "data": [m.data]})
+
+        return self.over(work, f"block bigint, n_rows bigint, n_columns bigint, indptr array<bigint>, indices array<bigint>, data array<{data}>")
 
     def tables(self) -> Iterator[tuple[pa.Table, tuple]]:
-        """(table, joinids of each axis); coordinates become places within the block unless reindexing is disabled."""
+        """(table, joinids of each axis), empty blocks included; places as in `frame`."""
         dims = self.array.index_column_names
         ids = [self._ids(k) for k in range(len(dims))]
-        others = [None if k == self.axis or k in self.keep else IntIndexer(x) for k, x in enumerate(ids)]
-        for block in strides(list(ids[self.axis]), len(ids[self.axis]), self.size):
-            block = np.asarray(block, np.int64)
-            col = F.col(dims[self.axis])
-            part = self.read.df.where(col.between(int(block.min()), int(block.max())))
-            t = part.toArrow()
-            at = IntIndexer(block).get_indexer(t[dims[self.axis]])
-            t, at = t.filter(pa.array(at >= 0)), at[at >= 0]
-            for k, d in enumerate(dims):
-                if k in self.keep:
-                    continue
-                new = at if k == self.axis else others[k].get_indexer(t[d])
-                t = t.set_column(t.schema.get_field_index(d), d, pa.array(new))
-            yield t, tuple(block if k == self.axis else x for k, x in enumerate(ids))
+        # ranges of (block, cell): the order of the partitions is that of the blocks, and a hot block spreads over several of them
+        cells = self.frame().repartitionByRange("block", *dims).sortWithinPartitions("block", *dims)
+        empty = pa.schema([pa.field(d, pa.int64()) for d in dims] + [pa.field("soma_data", arrow_type(cells.schema["soma_data"].dataType))]).empty_table()
+        parts: list[pa.Table] = []
+        now = 0
+
+        def out() -> tuple[pa.Table, tuple]:
+            t = pa.concat_tables(parts) if parts else empty
+            parts.clear()
+            return t, tuple(x[now * self.size : (now + 1) * self.size] if k == self.axis else x for k, x in enumerate(ids))
+
+        for t in arrow_batches(cells):
+            block = t["block"].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1], edges[1:]):
+                while now < block[a]:
+                    yield out()
+                    now += 1
+                parts.append(t.slice(a, b - a).drop_columns("block"))
+        while now * self.size < len(ids[self.axis]):
+            yield out()
+            now += 1
 
     def compressed(self, compress: bool = True) -> Iterator[tuple[object, tuple]]:
         """(block, joinids): rows as CSR, columns as CSC, or coordinates where compress is off."""
@@ -792,7 +892,7 @@ class DenseNDArray(NDArray):
 
     def _box(self, coords: object) -> list[tuple[int, int]]:
         out = []
-        for k, c in enumerate(check_coords(coords, self.ndim)):
+        for k, c in enumerate(check_coords(coords, self.ndim, self.state.index)):
             n = self.shape[k]
             if c is None:
                 out.append((0, n - 1))

@@ -6,7 +6,8 @@ An empty list of points selects nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -21,6 +22,21 @@ MAX_IN = 10
 MAX_BROADCAST = 1_000_000
 
 
+@dataclass(frozen=True)
+class SliceSelection:
+    """A closed range of keys; None leaves an end open."""
+
+    start: object = None
+    stop: object = None
+
+
+@dataclass(frozen=True)
+class PointSelection:
+    """A set of keys."""
+
+    points: Sequence
+
+
 def points_of(coord: object) -> list | None:
     """The points of a list-like coordinate, None if it isn't one."""
     if isinstance(coord, pa.ChunkedArray | pa.Array):
@@ -44,13 +60,23 @@ def _plain(value: object) -> object:
     return value
 
 
-def check_coords(coords: object, ndim: int) -> list:
-    """Coordinates padded with "all" to one for each index column."""
+def check_coords(coords: object, ndim: int, names: Sequence[str] | None = None) -> list:
+    """Coordinates padded with "all" to one for each index column; they may be given by the columns' names instead, in any order."""
+    if isinstance(coords, Mapping):
+        if names is None or (unknown := [n for n in coords if n not in names]):
+            raise ValueError(f"no such index columns: {', '.join(map(str, coords if names is None else unknown))}")
+        coords = [coords.get(n) for n in names]
     if isinstance(coords, str | bytes) or not isinstance(coords, Sequence):
         raise TypeError("coords must be a sequence with one entry for each index column")
     if len(coords) > ndim:
         raise ValueError(f"{len(coords)} coordinates for {ndim} index columns")
-    return [*coords, *[None] * (ndim - len(coords))]
+    return [_selection(c) for c in coords] + [None] * (ndim - len(coords))
+
+
+def _selection(coord: object) -> object:
+    if isinstance(coord, SliceSelection):
+        return slice(coord.start, coord.stop)
+    return list(coord.points) if isinstance(coord, PointSelection) else coord
 
 
 def _bound(value: object, kind: T.DataType) -> Column:
@@ -69,7 +95,7 @@ def slice_bounds(s: slice, domain: tuple | None, name: str = "") -> tuple[object
     lo, hi = _plain(s.start), _plain(s.stop)
     if lo is not None and hi is not None and lo > hi:
         raise ValueError(f"slice {lo}..{hi} of {name} is inverted")
-    if isinstance(lo, int) and lo < 0 and (domain is None or domain[0] is None or domain[0] >= 0) and not isinstance(lo, bool):
+    if isinstance(lo, int) and lo < 0 and domain is not None and isinstance(domain[0], int) and domain[0] >= 0 and not isinstance(lo, bool):
         raise ValueError("negative indexing is not supported")
     if domain is not None and domain[0] is not None and not isinstance(domain[0], str | bytes):
         if (lo is not None and lo > domain[1]) or (hi is not None and hi < domain[0]):
@@ -81,7 +107,7 @@ def slice_bounds(s: slice, domain: tuple | None, name: str = "") -> tuple[object
 
 def select_coords(df: DataFrame, dims: Sequence[str], coords: object = (), domain: Sequence[tuple] | None = None) -> DataFrame:
     """Rows of df whose index columns lie in the coordinates."""
-    for k, (name, coord) in enumerate(zip(dims, check_coords(coords, len(dims)))):
+    for k, (name, coord) in enumerate(zip(dims, check_coords(coords, len(dims), dims))):
         dom = domain[k] if domain else None
         kind = df.schema[name].dataType
         col = F.col(f"`{name}`")

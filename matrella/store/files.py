@@ -46,6 +46,18 @@ class Files:
         finally:
             stream.close()
 
+    def folder(self, uri: str) -> None:
+        fs, path = self._at(uri)
+        fs.mkdirs(path)
+
+    def move(self, uri: str, to: str) -> None:
+        """Rename a folder into another one, which is made if need be."""
+        fs, path = self._at(uri)
+        target = self.jvm.org.apache.hadoop.fs.Path(to)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(path, target):
+            raise ConflictError(to)
+
     def delete(self, uri: str) -> None:
         fs, path = self._at(uri)
         fs.delete(path, True)

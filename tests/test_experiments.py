@@ -216,3 +216,26 @@ def test_streamed_appends(spark, tmp_path):
     q = follow(f).writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("followed").count() == 4
+
+
+def test_streams_do_not_share_a_ledger(spark, tmp_path):
+    """Checkpoints of the same name, and a checkpoint begun anew, are other queries; following after a consolidation gives no row twice."""
+    from matrella.streaming.appends import append_stream, follow
+
+    f = DataFrame.create(f"{tmp_path}/f", schema=pa.schema([("soma_joinid", pa.int64()), ("v", pa.int64())]), domain=[(0, 99)], allows_duplicates=True)
+    for k, name in enumerate(("one", "two")):
+        spark.range(5 * k, 5 * k + 5).selectExpr("id as soma_joinid", "id as v").write.parquet(f"{tmp_path}/{name}/src")
+        stream = spark.readStream.schema("soma_joinid bigint, v bigint").parquet(f"{tmp_path}/{name}/src")
+        for _ in range(2):
+            append_stream(stream, f, f"{tmp_path}/{name}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    assert f.reopen("r").count == 10
+
+    seen = []
+    sink = lambda: follow(f).writeStream.foreachBatch(lambda b, _: seen.extend(r.soma_joinid for r in b.collect())).option("checkpointLocation", f"{tmp_path}/follow").trigger(availableNow=True).start().awaitTermination()
+    sink()
+    with pytest.raises(MatrellaError):
+        f.reopen("w").write(pa.table({"soma_joinid": [500], "v": [1]}))
+    f.reopen("w").consolidate_and_vacuum()
+    f.write(pa.table({"soma_joinid": [50], "v": [1]}))
+    sink()
+    assert sorted(seen) == [*range(10), 50]

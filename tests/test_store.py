@@ -288,3 +288,81 @@ def test_pandas_and_nulls(spark, tmp_path):
     assert len(got) == 1 and got[0]["string"] is None
     with pytest.raises(ValueError):
         f.reopen("w").write(pa.table({"soma_joinid": pa.array([None], pa.int64()), "float": [1.0], "string": ["a"]}))
+
+
+def test_order_within_a_millisecond(spark, tmp_path):
+    """Of two writes, or a delete and a write, at one time the later one counts."""
+    for k in range(3):
+        f = DataFrame.create(f"{tmp_path}/f{k}", schema=SCHEMA, domain=[(0, 9)], timestamp=1)
+        f.reopen("w", 5).write(table([1, 2], 10.0))
+        f.reopen("w", 5).write(table([1], 20.0))
+        assert [r[:2] for r in rows(f.reopen("r"))] == [(1, 21.0), (2, 12.0)]
+        f.reopen("d", 7).delete_cells(([1, 2],))
+        f.reopen("w", 7).write(table([2], 30.0))
+        assert [r[:2] for r in rows(f.reopen("r"))] == [(2, 32.0)]
+        f.reopen("w", 7).consolidate_and_vacuum()
+        f.reopen("w", 7).write(table([2, 3], 40.0))
+        f.reopen("d", 7).delete_cells(([3],))
+        assert [r[:2] for r in rows(f.reopen("r"))] == [(2, 42.0)]
+
+
+def test_consolidation_leaves_what_it_has_not_seen(spark, tmp_path):
+    f = DataFrame.create(f"{tmp_path}/f", schema=SCHEMA, domain=[(0, 9)], timestamp=1)
+    f.reopen("w", 2).write(table([1, 2, 3]))
+    f.reopen("w", 3).write(table([3], 10.0))
+    slow = DataFrame.open(f.uri, "w", timestamp=9)
+    assert len(slow.state.fragments) == 2
+    f.reopen("w", 5).write(table([1], 50.0))
+    f.reopen("d", 6).delete_cells(([2],))
+    slow.consolidate_and_vacuum()
+    assert [r[:2] for r in rows(f.reopen("r"))] == [(1, 51.0), (3, 13.0)]
+
+
+def test_long_logs_are_packed(spark, tmp_path, monkeypatch):
+    from matrella.store import log
+
+    monkeypatch.setattr(log, "PACK", 8)
+    f = DataFrame.create(f"{tmp_path}/f", schema=SCHEMA)
+    for k in range(20):
+        f.metadata["n"] = k
+    names = f.log.files.names(f.log.folder)
+    assert sum(n.endswith(".pack") for n in names) == 2 and sum(n.endswith(".json") for n in names) == 21
+    again, read = log.Log(spark, f.uri), []
+    plain = again.files.read
+    monkeypatch.setattr(again.files, "read", lambda uri: read.append(uri) or plain(uri))
+    assert again.state().metadata == {"n": 19} and len(read) == 1 + 5
+
+
+def test_coordinates_by_name_and_kind(spark, tmp_path):
+    from matrella.functions.coords import PointSelection, SliceSelection, select_coords
+
+    df = spark.createDataFrame([(k, -k) for k in range(9)], "a int, x int")
+    assert select_coords(df, ["x"], [slice(-5, -3)]).count() == 3  # a signed key without a domain
+    assert select_coords(df, ["a", "x"], {"x": SliceSelection(None, -7), "a": PointSelection([8, 1])}).count() == 1
+    with pytest.raises(ValueError):
+        select_coords(df, ["a"], {"b": 1})
+    a = SparseNDArray.create(f"{tmp_path}/a", type=pa.int32(), shape=(4, 4))
+    with pytest.raises(ValueError):
+        a.write(pa.table({"soma_dim_0": [1], "soma_dim_1": [1], "soma_data": pa.array([1], pa.int32())}), bbox=[(0, 9), (0, 3)])
+    with pytest.raises(MatrellaError):
+        a.write(pa.table({"soma_dim_0": [3], "soma_dim_1": [1], "soma_data": pa.array([1], pa.int32())}), bbox=[(0, 2), (0, 3)])
+    a.write(pa.table({"soma_dim_0": [2], "soma_dim_1": [1], "soma_data": pa.array([1], pa.int32())}), bbox=[(0, 2), (0, 3)])
+    with pytest.raises(ValueError):
+        a.reopen("r").read((slice(-1, 2),))
+
+
+def test_blocks_in_one_job(spark, tmp_path):
+    a = SparseNDArray.create(f"{tmp_path}/a", type=pa.int64(), shape=(10, 6))
+    cells = [(i, j) for i in (0, 1, 7, 8) for j in (0, 5)]
+    a.write(pa.table({"soma_dim_0": [i for i, _ in cells], "soma_dim_1": [j for _, j in cells], "soma_data": [10 * i + j for i, j in cells]}))
+    blocks = a.reopen("r").read().blockwise(0, size=3)
+    group = "blocks"
+    spark.sparkContext.setJobGroup(group, group)
+    got = [(t.num_rows, ids[0].tolist(), ids[1].tolist()) for t, ids in blocks.tables()]
+    assert [x[0] for x in got] == [4, 0, 4, 0] and [x[1] for x in got] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9]] and got[0][2] == list(range(6))
+    rows = {r.block: r for r in blocks.assembled().collect()}
+    assert sorted(rows) == [0, 2] and rows[2].indptr == [0, 0, 2, 4] and rows[2].indices == [0, 5, 0, 5] and rows[2].data == [70, 75, 80, 85] and rows[2].n_columns == 6
+    sums = blocks.over(lambda block, t: pa.table({"block": [block], "n": [t.num_rows]}), "block bigint, n bigint")
+    assert sorted(map(tuple, sums.collect())) == [(0, 4), (2, 4)]
+    with pytest.raises(ValueError):
+        next(a.read(([1, 1],)).blockwise(0).tables())
