@@ -124,6 +124,31 @@ class Collection(StoredObject):
         raise AttributeError(name)
 
 
+class EphemeralCollection(dict):
+    """A collection that is nowhere stored: string keys, stored objects or further such collections, no key set twice."""
+
+    kind = "Collection"
+    slots: dict[str, tuple[str, ...]] = {}
+
+    def set(self, key: str, value: object) -> EphemeralCollection:
+        if key in self:
+            raise MatrellaError(f"{key!r} is set already")
+        allowed = self.slots.get(key)
+        if allowed and value.kind not in allowed:
+            raise TypeError(f"{key!r} takes {' or '.join(allowed)}, not {value.kind}")
+        super().__setitem__(key, value)
+        return self
+
+    __setitem__ = set
+
+    def store(self, uri: str, *, spark: SparkSession | None = None) -> Collection:
+        """The same collection at a place."""
+        out = kinds()[self.kind.lower()].create(uri, spark=spark)
+        for key, value in self.items():
+            out.set(key, value.store(f"{out.uri}/{sanitize_key(key)}", spark=spark) if isinstance(value, EphemeralCollection) else value)
+        return out
+
+
 class Measurement(Collection):
     kind = "Measurement"
     slots = {"var": ("DataFrame",)} | {s: ("Collection",) for s in ("X", "obsm", "obsp", "varm", "varp")} | {"var_spatial_presence": ("DataFrame",)}
@@ -133,10 +158,11 @@ class Experiment(Collection):
     kind = "Experiment"
     slots = {"obs": ("DataFrame",), "ms": ("Collection",), "spatial": ("Collection",), "obs_spatial_presence": ("DataFrame",)}
 
-    def axis_query(self, measurement_name: str, *, obs_query: object = None, var_query: object = None):
-        from matrella.api.query import AxisQuery, ExperimentAxisQuery
+    def axis_query(self, measurement_name: str, *, obs_query: object = None, var_query: object = None, index_factory: object = None):
+        """A query of both axes; index_factory makes of sorted ids what finds their places (`IntIndexer` by default)."""
+        from matrella.api.query import AxisQuery, ExperimentAxisQuery, IntIndexer
 
-        return ExperimentAxisQuery(self, measurement_name, obs_query or AxisQuery(), var_query or AxisQuery())
+        return ExperimentAxisQuery(self, measurement_name, obs_query or AxisQuery(), var_query or AxisQuery(), index_factory or IntIndexer)
 
     def _delete_axis(self, frame: DataFrame, coords: object, value_filter: str | None, targets: Sequence[tuple[StoredObject, Sequence[str]]]) -> None:
         self.need("d")
@@ -156,7 +182,7 @@ class Experiment(Collection):
                 have = obj.schema.names
                 if all(d in have for d in dims):
                     obj._delete_ids(stored, dims)
-        frame.log.files.delete(ids)
+        frame.log.files.delete(ids)  # every object has its own copy by now
 
     def _arrays(self, owner: Collection, slot: str) -> list[StoredArray]:
         return [m for _, m in owner[slot].items() if isinstance(m, StoredArray)] if slot in owner else []
@@ -184,6 +210,14 @@ class Experiment(Collection):
         self._delete_axis(m["var"], coords, value_filter, targets)
 
 
+class EphemeralMeasurement(EphemeralCollection):
+    kind, slots = Measurement.kind, Measurement.slots
+
+
+class EphemeralExperiment(EphemeralCollection):
+    kind, slots = Experiment.kind, Experiment.slots
+
+
 def kinds() -> dict[str, type]:
     from matrella.api.spatial import GeometryDataFrame, MultiscaleImage, PointCloudDataFrame, Scene
 

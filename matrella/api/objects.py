@@ -490,6 +490,8 @@ class StoredArray(StoredObject):
         if value_filter is None and all(p is None for p in packed):
             raise ValueError("a delete needs coordinates or a value filter")
         if value_filter is not None:
+            if not isinstance(value_filter, str):
+                raise TypeError("the value filter of a delete is a string: it goes into the log")
             compile_tree(parse(value_filter), types.struct(s.schema), self._units)
         if any(p and "points" in p and not p["points"] for p in packed):
             return
@@ -943,3 +945,9 @@ class DenseNDArray(NDArray):
 def rows_per_partition(array: SparseNDArray) -> int:
     """Rows of a part of about 96 Mi cells, by the array's density in the log."""
     return rows_per_block(array.shape[0], array.fragment_cell_count())
+
+
+def in_row_parts(array: SparseNDArray, df: Frame) -> Frame:
+    """The cells by ranges of rows, as many as the array's density asks for, rows in order within each: tasks of about equal work, each with complete rows."""
+    parts = max(1, -(-array.shape[0] // rows_per_partition(array)))
+    return df.repartitionByRange(parts, "soma_dim_0").sortWithinPartitions("soma_dim_0", "soma_dim_1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -11,9 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame as Frame
 
-from matrella.api.objects import DenseNDArray, SparseNDArray, TableRead
+from matrella.api.objects import DenseNDArray, SparseNDArray, TableRead, in_row_parts
+from matrella.functions.filter_lang import Compare, Logic
 from matrella.operators import core
-from matrella.operators.assemble import Compressed, IntIndexer, compress, dense_rows
+from matrella.operators.assemble import Compressed, IntIndexer, Labelled, compress, dense_rows
 
 
 @dataclass(frozen=True)
@@ -24,8 +25,8 @@ class AxisQuery:
     coords: tuple = ()
 
     def __post_init__(self) -> None:
-        if self.value_filter is not None and not isinstance(self.value_filter, str):
-            raise TypeError("a value filter is a string")
+        if self.value_filter is not None and not isinstance(self.value_filter, str | Compare | Logic):
+            raise TypeError("a value filter is a string or a tree")
         if isinstance(self.coords, str | bytes) or not isinstance(self.coords, Sequence):
             raise TypeError("coords are a sequence")
         object.__setattr__(self, "coords", tuple(self.coords))
@@ -49,13 +50,13 @@ class Bundle:
 class Indexer:
     """Places of ids in the query's axes, -1 where they are not in it."""
 
-    def __init__(self, query: ExperimentAxisQuery):
-        self.query = query
-        self._made: dict[str, IntIndexer] = {}
+    def __init__(self, query: ExperimentAxisQuery, factory: Callable = IntIndexer):
+        self.query, self.factory = query, factory
+        self._made: dict[str, object] = {}
 
     def _by(self, axis: str, ids: object) -> np.ndarray:
         if axis not in self._made:
-            self._made[axis] = IntIndexer(np.sort(self.query._ids(axis).toArrow()["soma_joinid"].to_numpy()))
+            self._made[axis] = self.factory(np.sort(self.query._ids(axis).toArrow()["soma_joinid"].to_numpy()))
         return self._made[axis].get_indexer(ids)
 
     def by_obs(self, ids: object) -> np.ndarray:
@@ -68,13 +69,14 @@ class Indexer:
 class ExperimentAxisQuery:
     """All accessors are lazy; ids of an axis are kept (cached by the engine) once they are used."""
 
-    def __init__(self, experiment, measurement_name: str, obs_query: AxisQuery, var_query: AxisQuery):
+    def __init__(self, experiment, measurement_name: str, obs_query: AxisQuery, var_query: AxisQuery, index_factory: Callable = IntIndexer):
         if measurement_name not in experiment["ms"]:
             raise ValueError(f"no measurement {measurement_name!r}")
         self.experiment, self.ms = experiment, experiment["ms"][measurement_name]
         self._axis = {"obs": (experiment["obs"], obs_query), "var": (self.ms["var"], var_query)}
         self._kept: dict[str, Frame] = {}
-        self.indexer = Indexer(self)
+        self.index_factory = index_factory  # sorted ids -> an object with get_indexer(ids)
+        self.indexer = Indexer(self, index_factory)
 
     def __enter__(self) -> ExperimentAxisQuery:
         return self
@@ -134,6 +136,47 @@ class ExperimentAxisQuery:
     def X(self, layer_name: str, *, result_order: str = "auto") -> TableRead:
         return self._slice("X", layer_name, ("obs", "var"), result_order)
 
+    def X_parts(self, layer_name: str) -> Frame:
+        """X by ranges of rows of about equal work, each with complete rows in order; how many depends on the layer's density."""
+        return in_row_parts(self._layer("X", layer_name), self.X(layer_name).df)
+
+    def read(self, X_layers: Sequence[str] = (), obs_column_names: Sequence[str] | None = None, var_column_names: Sequence[str] | None = None) -> dict[str, Frame | dict[str, Frame]]:
+        """Everything asked for as lazy frames: obs, var and X by layer."""
+        return {"obs": self.obs(obs_column_names).df, "var": self.var(var_column_names).df, "X": {n: self.X(n).df for n in X_layers}}
+
+    def _labels(self, axis: str, column: str | None, ids: np.ndarray) -> list:
+        if column is None:
+            return ids.tolist()
+        t = self._frame(axis, ["soma_joinid", column]).concat()
+        by = dict(zip(t["soma_joinid"].to_pylist(), t[column].to_pylist()))
+        labels = [by[k] for k in ids.tolist()]
+        if len(set(labels)) < len(labels) or None in labels:
+            raise ValueError(f"values of {column!r} are not unique labels")
+        return labels
+
+    def to_labelled_matrix(self, collection: str, layer_name: str, obs_index: str | None = None, var_index: str | None = None) -> Labelled:
+        """A layer of X, obsm, varm, obsp or varp in memory, with its labels: values of the index columns, joinids where none are named, column numbers of embeddings."""
+        axes = {"X": ("obs", "var"), "obsm": ("obs", None), "varm": ("var", None), "obsp": ("obs", "obs"), "varp": ("var", "var")}
+        if collection not in axes:
+            raise ValueError(f"unknown collection {collection!r}")
+        a, b = axes[collection]
+        layer = self.ms[collection].get(layer_name) if collection in self.ms else None
+        if layer is None:
+            raise KeyError(f"no layer {layer_name!r} in {collection}")
+        ids = {x: np.sort((self.obs_joinids() if x == "obs" else self.var_joinids()).to_numpy()) for x in {a, b} - {None}}
+        if isinstance(layer, DenseNDArray):
+            # a dense layer has every cell; it is read as cells of the ids asked for
+            df = core.axis_matrix(layer.snapshot(), self._ids(a), None if b is None else self._ids(b))
+            t = df.where("soma_data <> 0").toArrow()
+        else:
+            t = self._slice(collection, layer_name, (a,) if b is None else (a, b)).concat()
+        at = {x: self.index_factory(v) for x, v in ids.items()}
+        columns = t["soma_dim_1"].to_numpy() if b is None else at[b].get_indexer(t["soma_dim_1"])
+        shape = (len(ids[a]), layer.shape[1] if b is None else len(ids[b]))
+        matrix = Compressed.from_ijd(at[a].get_indexer(t["soma_dim_0"]), columns, t["soma_data"].to_numpy(), shape)
+        name = {"obs": obs_index, "var": var_index}
+        return Labelled(matrix, self._labels(a, name[a], ids[a]), list(range(shape[1])) if b is None else self._labels(b, name[b], ids[b]))
+
     def obsp(self, layer: str) -> TableRead:
         return self._slice("obsp", layer, ("obs", "obs"))
 
@@ -155,6 +198,15 @@ class ExperimentAxisQuery:
         flag = "data" if "data" in df.columns else "soma_data"
         return sorted(r[0] for r in df.where(f"`{flag}`").select("scene_id").distinct().collect())
 
+    def spatial(self, *, radius: float | None = None, level: int | str = 0) -> dict[str, dict[str, object]]:
+        """What the scenes of the query's observations hold, in each scene's coordinates: {scene: {"points" | "shapes" | "images": {name: ...}}}.
+
+        Points and shapes are lazy frames of the query's observations (shapes are points with a radius and geometries), images are pixels with their transform.
+        """
+        from matrella.api.spatial import scene_export
+
+        return {s: scene_export(self.experiment["spatial"][s], self._ids("obs"), radius, level) for s in self.obs_scene_ids()}
+
     def obs_scene_ids(self) -> list[str]:
         return self._scenes(self.experiment["obs_spatial_presence"], "obs")
 
@@ -187,7 +239,7 @@ class ExperimentAxisQuery:
             obs = pool.submit(self._annotations, "obs", names.get("obs"), drop_levels, obs_id_name)
             var = pool.submit(self._annotations, "var", names.get("var"), drop_levels, var_id_name)
             ids = {"obs": np.sort(self.obs_joinids().to_numpy()), "var": np.sort(self.var_joinids().to_numpy())}
-            index = {a: IntIndexer(x) for a, x in ids.items()}
+            index = {a: self.index_factory(x) for a, x in ids.items()}
 
             def matrix(slot: str, name: str, axes: tuple[str, str]) -> Compressed:
                 t = self._slice(slot, name, axes).concat()

@@ -209,4 +209,33 @@ def shapes_export(df: Frame, axes: Sequence[str], radius: float) -> Frame:
     return df.withColumn("radius", F.lit(float(radius)))
 
 
-__all__ = ["GeometryDataFrame", "MultiscaleImage", "PointCloudDataFrame", "Scene", "points_export", "shapes_export"]
+def image_export(image: MultiscaleImage, level: int | str = 0, to_scene: AffineTransform | None = None) -> tuple[pa.Tensor, AffineTransform]:
+    """All pixels of a level, and the transform from them to the scene (to the largest level where the image has none)."""
+    pixels, back = image.read_spatial_region(level)
+    return pixels, back if to_scene is None else to_scene @ back
+
+
+def scene_export(scene: Scene, ids: Frame | None = None, radius: float | None = None, level: int | str = 0) -> dict[str, dict[str, object]]:
+    """Members of a scene in its coordinates; of observations only those of the ids, if ids are given."""
+    axes = scene.coordinate_space.axis_names
+
+    def back(slot: str, key: str) -> AffineTransform | None:
+        return scene.get_transform_from(slot, key) if f"soma_scene_registry_{key}" in scene[slot].metadata else None
+
+    out: dict[str, dict[str, object]] = {"points": {}, "shapes": {}, "images": {}}
+    for slot in ("obsl", "varl"):
+        for key, m in scene[slot].items() if slot in scene else ():
+            if isinstance(m, PointCloudDataFrame):
+                df = m.snapshot() if ids is None or slot == "varl" else m.snapshot({"soma_joinid": ids})
+                moved = points_export(df, m.coordinate_space.axis_names, back(slot, key))
+                far = m.metadata.get("soma_radius", radius)
+                out["points" if far is None else "shapes"][key] = moved if far is None else shapes_export(moved, axes, far)
+            elif isinstance(m, GeometryDataFrame):
+                df = m.read_spatial_region().df
+                out["shapes"][key] = df if ids is None or slot == "varl" else core.semi(df, "soma_joinid", ids)
+    for key, m in scene["img"].items() if "img" in scene else ():
+        out["images"][key] = image_export(m, level, back("img", key))
+    return out
+
+
+__all__ = ["image_export", "scene_export", "GeometryDataFrame", "MultiscaleImage", "PointCloudDataFrame", "Scene", "points_export", "shapes_export"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -65,8 +65,10 @@ def columns_of(tree: Compare | Logic) -> list[str]:
 # --- Python spelling -------------------------------------------------------------------------------------------------------------------
 
 
-def parse(text: str) -> Compare | Logic:
-    """The tree of a predicate in Python's spelling."""
+def parse(text: str | Compare | Logic) -> Compare | Logic:
+    """The tree of a predicate in Python's spelling; a tree is passed on."""
+    if isinstance(text, Compare | Logic):
+        return text
     if not isinstance(text, str):
         raise TypeError("a value filter must be a string")
     try:
@@ -155,10 +157,23 @@ def _pair(a: object, op: str, b: object) -> Compare:
 
 # --- R spelling ------------------------------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"""\s*(?:(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<num>-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?L?)|(?P<op>%in%|%nin%|&&|\|\||<=|>=|==|!=|[<>&|!(),])|(?P<tick>`[^`]+`)|(?P<word>[A-Za-z.][\w.]*))""")
+_TOKEN = re.compile(r"""\s*(?:(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<num>-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?L?)|(?P<op>%in%|%nin%|&&|\|\||<=|>=|==|!=|[<>&|!(),])|(?P<tick>`[^`]+`)|(?P<word>[A-Za-z.][\w.]*(?:::[A-Za-z.][\w.]*)?))""")
 _R_CONST = {"TRUE": True, "FALSE": False, "NULL": None, "NA": None}
 
 
+def _moment(value: object) -> datetime:
+    """A time as text, or as seconds since the epoch."""
+    return datetime.fromisoformat(value) if isinstance(value, str) else datetime(1970, 1, 1) + timedelta(seconds=value)
+
+
+def _day(value: object) -> datetime:
+    """The beginning of a day as text, or as days since the epoch."""
+    return datetime.fromisoformat(value) if isinstance(value, str) else datetime(1970, 1, 1) + timedelta(days=value)
+
+
+_R_VALUES = {"as.POSIXct": _moment, "as.POSIXlt": _moment, "as.Date": _day, "as.integer64": int, "as.integer": int, "as.numeric": float}
+
+
 class _RParser:
     def __init__(self, text: str):
         self.tokens, at = [], 0
@@ -236,13 +251,29 @@ class _RParser:
                     self.take()
             self.take(")")
             return _Const(values)
+        if kind == "word" and text.rsplit(":", 1)[-1] in _R_VALUES and self.peek() == "(":
+            self.take("(")
+            inner = self.value()
+            while self.peek() == ",":  # a time zone, UTC in any case
+                self.take()
+                self.take()
+            self.take(")")
+            if not isinstance(inner, _Const):
+                raise FilterError(f"{text}() takes a constant")
+            make = _R_VALUES[text.rsplit(":", 1)[-1]]
+            try:
+                return _Const([make(v) for v in inner.value] if isinstance(inner.value, list) else make(inner.value))
+            except (TypeError, ValueError) as e:
+                raise FilterError(f"{text}() can't take {inner.value!r}") from e
         if kind == "word":
             return _Name(text)
         raise FilterError(f"unexpected {text!r} in the value filter")
 
 
-def parse_r(text: str) -> Compare | Logic:
-    """The tree of a predicate in R's spelling."""
+def parse_r(text: str | Compare | Logic) -> Compare | Logic:
+    """The tree of a predicate in R's spelling; a tree is passed on."""
+    if isinstance(text, Compare | Logic):
+        return text
     p = _RParser(text)
     tree = p.either()
     if p.at != len(p.tokens):
@@ -250,6 +281,34 @@ def parse_r(text: str) -> Compare | Logic:
     return tree
 
 
+# --- trees without text ------------------------------------------------------------------------------------------------------------------
+
+
+def triple(column: str, value: object, op: str) -> Compare | Logic:
+    """One comparison, in either spelling of the operator."""
+    op = {"%in%": "in", "%nin%": "not in"}.get(op, op)
+    if op not in _NOT:
+        raise FilterError(f"unsupported operator {op!r}")
+    return _pair(_Name(column), op, _Const(list(value) if op in ("in", "not in") else value))
+
+
+def in_or_not(column: str, values: Sequence, op: str = "%in%") -> Compare | Logic:
+    """Membership in a list, or its opposite."""
+    if op not in ("%in%", "%nin%", "in", "not in"):
+        raise FilterError(f"unsupported operator {op!r}")
+    return triple(column, values, op)
+
+
+def combine(a: Compare | Logic, b: Compare | Logic | None, op: str) -> Compare | Logic:
+    """Two trees joined by and or or; the opposite of one."""
+    op = {"&&": "and", "&": "and", "||": "or", "|": "or", "!": "not"}.get(op, op).lower()
+    if op == "not":
+        return negate(a)
+    if op not in ("and", "or") or b is None:
+        raise FilterError(f"can't combine by {op!r}")
+    return Logic(op, (a, b))
+
+
 # --- compilation -----------------------------------------------------------------------------------------------------------------------
 
 _EPOCH = datetime(1970, 1, 1)

@@ -73,6 +73,50 @@ class Compressed:
         return (sp.csr_matrix if self.kind == "csr" else sp.csc_matrix)((self.data, self.indices, self.indptr), shape=self.shape)
 
 
+def added(blocks: Sequence[Compressed]) -> Compressed:
+    """The sum of matrices of one shape: cells that occur in several are added."""
+    if len({b.shape for b in blocks}) != 1:
+        raise ValueError("matrices of different shapes can't be added")
+    i, j, d = (np.concatenate(x) for x in zip(*(b.to_coo() for b in blocks)))
+    order = np.lexsort((j, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(i) else np.zeros(0, np.int64)
+    total = np.add.reduceat(d, first) if len(first) else d
+    return Compressed.from_ijd(i[first], j[first], total, blocks[0].shape, blocks[0].kind)
+
+
+def padded(block: Compressed, shape: tuple[int, int]) -> Compressed:
+    """The matrix in a larger shape, rows and columns of zeros added at the ends."""
+    if shape[0] < block.shape[0] or shape[1] < block.shape[1]:
+        raise ValueError(f"{shape} is smaller than {block.shape}")
+    return Compressed.from_ijd(*block.to_coo(), tuple(shape), block.kind)
+
+
+def represented(table: pa.Table, shape: tuple[int, int], as_: str = "T", names: Sequence[str] = ("soma_dim_0", "soma_dim_1", "soma_data")) -> Compressed | tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A COO table as sorted triplets ("T"), by rows ("R") or by columns ("C")."""
+    if as_ not in ("T", "R", "C"):
+        raise ValueError(f"unknown form {as_!r}")
+    m = compress(table, shape, "csc" if as_ == "C" else "csr", names)
+    return m.to_coo() if as_ == "T" else m
+
+
+@dataclass
+class Labelled:
+    """A compressed matrix with the labels of its rows and columns."""
+
+    matrix: Compressed
+    rows: list
+    columns: list
+
+    def __getitem__(self, at: tuple[object, object]) -> object:
+        """The cell at a pair of labels, 0 where nothing is stored."""
+        i, j = self.rows.index(at[0]), self.columns.index(at[1])
+        major, minor = (i, j) if self.matrix.kind == "csr" else (j, i)
+        lo, hi = self.matrix.indptr[major], self.matrix.indptr[major + 1]
+        k = lo + np.searchsorted(self.matrix.indices[lo:hi], minor)
+        return self.matrix.data[k] if k < hi and self.matrix.indices[k] == minor else self.matrix.data.dtype.type(0)
+
+
 class IntIndexer:
     """Places of unique integer keys in the order given; -1 for keys that are absent."""
 

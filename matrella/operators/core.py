@@ -166,10 +166,13 @@ def first_seen(*inputs: DataFrame) -> DataFrame:
     return first.select("label", "seen.input", "seen.pos")
 
 
-def number_new(known: DataFrame, incoming: DataFrame, label: str, joinid: str = "soma_joinid") -> DataFrame:
-    """(label, joinid, is_new): known labels keep their id; new ones are numbered after the largest, in order of label."""
+def number_new(known: DataFrame, incoming: DataFrame, label: str, joinid: str = "soma_joinid", place: str | Sequence[str] | None = None) -> DataFrame:
+    """(label, joinid, is_new): known labels keep their id; new ones are numbered after the largest, by the first place of each (by label where none is named)."""
+    place = [label] if place is None else [place] if isinstance(place, str) else list(place)
     known = known.select(F.col(label), F.col(joinid).cast("bigint").alias(joinid))
-    new = incoming.select(label).where(F.col(label).isNotNull()).distinct().join(known.select(label), label, "left_anti")
+    new = incoming.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(F.struct(*place)).alias("__seen")).join(known.select(label), label, "left_anti")
+    new = new.select(label, *[F.col(f"__seen.{p}").alias(p) for p in place if p != label])
     last = known.agg(F.max(joinid)).first()[0]
     start = 0 if last is None else last + 1
-    return known.withColumn("is_new", F.lit(False)).unionByName(numbered(new, label, joinid, start).withColumn("is_new", F.lit(True)))
+    got = numbered(new, place, joinid, start).select(label, joinid)
+    return known.withColumn("is_new", F.lit(False)).unionByName(got.withColumn("is_new", F.lit(True)))

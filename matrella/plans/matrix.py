@@ -329,12 +329,15 @@ def append_anti(t: Read) -> DataFrame:
     return core.anti(t("orders").select(F.col("o_custkey").alias("id")), "id", known, "c_custkey").distinct()
 
 
-@query("""WITH known AS (SELECT c_name AS label, c_custkey AS soma_joinid FROM customer WHERE c_custkey < 1000), new AS (SELECT DISTINCT n AS label FROM (SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier) WHERE n NOT IN (SELECT label FROM known))
-SELECT label, soma_joinid, false AS is_new FROM known UNION ALL SELECT label, (SELECT max(soma_joinid) FROM known) + row_number() OVER (ORDER BY label), true FROM new""")
+@query("""WITH known AS (SELECT c_name AS label, c_custkey AS soma_joinid FROM customer WHERE c_custkey < 1000),
+new AS (SELECT n AS label, min({'i': i, 'p': p}) AS seen FROM (SELECT c_name AS n, 0 AS i, c_custkey AS p FROM customer UNION ALL SELECT s_name, 1, s_suppkey FROM supplier) WHERE n NOT IN (SELECT label FROM known) GROUP BY 1)
+SELECT label, soma_joinid, false AS is_new FROM known UNION ALL SELECT label, (SELECT max(soma_joinid) FROM known) + row_number() OVER (ORDER BY seen), true FROM new""")
 def register_joinids(t: Read) -> DataFrame:
+    """New labels follow the largest id in the order in which the inputs first show them."""
     known = t("customer").where("c_custkey < 1000").select(F.col("c_name").alias("label"), F.col("c_custkey").alias("soma_joinid"))
-    incoming = t("customer").select(F.col("c_name").alias("label")).unionAll(t("supplier").select("s_name"))
-    return core.number_new(known, incoming, "label")
+    incoming = t("customer").select(F.col("c_name").alias("label"), F.lit(0).alias("input"), F.col("c_custkey").alias("pos"))
+    incoming = incoming.unionAll(t("supplier").select("s_name", F.lit(1), "s_suppkey"))
+    return core.number_new(known, incoming, "label", place=["input", "pos"])
 
 
 @query("""SELECT label, input, min(pos) AS pos FROM (SELECT label, pos, input, min(input) OVER (PARTITION BY label) AS first FROM (
@@ -362,20 +365,6 @@ def _ordered(matrix: DataFrame, order: str) -> DataFrame:
     return core.in_order(core.numbered(matrix, dims if order == "row-major" else dims[::-1], "place", 1), dims, order)
 
 
-def _few(t: Read) -> DataFrame:
-    return select_coords(_x(t), ["soma_dim_0"], [slice(0, 200)])
-
-
-@query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_0, soma_dim_1) AS place FROM ({_X}) WHERE soma_dim_0 BETWEEN 0 AND 200")
-def result_order_row(t: Read) -> DataFrame:
-    return _ordered(_few(t), "row-major")
-
-
-@query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_1, soma_dim_0) AS place FROM ({_X}) WHERE soma_dim_0 BETWEEN 0 AND 200")
-def result_order_column(t: Read) -> DataFrame:
-    return _ordered(_few(t), "column-major")
-
-
 @query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_0, soma_dim_1) AS place FROM ({_X})")
 def result_order_row_whole(t: Read) -> DataFrame:
     return _ordered(_x(t), "row-major")

@@ -1,7 +1,8 @@
 """In and out of experiments: bundles of frames and matrices, registration of several inputs, appending, updating, resizing.
 
 An input is a `Source`: annotation frames with an id column each, matrices as COO by place (row of obs, row of var) or as compressed blocks or frames.  No
-single-cell file library is needed; whoever has one hands over its tables.
+single-cell file library is needed; whoever has one hands over its tables.  Annotations and matrices may be Spark frames of any size: annotations then have
+a column `place` (0, 1, ...), and neither labels nor ids nor cells come to the driver, only counts, levels of categoricals and a few labels for messages.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame as Frame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matrella.api.collections import Collection, Experiment, Measurement
 from matrella.api.objects import MAX_LEVELS, DataFrame, DenseNDArray, SparseNDArray, StoredArray, session
@@ -29,10 +31,10 @@ Matrix = object  # Compressed, two-dimensional array, or a Spark frame (i, j, va
 
 @dataclass
 class Source:
-    """One input: obs and var with the columns that hold their ids, and matrices by place."""
+    """One input: obs and var with the columns that hold their ids, and matrices by place; obs and var may be Spark frames with a column `place`."""
 
-    obs: pd.DataFrame
-    var: pd.DataFrame
+    obs: pd.DataFrame | Frame
+    var: pd.DataFrame | Frame
     X: Matrix | None = None
     layers: Mapping[str, Matrix] = field(default_factory=dict)
     obsm: Mapping[str, np.ndarray] = field(default_factory=dict)
@@ -60,6 +62,40 @@ def coerce(pdf: pd.DataFrame) -> pa.Table:
     return t.cast(pa.schema([f.with_nullable(f.name != "soma_joinid") for f in t.schema]))
 
 
+@dataclass
+class _Annotation:
+    """An annotation frame as a lazy frame with `place`, its Arrow schema, and the levels of its categoricals."""
+
+    frame: Frame
+    schema: pa.Schema
+    levels: dict[str, list]
+
+    def labels(self, column: str) -> Frame:
+        return self.frame.select(F.col(f"`{column}`").cast("string").alias("label"), "place")
+
+
+def _plain(t: pa.Table) -> pa.Table:
+    """Categoricals as their values, unsigned integers widened, times in microseconds: what a Spark frame takes."""
+    cols = []
+    for c in t.columns:
+        k = c.type.value_type if pa.types.is_dictionary(c.type) else c.type
+        k = pa.decimal128(20, 0) if pa.types.is_uint64(k) else pa.int64() if pa.types.is_unsigned_integer(k) else pa.timestamp("us") if pa.types.is_timestamp(k) and k.unit != "us" else k
+        cols.append(c.cast(k))
+    return pa.table(cols, names=t.column_names)
+
+
+def _annotation(spark: SparkSession, a: pd.DataFrame | Frame) -> _Annotation:
+    if isinstance(a, Frame):
+        if "place" not in a.columns:
+            raise ValueError("a Spark frame of annotations needs a column `place`")
+        fields = [f.with_nullable(f.name != "soma_joinid") for f in to_arrow_schema(a.drop("place").schema)]
+        return _Annotation(a, pa.schema(fields), {})
+    t = coerce(a)
+    levels = {n: list(a[n].cat.categories) for n in a.columns if isinstance(a[n].dtype, pd.CategoricalDtype)}
+    df = spark.createDataFrame(_plain(t).append_column("place", pa.array(np.arange(t.num_rows))))
+    return _Annotation(df, t.schema, levels)
+
+
 def _numbered(pdf: pd.DataFrame, ids: Sequence[int]) -> pd.DataFrame:
     out = pdf.reset_index(drop=True)
     out.insert(0, "soma_joinid", np.asarray(ids, np.int64))
@@ -91,6 +127,32 @@ def write_frame(parent: Collection, key: str, pdf: pd.DataFrame, index_name: str
     return frame
 
 
+def _write_annotation(parent: Collection, key: str, a: _Annotation, ids: Frame | None, fresh: Frame | None, index: str, rows: int, schema_only: bool) -> DataFrame:
+    """Annotations by joinid: ids is a map (place, soma_joinid), places are joinids where it is absent; only joinids in `fresh` are written if that is given."""
+    df = a.frame
+    if "soma_joinid" in df.columns:
+        df = df.drop("soma_joinid")
+    df = df.withColumn("soma_joinid", F.col("place")) if ids is None else df.join(ids, "place")
+    if fresh is not None:
+        df = df.join(fresh.where("is_new").select("soma_joinid"), "soma_joinid", "left_semi")
+    # of rows that share a joinid the first counts
+    df = core.latest(df, ["soma_joinid"], [F.asc("place")]).drop("place")
+    kept = [f for f in a.schema if f.name != "soma_joinid"]
+    if key in parent:
+        frame = DataFrame.open(parent[key].uri, "w", spark=parent.spark, timestamp=parent.timestamp)
+        if extra := [f.name for f in kept if f.name not in frame.schema.names]:
+            raise MatrellaError(f"{key} has no columns {', '.join(extra)}")
+    else:
+        frame = parent.add_new_dataframe(key, schema=pa.schema([pa.field("soma_joinid", pa.int64(), False), *kept]), domain=[(0, max(0, rows - 1))])
+        frame.metadata["dataframe_index_name"] = index
+    have = {c["name"] for c in frame.state.schema if "levels" in c}
+    if add := {n: v for n, v in a.levels.items() if n in have and v}:
+        frame.extend_enumeration_values(add, deduplicate=True)
+    if not schema_only:
+        frame.write(df)
+    return frame
+
+
 # --- matrices --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -149,10 +211,13 @@ class Registration:
     levels: dict[str, dict[str, list]]
     prepared: bool = False
 
-    def of(self, axis: str, labels: Sequence[str], spark: SparkSession) -> Frame:
-        """(place, soma_joinid) of an input's labels; one that isn't registered is an error."""
-        t = pa.table({"label": pa.array(list(labels), pa.string()), "place": np.arange(len(labels))})
-        df = spark.createDataFrame(t) if len(labels) else spark.createDataFrame([], "label string, place bigint")
+    def of(self, axis: str, labels: Sequence[str] | Frame, spark: SparkSession) -> Frame:
+        """(place, soma_joinid) of an input's labels, a list or a frame (label, place); one that isn't registered is an error."""
+        if isinstance(labels, Frame):
+            df = labels
+        else:
+            t = pa.table({"label": pa.array(list(labels), pa.string()), "place": np.arange(len(labels))})
+            df = spark.createDataFrame(t) if len(labels) else spark.createDataFrame([], "label string, place bigint")
         known = (self.obs if axis == "obs" else self.var).select("label", "soma_joinid")
         out = df.join(known, "label", "left")
         missing = [r.label for r in out.where("soma_joinid is null").select("label").limit(5).collect()]
@@ -160,6 +225,15 @@ class Registration:
             raise ValueError(f"{axis} labels aren't registered: {', '.join(map(str, missing))}")
         return out.select("place", "soma_joinid")
 
+    def subset(self, source: Source, spark: SparkSession | None = None) -> Registration:
+        """What one input needs of a registration of many: its own labels, all levels, the sizes as they are."""
+        spark = session(spark)
+        own = {}
+        for axis, a, col in (("obs", source.obs, source.obs_id), ("var", source.var, source.var_id)):
+            labels = _annotation(spark, a).labels(col).select("label").distinct()
+            own[axis] = (self.obs if axis == "obs" else self.var).join(labels, "label", "left_semi")
+        return Registration(own["obs"], own["var"], self.obs_size, self.var_size, self.levels, self.prepared)
+
     def prepare(self, experiment_uri: str, measurement_name: str, spark: SparkSession | None = None) -> None:
         """Grow the experiment to the registered sizes and extend its levels, before any input is written."""
         exp = Experiment.open(experiment_uri, "w", spark=spark)
@@ -172,30 +246,32 @@ class Registration:
 
 
 def register(sources: Sequence[Source], experiment_uri: str | None = None, measurement_name: str = "RNA", *, allow_duplicate_obs_ids: bool = False, spark: SparkSession | None = None) -> Registration:
-    """Joinids for the ids of all inputs: known ones keep theirs, new ones follow the largest, in order of the inputs."""
+    """Joinids for the ids of all inputs: known ones keep theirs, new ones follow the largest, by the first place of each, inputs one after the other.
+
+    An obs id that occurs in two inputs, or is stored already, is an error unless duplicates are allowed.
+    """
     spark = session(spark)
     levels: dict[str, dict[str, list]] = {"obs": {}, "var": {}}
 
     def axis(name: str, known: Frame | None) -> tuple[Frame, int]:
-        parts = []
-        for s in sources:
-            pdf, col = (s.obs, s.obs_id) if name == "obs" else (s.var, s.var_id)
-            parts.append(pa.array(pdf[col].astype(str), pa.string()))
-            for c in pdf.columns:
-                if isinstance(pdf[c].dtype, pd.CategoricalDtype):
-                    have = levels[name].setdefault(c, [])
-                    have += [v for v in pdf[c].cat.categories if v not in have]
-        labels = pa.chunked_array(parts, pa.string()).combine_chunks() if parts else pa.array([], pa.string())
-        t = pa.table({"label": labels, "pos": np.arange(len(labels))})
-        df = spark.createDataFrame(t) if len(labels) else spark.createDataFrame([], "label string, pos bigint")
-        first = df.groupBy("label").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-        if name == "obs" and not allow_duplicate_obs_ids and (twice := first.where("n > 1").limit(5).collect()):
-            raise MatrellaError(f"obs ids occur more than once: {', '.join(r.label for r in twice)}")
+        labels = spark.createDataFrame([], "label string, input int, pos bigint")
+        for k, s in enumerate(sources):
+            a, col = (s.obs, s.obs_id) if name == "obs" else (s.var, s.var_id)
+            a = _annotation(spark, a)
+            labels = labels.unionAll(a.labels(col).select("label", F.lit(k), F.col("place")))
+            for c, values in a.levels.items():
+                have = levels[name].setdefault(c, [])
+                have += [v for v in values if v not in have]
+        first = labels.where("label is not null").groupBy("label").agg(F.min(F.struct("input", "pos")).alias("seen"), F.count(F.lit(1)).alias("n"))
         if known is None:
             known = spark.createDataFrame([], "label string, soma_joinid bigint")
+        if name == "obs" and not allow_duplicate_obs_ids:
+            again = first.where("n > 1").select("label").unionAll(first.join(known, "label", "left_semi").select("label"))
+            if twice := again.limit(5).collect():
+                raise MatrellaError(f"obs ids occur more than once: {', '.join(r.label for r in twice)}")
         start = known.agg(F.max("soma_joinid")).first()[0]
-        new = first.join(known.select("label"), "label", "left_anti").select("label", "pos")
-        got = core.numbered(new, "pos", "soma_joinid", 0 if start is None else start + 1).select("label", "soma_joinid")
+        new = first.join(known.select("label"), "label", "left_anti").select("label", "seen.input", "seen.pos")
+        got = core.numbered(new, ["input", "pos"], "soma_joinid", 0 if start is None else start + 1).select("label", "soma_joinid")
         out = known.withColumn("is_new", F.lit(False)).unionByName(got.withColumn("is_new", F.lit(True))).persist()
         size = out.agg(F.max("soma_joinid")).first()[0]
         return out, 0 if size is None else size + 1
@@ -204,8 +280,8 @@ def register(sources: Sequence[Source], experiment_uri: str | None = None, measu
     if experiment_uri is not None and Experiment.exists(experiment_uri, spark=spark):
         exp = Experiment.open(experiment_uri, spark=spark)
         obs_id, var_id = sources[0].obs_id if sources else "obs_id", sources[0].var_id if sources else "var_id"
-        known_obs = exp["obs"].snapshot().select(F.col(f"`{obs_id}`").alias("label"), "soma_joinid")
-        known_var = exp["ms"][measurement_name]["var"].snapshot().select(F.col(f"`{var_id}`").alias("label"), "soma_joinid")
+        known_obs = exp["obs"].snapshot().select(F.col(f"`{obs_id}`").cast("string").alias("label"), "soma_joinid")
+        known_var = exp["ms"][measurement_name]["var"].snapshot().select(F.col(f"`{var_id}`").cast("string").alias("label"), "soma_joinid")
     obs, n_obs = axis("obs", known_obs)
     var, n_var = axis("var", known_var)
     return Registration(obs, var, n_obs, n_var, levels, prepared=known_obs is None)
@@ -231,27 +307,21 @@ def write_experiment(uri: str, source: Source, measurement_name: str = "RNA", *,
         raise MatrellaError("appending needs a registration that the experiment was prepared for")
     exp = Experiment.open(uri, "w", spark=spark, timestamp=timestamp) if there else Experiment.create(uri, spark=spark, timestamp=timestamp)
     rows = cols = None
-    obs_ids, var_ids = np.arange(len(source.obs)), np.arange(len(source.var))
-    n_obs, n_var = len(source.obs), len(source.var)
-    obs, var = source.obs, source.var
+    obs, var = _annotation(spark, source.obs), _annotation(spark, source.var)
     if registration is not None:
-        rows = registration.of("obs", source.obs[source.obs_id].astype(str), spark).persist()
-        cols = registration.of("var", source.var[source.var_id].astype(str), spark).persist()
+        rows = registration.of("obs", obs.labels(source.obs_id), spark).persist()
+        cols = registration.of("var", var.labels(source.var_id), spark).persist()
         n_obs, n_var = registration.obs_size, registration.var_size
-        order = lambda f: f.orderBy("place").toArrow()["soma_joinid"].to_numpy()
-        obs_ids, var_ids = order(rows), order(cols)
-
-    def annotate(parent: Collection, key: str, pdf: pd.DataFrame, ids: np.ndarray, size: int, index: str) -> None:
-        new = _numbered(pdf, ids)
-        if key in parent and registration is not None:
-            known = registration.obs if key == "obs" else registration.var
-            fresh = known.where("is_new").select("soma_joinid").toArrow()["soma_joinid"].to_numpy()
-            new = new[np.isin(new["soma_joinid"], fresh)]
-        write_frame(parent, key, new.drop_duplicates("soma_joinid"), index, size, schema_only)
-
-    annotate(exp, "obs", obs, obs_ids, n_obs, source.obs_id)
+    else:
+        n_obs, n_var = obs.frame.count(), var.frame.count()
+
+    def annotate(parent: Collection, key: str, a: _Annotation, ids: Frame | None, size: int, index: str) -> None:
+        known = None if registration is None or key not in parent else registration.obs if key == "obs" else registration.var
+        _write_annotation(parent, key, a, ids, known, index, size, schema_only)
+
+    annotate(exp, "obs", obs, rows, n_obs, source.obs_id)
     m = _slot(_slot(exp, "ms"), measurement_name, Measurement)
-    annotate(m, "var", var, var_ids, n_var, source.var_id)
+    annotate(m, "var", var, cols, n_var, source.var_id)
     for slot, many, shape, a, b in (
         ("X", ({X_layer_name: source.X} if source.X is not None else {}) | dict(source.layers), (n_obs, n_var), rows, cols),
         ("obsm", source.obsm, (n_obs, None), rows, None),
@@ -263,9 +333,10 @@ def write_experiment(uri: str, source: Source, measurement_name: str = "RNA", *,
             continue
         parent = _slot(m, slot)
         for name, x in many.items():
-            size = (shape[0], shape[1] or x.shape[1])
+            size = (shape[0], shape[1] or (x.agg(F.max(x.columns[1])).first()[0] + 1 if isinstance(x, Frame) else x.shape[1]))
             if schema_only:
-                parent.add_new_sparse_ndarray(name, type=_arrow_kind(x), shape=size)
+                if name not in parent:
+                    parent.add_new_sparse_ndarray(name, type=_arrow_kind(x), shape=size)
             else:
                 write_matrix(parent, name, x, size, a, b, dense=dense_X and slot == "X")
     if source.uns:
@@ -348,16 +419,19 @@ def read_uns(parent: Collection) -> dict:
 # --- updates ---------------------------------------------------------------------------------------------------------------------------
 
 
-def update_axis(frame_uri: str, new: pd.DataFrame, spark: SparkSession | None = None) -> None:
-    """Replace an annotation frame's contents, with columns added and dropped; as many rows as before, no type changed."""
+def update_axis(frame_uri: str, new: pd.DataFrame | Frame, spark: SparkSession | None = None) -> None:
+    """Replace an annotation frame's contents, with columns added and dropped; as many rows as before, no type changed.  A Spark frame has a column soma_joinid or `place`."""
     frame = DataFrame.open(frame_uri, "w", spark=spark)
-    new = new if "soma_joinid" in new else _numbered(new, np.arange(len(new)))
+    spark = session(spark)
+    if isinstance(new, Frame) and "place" not in new.columns:
+        new = new.withColumn("place", F.col("soma_joinid"))
+    a = _annotation(spark, new)
+    df = a.frame.drop("place") if "soma_joinid" in a.schema.names else a.frame.withColumnRenamed("place", "soma_joinid")
     n = frame.count
-    ids = np.sort(new["soma_joinid"].to_numpy())
-    if len(new) != n or not np.array_equal(ids, np.arange(n)):
+    got = df.agg(F.count(F.lit(1)), F.countDistinct("soma_joinid"), F.min("soma_joinid"), F.max("soma_joinid")).first()
+    if tuple(got) != ((n, n, 0, n - 1) if n else (0, 0, None, None)):
         raise ValueError(f"an update needs the {n} rows 0..{n - 1} again")
-    t = coerce(new)
-    have, want = {f.name: f for f in frame.schema}, {f.name: f for f in t.schema}
+    have, want = {f.name: f for f in frame.schema}, {f.name: f for f in a.schema} | {"soma_joinid": frame.schema.field("soma_joinid")}
 
     def plain(k: pa.DataType) -> pa.DataType:
         k = k.value_type if pa.types.is_dictionary(k) else k
@@ -368,15 +442,17 @@ def update_axis(frame_uri: str, new: pd.DataFrame, spark: SparkSession | None =
     add, drop = [f for c, f in want.items() if c not in have], [c for c in have if c not in want]
     if add or drop:
         frame.update_schema(add, drop)
-    _declare_levels(frame, t)
-    frame.write(t)
+    levels = {c["name"] for c in frame.state.schema if "levels" in c}
+    if more := {c: v for c, v in a.levels.items() if c in levels and v}:
+        frame.extend_enumeration_values(more, deduplicate=True)
+    frame.write(df)
 
 
-def update_obs(experiment_uri: str, new: pd.DataFrame, spark: SparkSession | None = None) -> None:
+def update_obs(experiment_uri: str, new: pd.DataFrame | Frame, spark: SparkSession | None = None) -> None:
     update_axis(Experiment.open(experiment_uri, spark=spark)["obs"].uri, new, spark)
 
 
-def update_var(experiment_uri: str, new: pd.DataFrame, measurement_name: str = "RNA", spark: SparkSession | None = None) -> None:
+def update_var(experiment_uri: str, new: pd.DataFrame | Frame, measurement_name: str = "RNA", spark: SparkSession | None = None) -> None:
     update_axis(Experiment.open(experiment_uri, spark=spark)["ms"][measurement_name]["var"].uri, new, spark)
 
 

@@ -48,12 +48,16 @@ def test_coordinates(frame, dim, coord, want):
 
 
 def test_coordinates_refused(frame):
-    for bad, kind in (("abc", TypeError), ([1, 2], ValueError), ([np.zeros((2, 2))], ValueError), ([slice(1, 5, 2)], ValueError), ([slice(5, 1)], ValueError), ([slice(-3, 5)], ValueError)):
+    for bad, kind in (("abc", TypeError), ([1, 2], ValueError), ([np.zeros((2, 2))], ValueError), ([slice(1, 5, 2)], ValueError), ([slice(5, 1)], ValueError)):
         with pytest.raises(kind):
             select_coords(frame, ["k"], bad)
     with pytest.raises(ValueError):
         select_coords(frame, ["k"], [slice(50, 60)], [(0, 19)])
     assert check_coords((1,), 3) == [1, None, None]
+    # a negative start is refused where the domain has no negative keys
+    with pytest.raises(ValueError):
+        select_coords(frame, ["k"], [slice(-3, 5)], [(0, 9)])
+    assert select_coords(frame, ["k"], [slice(-3, 5)]).count() == frame.where("k between -3 and 5").count()
 
 
 def test_pushdown_reaches_the_scan(spark, sf):
@@ -150,3 +154,24 @@ def test_dense_box_and_blocks(spark):
     ptr = core.row_pointers(x, "soma_dim_0", 1)
     assert sorted(map(tuple, ptr.collect())) == [(0, 1, 0, 1), (2, 1, 1, 2), (3, 1, 2, 3)]
     assert dense_rows(pa.table({"soma_dim_0": [9, 4], "soma_dim_1": [1, 0], "soma_data": [1.0, 2.0]}), np.array([4, 9]), 2).tolist() == [[2, 0], [0, 1]]
+
+
+def test_sums_padding_and_forms():
+    from matrella.operators.assemble import Compressed, added, padded, represented
+
+    a = Compressed.from_ijd([0, 1], [1, 0], np.array([1.0, 2.0]), (2, 2))
+    b = Compressed.from_ijd([0, 1], [1, 1], np.array([5.0, 7.0]), (2, 2), "csc")
+    assert added([a, b]).to_numpy().tolist() == [[0, 6], [2, 7]] and added([a]).to_numpy().tolist() == a.to_numpy().tolist()
+    assert padded(a, (3, 4)).to_numpy().tolist() == [[0, 1, 0, 0], [2, 0, 0, 0], [0, 0, 0, 0]]
+    for bad in (lambda: padded(a, (1, 2)), lambda: added([a, padded(a, (3, 3))])):
+        with pytest.raises(ValueError):
+            bad()
+    t = pa.table({"soma_dim_0": [1, 0], "soma_dim_1": [0, 1], "soma_data": [2.0, 1.0]})
+    assert [x.tolist() for x in represented(t, (2, 2))] == [[0, 1], [1, 0], [1.0, 2.0]]
+    assert represented(t, (2, 2), "R").kind == "csr" and represented(t, (2, 2), "C").kind == "csc"
+
+
+def test_new_labels_follow_their_first_place(spark):
+    known = spark.createDataFrame([("b", 7)], "label string, soma_joinid bigint")
+    inc = spark.createDataFrame([("z", 0, 4), ("a", 0, 9), ("z", 0, 1), ("b", 0, 0), (None, 0, 0), ("c", 1, 0)], "label string, input int, pos bigint")
+    assert sorted(map(tuple, core.number_new(known, inc, "label", place=["input", "pos"]).collect())) == [("a", 9, True), ("b", 7, False), ("c", 10, True), ("z", 8, True)]

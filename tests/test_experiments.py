@@ -28,7 +28,7 @@ def uri(spark, tmp_path_factory):
     bundles.write_experiment(u, a, registration=bundles.register([a]))
     with pytest.raises(MatrellaError):
         bundles.write_experiment(u, b)
-    reg = bundles.register([a, b], u)
+    reg = bundles.register([a, b], u, allow_duplicate_obs_ids=True)  # the first one's ids are stored already
     with pytest.raises(MatrellaError):
         bundles.append(u, b, reg)
     reg.prepare(u, "RNA")
@@ -239,3 +239,112 @@ def test_streams_do_not_share_a_ledger(spark, tmp_path):
     f.write(pa.table({"soma_joinid": [50], "v": [1]}))
     sink()
     assert sorted(seen) == [*range(10), 50]
+
+
+def test_stored_ids_are_refused(spark, uri):
+    with pytest.raises(MatrellaError, match="A"):
+        bundles.register([source(["A", "X", "Y"], 100)], uri)
+    r = bundles.register([source(["X", "A", "Y"], 100)], uri, allow_duplicate_obs_ids=True)
+    assert {x.label: x.soma_joinid for x in r.obs.where("is_new").collect()} == {"X": 6, "Y": 7} and r.obs_size == 8
+    part = r.subset(source(["Y", "A", "A"], 200))
+    assert sorted(x.label for x in part.obs.collect()) == ["A", "Y"] and part.obs_size == 8 and part.var.count() == 4
+
+
+def test_inputs_may_be_spark_frames(spark, tmp_path):
+    """Frames and COO in, nothing of them on the driver: the same experiment as from pandas."""
+    u = f"{tmp_path}/e"
+    obs = lambda ids: spark.createDataFrame([(k, i, 1.5 * k) for k, i in enumerate(ids)], "place bigint, obs_id string, n double")
+    var = lambda ids: spark.createDataFrame(list(enumerate(ids)), "place bigint, var_id string")
+    x = lambda base: spark.createDataFrame([(i, j, float(base + 10 * i + j)) for i in range(3) for j in range(4) if (i + j) % 2], "i bigint, j bigint, value double")
+    a = bundles.Source(obs("CAB"), var(VARS[100]), x(100), obsm={"pca": spark.createDataFrame([(0, 1, 2.0)], "i bigint, j bigint, v double")})
+    b = bundles.Source(obs("FDE"), var(VARS[200]), x(200))
+    bundles.write_experiment(u, a, registration=bundles.register([a]))
+    reg = bundles.register([b], u)
+    reg.prepare(u, "RNA")
+    bundles.append(u, b, reg)
+    got = bundles.to_bundle(u)
+    assert got.obs.index.tolist() == list("CABFDE") and got.var.index.tolist() == ["AKT1", "APOE", "ESR1", "TP53", "EGFR", "VEGFA"]
+    assert got.X.to_numpy()[3].tolist() == [0, 0, 0, 0, 201, 203] and got.obsm["pca"].tolist()[0] == [0, 2] and got.obs["n"].tolist() == [0, 1.5, 3] * 2
+    new = spark.createDataFrame([(k, f"x{k}") for k in range(6)], "place bigint, obs_id string")
+    bundles.update_obs(u, new)
+    assert Experiment.open(u)["obs"].schema.names == ["soma_joinid", "obs_id"]
+    with pytest.raises(ValueError):
+        bundles.update_obs(u, new.where("place <> 2"))
+    with pytest.raises(ValueError):
+        bundles.register([bundles.Source(new.drop("place"), var("ab"))])
+
+
+def test_labelled_matrices_and_parts(spark, uri):
+    exp = Experiment.open(uri)
+    with exp.axis_query("RNA", obs_query=AxisQuery(value_filter="cell_type == 'B cell'")) as q:
+        m = q.to_labelled_matrix("X", "data", "obs_id", "var_id")
+        assert m.rows == ["A", "C", "D", "F"] and m["A", "APOE"] == 101 and m["A", "AKT1"] == 0 and m.matrix.shape == (4, 6)
+        assert q.to_labelled_matrix("obsm", "pca", "obs_id").columns == [0, 1]
+        with pytest.raises(ValueError):
+            q.to_labelled_matrix("X", "data", "cell_type")
+        with pytest.raises(KeyError):
+            q.to_labelled_matrix("X", "zzz")
+        parts = q.X_parts("data")
+        assert parts.count() == q.X("data").df.count()
+        got = q.read(["data"], ["obs_id"])
+        assert set(got) == {"obs", "var", "X"} and got["X"]["data"].count() == parts.count()
+
+    class Backwards:
+        def __init__(self, ids):
+            self.ids = list(ids)
+
+        def get_indexer(self, target):
+            return np.array([self.ids.index(int(x)) for x in np.asarray(target)], np.int64)
+
+    with exp.axis_query("RNA", index_factory=Backwards) as q:
+        assert q.indexer.by_obs([3]).tolist() == [3] and q.to_bundle().X.shape == (6, 6)
+
+
+def test_collections_in_memory(spark, uri, tmp_path):
+    from matrella.api.collections import EphemeralExperiment, EphemeralMeasurement
+
+    exp = Experiment.open(uri)
+    e = EphemeralExperiment()
+    e.set("obs", exp["obs"])
+    with pytest.raises(MatrellaError):
+        e["obs"] = exp["obs"]
+    with pytest.raises(TypeError):
+        EphemeralMeasurement().set("var", exp["ms"])
+    e["ms"] = exp["ms"]
+    stored = e.store(f"{tmp_path}/e")
+    assert stored.reopen("r")["obs"].count == exp["obs"].count and stored.kind == "Experiment"
+
+
+def test_spots_become_a_scene(spark, tmp_path):
+    from matrella.api.spatial import scene_export
+
+    path = f"{tmp_path}/spots.csv"
+    with open(path, "w") as f:
+        f.write("barcode,in_tissue,array_row,array_col,pxl_row_in_fullres,pxl_col_in_fullres\nA,1,0,0,10.5,20.5\nC,0,1,1,11,21\nZ,1,5,5,1,1\n")
+    u = f"{tmp_path}/e"
+    spots.write_spots(u, source(["A", "B", "C"], 100), spots.read_positions(spark, path), "s1", radius=2, images={"hires": np.arange(12, dtype="u1").reshape(1, 3, 4)}, scales={"hires": 0.5})
+    exp = Experiment.open(u)
+    with exp.axis_query("RNA", obs_query=AxisQuery(value_filter="obs_id in ['A', 'B']")) as q:
+        got = q.spatial()
+    assert list(got) == ["s1"] and not got["s1"]["points"]
+    assert [(r.soma_joinid, r.x, r.y, r.radius) for r in got["s1"]["shapes"]["loc"].collect()] == [(0, 20.5, 10.5, 2.0)]
+    pixels, back = got["s1"]["images"]["hires"]
+    assert pixels.shape == (1, 3, 4) and back.apply([[1, 1]]).tolist() == [[2, 2]]
+    assert exp["obs_spatial_presence"].count == 2 and scene_export(exp["spatial"]["s1"])["shapes"]["loc"].count() == 2
+
+
+def test_diagnostics(spark, uri):
+    from matrella import diagnostics
+
+    obs = Experiment.open(uri)["obs"]
+    assert diagnostics.object_stats(obs)["fragments"] == 2 and "pyspark" in diagnostics.versions()
+    assert "Scan parquet" in diagnostics.explained(obs.read().df)
+    eta = diagnostics.Eta()
+    assert eta.left(10) is None
+    for k in range(4):
+        eta.add(2.0 * k, at=float(k))
+    assert abs(eta.left(10) - 2) < 1e-9
+    with diagnostics.timed("nothing") as t:
+        pass
+    assert t["seconds"] >= 0
+    diagnostics.set_log_level("error")

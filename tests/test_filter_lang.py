@@ -90,3 +90,21 @@ def test_agrees_with_pandas(frame, text):
     pdf = pd.DataFrame([r for r in ROWS if r[3] is not None], columns=NAMES)
     want = sorted(pdf.query(text).i.tolist())
     assert sorted(r.i for r in frame.where("text is not null").where(compile_filter(text, frame.schema)[0]).collect()) == want
+
+
+def test_r_values_and_trees(spark):
+    from matrella.functions.filter_lang import combine, compile_tree, in_or_not, triple
+
+    df = spark.sql("select * from values (1, timestamp_ntz'2024-01-01 12:00:00'), (2, timestamp_ntz'2024-01-03 00:00:00') as t(n, at)")
+    hit = lambda text: sorted(r.n for r in df.where(compile_filter(text, df.schema, "r")[0]).collect())
+    assert hit("at > as.Date('2024-01-02')") == [2] and hit("at <= as.POSIXct('2024-01-01 12:00:00', 'UTC')") == [1]
+    assert hit("n == bit64::as.integer64(2)") == [2] and hit("at == as.Date(19725)") == [2]
+    for bad in ("at > as.Date('x')", "at > as.Date(n)"):
+        with pytest.raises(FilterError):
+            hit(bad)
+    tree = combine(triple("n", 1, ">="), in_or_not("n", [2, 3], "%nin%"), "&&")
+    assert [r.n for r in df.where(compile_tree(tree, df.schema)).collect()] == [1]
+    assert [r.n for r in df.where(compile_tree(combine(tree, None, "!"), df.schema)).collect()] == [2]
+    for bad in (lambda: triple("n", 1, "~"), lambda: combine(tree, None, "or"), lambda: in_or_not("n", [1], "=="), lambda: in_or_not("n", [])):
+        with pytest.raises(FilterError):
+            bad()
