@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matrella.session import cut
+
 
 def clean_value(col: Column) -> Column:
     """The value as double, null where it is null or NaN."""
@@ -33,12 +35,7 @@ def join_states(facts: DataFrame, groups: DataFrame, key: str = "key", group: st
     facts: as of `fact_states`; groups: (key, group, n_dim) with the number of dimension rows of each key and group.
     Gives (group, n_rows, n_values, sum_values) as `facts JOIN groups ... GROUP BY group` over the raw rows would.
     """
-    joined = facts.where(F.col(key).isNotNull()).join(groups.where(F.col(key).isNotNull()), key)
-    return joined.groupBy(group).agg(
-        F.sum(F.col("n_rows") * F.col("n_dim")).alias("n_rows"),
-        F.sum(F.col("n_values") * F.col("n_dim")).alias("n_values"),
-        F.sum(F.col("sum_values") * F.col("n_dim")).alias("sum_values"),
-    )
+    return per_joined_group(join_inputs(facts, groups, key, group), group)
 
 
 def with_mean(states: DataFrame) -> DataFrame:
@@ -46,6 +43,33 @@ def with_mean(states: DataFrame) -> DataFrame:
     return states.withColumn("mean_value", F.when(F.col("n_values") > 0, F.col("sum_values") / F.col("n_values")))
 
 
+def join_inputs(facts: DataFrame, groups: DataFrame, key: str = "key", group: str = "group_key") -> DataFrame:
+    """The compact states of both inputs joined by key, keys of either side kept: (key, n_rows, n_values, sum_values, group, n_dim), one row a key and group.
+
+    A null key joins nothing and stands for itself.  `per_key`, `per_group` and `per_joined_group` roll the result up.  It is written to the shared checkpoint
+    folder, one row a key and group, so that roll-ups and totals don't read the inputs again.
+    """
+    g = groups.select(F.col(key).alias("__key"), group, "n_dim")
+    both = facts.join(g, F.col(key) == F.col("__key"), "full")
+    return cut(both.withColumn(key, F.coalesce(key, "__key")).drop("__key"))
+
+
+def per_key(joined: DataFrame, key: str = "key") -> DataFrame:
+    """The facts of each key again: its state stands on each of its rows, so the largest is the state."""
+    return joined.where(F.col("n_rows").isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_values", "sum_values")])
+
+
+def per_group(joined: DataFrame, group: str = "group_key") -> DataFrame:
+    """(group, n_rows): dimension rows of each group, the null group included."""
+    return joined.where(F.col("n_dim").isNotNull()).groupBy(group).agg(F.sum("n_dim").alias("n_rows"))
+
+
+def per_joined_group(joined: DataFrame, group: str = "group_key") -> DataFrame:
+    """Facts per group as the plain join would count them: each key's state times its dimension rows."""
+    both = joined.where(F.col("n_rows").isNotNull() & F.col("n_dim").isNotNull() & F.col(group).isNotNull())
+    return both.groupBy(group).agg(*[F.sum(F.col(c) * F.col("n_dim")).alias(c) for c in ("n_rows", "n_values", "sum_values")])
+
+
 def heavy_keys(states: DataFrame, share: float, key: str = "key") -> DataFrame:
     """The non-null keys that hold at least `share` of all rows; the total includes the null key."""
     total = states.agg(F.sum("n_rows")).scalar()

@@ -52,15 +52,19 @@ def _cell_states(spark: SparkSession, d: str) -> DataFrame:
     return eager_agg.fact_states(table(spark, d, "x_rna"), F.col("soma_dim_0"), F.col("soma_data"))
 
 
-def _label_states(spark: SparkSession, d: str) -> DataFrame:
-    return eager_agg.fact_states(table(spark, d, "obs"), plain_integer(F.col("seurat_clusters")), F.col("ncount_rna"))
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    """x_rna and obs reduced to one state per cell (and label), joined by cell."""
+    obs = table(spark, d, "obs").select(F.col("soma_joinid").alias("key"), plain_integer(F.col("seurat_clusters")).alias("cluster"))
+    groups = obs.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n_dim"))
+    return eager_agg.join_inputs(_cell_states(spark, d), groups, group="cluster")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Cells with at least 2 % of all rows of x_rna and labels with at least 5 % of all rows of obs."""
-    cells = eager_agg.heavy_keys(_cell_states(spark, d), 0.02)
-    labels = eager_agg.heavy_keys(_label_states(spark, d), 0.05)
-    out = [x.select(F.lit(n).alias("field_name"), F.col("key").cast("string").alias("key_value")) for n, x in (("x_rna.soma_dim_0", cells), ("obs.seurat_clusters", labels))]
+    """Cells with at least 2 % of all rows of x_rna and labels with at least 5 % of all rows of obs, rolled up from the joined states."""
+    joined = _joined(spark, d)
+    cells = eager_agg.heavy_keys(eager_agg.per_key(joined), 0.02)
+    labels = eager_agg.heavy_keys(eager_agg.per_group(joined, "cluster"), 0.05, "cluster")
+    out = [x.select(F.lit(n).alias("field_name"), F.col(k).cast("string").alias("key_value")) for n, k, x in (("x_rna.soma_dim_0", "key", cells), ("obs.seurat_clusters", "cluster", labels))]
     return out[0].unionAll(out[1])
 
 
@@ -72,9 +76,7 @@ def p6_per_cell(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     """x_rna joined to all rows of obs, per cluster label: from joined states, never from joined rows."""
-    obs = table(spark, d, "obs")
-    groups = obs.select(F.col("soma_joinid").alias("key"), plain_integer(F.col("seurat_clusters")).alias("cluster")).where("cluster is not null").groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n_dim"))
-    s = eager_agg.with_mean(eager_agg.join_states(_cell_states(spark, d), groups, group="cluster"))
+    s = eager_agg.with_mean(eager_agg.per_joined_group(_joined(spark, d), "cluster"))
     return s.select("cluster", "n_rows", "n_values", F.round("sum_values", 1).alias("sum_values"), F.round("mean_value", 3).alias("mean_value"))
 
 

@@ -228,3 +228,17 @@ def test_facts_combine_before_the_shuffle(spark, sf):
 @pytest.mark.parametrize("label", ["7", " 7 ", "07", "7.0"])
 def test_labels_are_one(spark, label):
     assert spark.createDataFrame([(label,)], "s string").select(plain_integer(F.col("s"))).first()[0] == 7
+
+
+def test_roll_ups_of_joined_states(spark):
+    """Keys of one side only, null keys and several groups a key: per key, per group and per joined group."""
+    facts = spark.createDataFrame([(1, 2.0)] * 3 + [(2, 5.0), (3, 7.0), (None, 1.0), (None, 4.0)], "k int, v double")
+    dims = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None), (9, "c"), (None, "a")], "k int, g string")
+    groups = dims.groupBy(F.col("k").alias("key"), F.col("g").alias("group_key")).agg(F.count(F.lit(1)).alias("n_dim"))
+    joined = eager_agg.join_inputs(eager_agg.fact_states(facts, F.col("k"), F.col("v")), groups)
+    assert {(r.key, r.n_rows, r.sum_values) for r in eager_agg.per_key(joined).collect()} == {(1, 3, 6.0), (2, 1, 5.0), (3, 1, 7.0), (None, 2, 5.0)}
+    assert {tuple(r) for r in eager_agg.per_group(joined).collect()} == {("a", 3), ("b", 1), (None, 1), ("c", 1)}
+    assert {tuple(r) for r in eager_agg.per_joined_group(joined).collect()} == {("a", 6, 6, 12.0), ("b", 3, 3, 6.0)}
+    assert [r.key for r in eager_agg.heavy_keys(eager_agg.per_key(joined), 3 / 7).collect()] == [1]
+    empty = eager_agg.join_inputs(eager_agg.fact_states(facts.limit(0), F.col("k"), F.col("v")), groups.limit(0))
+    assert eager_agg.heavy_keys(eager_agg.per_key(empty), 0.5).count() == 0 and eager_agg.per_group(empty).count() == 0
