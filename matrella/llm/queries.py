@@ -102,13 +102,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which at least 0.3 of the words lie in repeated runs of six words."""
-    return repetition.judged(table(spark, d, "documents")).where("runs_fails and n_words > 0").select("doc_id").distinct()
+    """Documents of which at least 0.3 of the words lie in repeated runs of six words: of those that are suspect by their host's verdict, those that fail the rule."""
+    suspects = repetition.judged(table(spark, d, "documents")).where("runs_suspect and n_words > 0")
+    return suspects.where("runs_fails").select("doc_id").distinct()
 
 
 def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Failures of each rule per host, with shrunk rates and verdict."""
-    return repetition.host_verdicts(repetition.shares(table(spark, d, "documents")))
+    got = repetition.host_verdicts(repetition.shares(table(spark, d, "documents")))
+    return got.withColumns({f"{rule}_rate": F.round(f"{rule}_rate", 6) for rule in repetition.RULES})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_hosts)}
@@ -145,7 +147,24 @@ def _runs(words: str, key: str, n: int) -> str:
     return f"SELECT {key}, pos, array_to_string(w[pos : pos + {n - 1}], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS pos FROM ({words}))"
 
 
+_HOSTS = f"""WITH w AS ({_words("documents", "doc_id", "text")}), r AS ({_runs("SELECT * FROM w", "doc_id", 6)}),
+hit AS (SELECT DISTINCT doc_id, pos + k AS place FROM r JOIN (SELECT doc_id, run FROM r GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, run) CROSS JOIN (SELECT unnest(range(6)) AS k)),
+runs AS (SELECT doc_id, n / len(w) AS share FROM (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) JOIN w USING (doc_id)),
+kept AS (SELECT doc_id, line, nth FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
+  WHERE NOT contains(line, '-->') AND NOT regexp_full_match(line, '[ \\t]*[0-9]+[ \\t]*')),
+lines AS (SELECT doc_id, 1 - sum(CASE WHEN first THEN length(s) ELSE 0 END) / sum(length(s)) AS share FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) = 1 AS first
+  FROM (SELECT doc_id, trim(line, ' ' || chr(9)) AS s FROM kept) WHERE s <> '') GROUP BY doc_id),
+blocks AS (SELECT doc_id, 1 - sum(CASE WHEN first THEN length(s) ELSE 0 END) / sum(length(s)) AS share FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) = 1 AS first
+  FROM (SELECT doc_id, trim(unnest(string_split(t, chr(10) || chr(10))), ' ' || chr(9) || chr(10)) AS s FROM (SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS t FROM kept GROUP BY doc_id)) WHERE s <> '') GROUP BY doc_id),
+fails AS (SELECT source AS host, count(*) AS n_docs, count(*) FILTER (runs.share >= 0.3) AS runs_failed, count(*) FILTER (lines.share >= 0.3) AS lines_failed, count(*) FILTER (blocks.share >= 0.2) AS blocks_failed
+  FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN blocks USING (doc_id) GROUP BY source),
+""" + ",\n".join(f"""{x}_m AS (SELECT sum({x}_failed) / sum(n_docs) AS m, var_samp({x}_failed / n_docs) - avg(1.0 / n_docs) * m * (1 - m) AS spread FROM fails),
+{x}_p AS (SELECT m, greatest(1, least(coalesce(CASE WHEN spread > 1e-9 THEN m * (1 - m) / spread - 1 END, 1e4), 1e4)) AS s FROM {x}_m)""" for x in repetition.RULES) + """
+SELECT *, greatest(runs_rate, lines_rate, blocks_rate) > 0.2 AS host_bad FROM (SELECT host, n_docs, runs_failed, lines_failed, blocks_failed, """ + ", ".join(f"round(({x}_failed + {x}_p.m * {x}_p.s) / (n_docs + {x}_p.s), 6) AS {x}_rate" for x in repetition.RULES) + """
+FROM fails, runs_p, lines_p, blocks_p)"""
+
 SQL: dict[str, str] = {
+    "p9_hosts": _HOSTS,
     "p2_found": f"""WITH {_SIMS} SELECT DISTINCT least(a, b) AS joinid_a, greatest(a, b) AS joinid_b
 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nth FROM sims WHERE s >= 0.9) WHERE nth <= 5""",
     "p5_found": f"""WITH RECURSIVE {_SIMS}, edges AS (SELECT a, b FROM sims WHERE s >= 0.9),

@@ -3,7 +3,7 @@
 For each document the share of its words that lie in a run of n words occurring at least twice in it is measured, and the shares of repeated
 lines and of repeated blocks (paragraphs, cues).  Rules turn shares into failures; failures are counted per host; a host's rate is shrunk towards
 that of all hosts by an empirical beta prior (method of moments), so a host of three documents is not judged by these three alone; and the host's
-verdict is joined back to its documents.
+verdict is joined back to its documents: a document of a bad host is suspect at a lower share than others (`STRICT` times the rule's share).
 
 Null and empty texts have no words and shares of 0; a text of fewer than n words cannot repeat a run.  A null host is a host of its own.
 Repeated documents count as often as they occur.  Extra columns are not read.
@@ -23,6 +23,8 @@ from matrella.session import cut
 
 RUN = 6
 SHARES = "doc_id bigint, host string, n_words int, run_share double, line_share double, block_share double"
+#: share, of a rule's, from which on a document of a bad host is suspect
+STRICT = 2 / 3
 #: rule -> (column, share from which on a document fails)
 RULES = {"runs": ("run_share", 0.3), "lines": ("line_share", 0.3), "blocks": ("block_share", 0.2)}
 
@@ -74,9 +76,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = len(words)
                 words += _WORD.findall(plain(lines))
                 counts.append(len(words) - before)
-                spoken = [s for x in lines if (s := x.strip())]
+                spoken = [s for x in lines if (s := x.strip(" \t"))]  # lines and blocks without the blanks around them
                 line_share.append(_repeated_share(spoken))
-                block_share.append(_repeated_share([s for x in "\n".join(lines).split("\n\n") if (s := x.strip())]))
+                block_share.append(_repeated_share([s for x in "\n".join(lines).split("\n\n") if (s := x.strip(" \t\n"))]))
             counts = np.array(counts, np.int64)
             codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
             doc = np.repeat(np.arange(len(counts)), counts)
@@ -122,10 +124,15 @@ def host_verdicts(measured: DataFrame, limit: float = 0.2) -> DataFrame:
 
 
 def judged(docs: DataFrame, limit: float = 0.2) -> DataFrame:
-    """Each document with its shares, which rules it fails, and its host's shrunk rates and verdict."""
+    """Each document with its shares, which rules it fails, its host's shrunk rates and verdict, and per rule whether it is suspect.
+
+    Suspect is a document whose share reaches the rule's, or STRICT times that if its host is bad: so failing documents are suspect in any case.
+    """
     measured = cut(shares(docs))
     hosts = host_verdicts(measured, limit)
-    flags = {f"{rule}_fails": F.col(c) >= least for rule, (c, least) in RULES.items()}
     # one row a host joins back; a null host meets itself
     h = hosts.withColumnRenamed("host", "host_key")
-    return measured.withColumns(flags).join(h, F.col("host").eqNullSafe(F.col("host_key")), "left").drop("host_key")
+    out = measured.join(h, F.col("host").eqNullSafe(F.col("host_key"))).drop("host_key")
+    strict = F.when(F.col("host_bad"), F.lit(STRICT)).otherwise(F.lit(1.0))
+    flags = {f"{rule}_fails": F.col(c) >= least for rule, (c, least) in RULES.items()}
+    return out.withColumns(flags | {f"{rule}_suspect": F.col(c) >= least * strict for rule, (c, least) in RULES.items()})
