@@ -6,9 +6,10 @@
 3. One pass over all vectors assigns each to its nearest leaf; vectors beyond all of them are leaves of their own.
 4. Ward agglomeration joins the leaves, component by component, and the members nearest to a cluster's centre describe it.
 
-For groups by the rule "linked if similar enough, directly or through others" the leaves serve as proof: two vectors within half the
-threshold angle of one centre are certainly similar, so such a leaf is one clique; leaves whose angles leave no doubt are linked
-or separated at once, and only the doubtful rest is compared vector by vector, in blocks.  The result is exact.
+For groups by the rule "linked if similar enough, directly or through others" the same four steps propose the groups, and an exact check follows.  Two
+vectors within half the threshold angle of one leaf's centre are certainly similar, so such a leaf is one clique; leaves whose angles leave no doubt are linked or
+separated at once.  Leaves of one Ward cluster are tried next: of each pair of them the member nearest to the other leaf is compared with that leaf's members.
+What is then still in doubt, within or across clusters, is compared vector by vector, in blocks.  The result is exact, whatever Ward proposed.
 
 Equal vectors count once with their smallest id; vectors of zeros and null ids take no part; empty input gives empty results.
 """
@@ -31,6 +32,9 @@ from matrella.session import cut
 #: Bound of a merged set of leaves: 4,096 leaves of 50 components are 1.6 MB.  Where more would be left, those with the fewest vectors are
 #: set aside; their vectors are treated one by one afterwards, none is lost.
 MAX_LEAVES = 4096
+#: Where vectors outside all kept leaves are more than LOOSE, another set of leaves is grown over them, up to ROUNDS sets (ROUNDS * MAX_LEAVES leaves of 50
+#: components are 13 MB of float32).
+LOOSE, ROUNDS = 20_000, 16
 FAN_IN = 8
 SLACK = 1e-3  # radians; far above the float32 error of an angle that matters here
 
@@ -138,8 +142,8 @@ def _merge(dims: int, angle: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def leaves(vectors: DataFrame, dims: int, angle: float) -> np.ndarray:
-    """Centres of the merged leaves of all partitions, at most MAX_LEAVES, as a float32 matrix on the driver."""
+def leaves(vectors: DataFrame, dims: int, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged leaves of all partitions, at most MAX_LEAVES, on the driver: centres as float32, counts and linear sums."""
     found = cut(vectors.mapInArrow(_grow(dims, angle), LEAF))
     parts = (found.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
@@ -147,10 +151,38 @@ def leaves(vectors: DataFrame, dims: int, angle: float) -> np.ndarray:
         found = found.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_merge(dims, angle), LEAF)
     got = found.select("n", "total").toArrow()
     if not got.num_rows:
-        return np.zeros((0, dims), np.float32)
-    total = _totals(got["total"], dims)
-    order = np.lexsort((total[:, 0], -got["n"].to_numpy()))
-    return unit(total[order]).astype(np.float32)
+        return np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros((0, dims))
+    n, total = got["n"].to_numpy(), _totals(got["total"], dims)
+    order = np.lexsort((total[:, 0], -n))
+    return unit(total[order]).astype(np.float32), n[order], total[order]
+
+
+def _outside(dims: int, centres: np.ndarray, angle: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The vectors farther than `angle` from all centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each_batch(batches, 1024):
+            far = (unit(unpack(t["vec"], dims)).astype(np.float32) @ centres.T).max(axis=1) < np.cos(angle)
+            yield from t.filter(pa.array(far)).to_batches()
+
+    return run
+
+
+def warded_leaves(vectors: DataFrame, dims: int, angle: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of leaves and the Ward cluster of each; where MAX_LEAVES binds and many vectors are left outside, further sets of leaves follow over those alone."""
+    centres, cluster, rest, before = [], [], vectors, None
+    while True:
+        c, n, total = leaves(rest, dims, angle)
+        cluster.append(ward(c, n, total, least) + sum(map(len, centres)))
+        centres.append(c)
+        if len(c) < MAX_LEAVES or not len(c) or len(centres) == ROUNDS:
+            break
+        rest = cut(rest.mapInArrow(_outside(dims, c, angle), rest.schema))
+        left = rest.count()
+        if left <= LOOSE or before is not None and left > 0.95 * before:
+            break
+        before = left
+    return np.vstack(centres), np.concatenate(cluster)
 
 
 def ward(centres: np.ndarray, n: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
@@ -161,41 +193,42 @@ def ward(centres: np.ndarray, n: np.ndarray, total: np.ndarray, least: float) ->
     """
     m = len(n)
     n, total = n.astype(float).copy(), total.astype(float).copy()
+    square = (total**2).sum(1)
     label, alive = np.arange(m), n > 0
     chain: list[int] = []
-    done = ~alive
     while True:
         if not chain:
-            left = np.flatnonzero(alive & ~done)
+            left = np.flatnonzero(alive)
             if not len(left):
                 return label
             chain.append(int(left[0]))
         a = chain[-1]
-        others = np.flatnonzero(alive & ~done)
-        others = others[others != a]
-        joint_n = n[others] + n[a]
-        mean = ((total[others] + total[a]) ** 2).sum(1) / joint_n**2
-        gap = ((total[others] / n[others, None] - total[a] / n[a]) ** 2).sum(1)
-        alike = (unit(total[others]) @ unit(total[a : a + 1])[0]) >= least
-        cost = np.where((mean >= least) & alike, n[others] * n[a] / joint_n * gap, np.inf)
-        if not len(others) or not np.isfinite(cost).any():
-            done[a] = True  # nothing may join it any more
+        dot = total @ total[a]
+        joint_n = n + n[a]
+        joint = square + square[a] + 2 * dot
+        ok = alive & (joint >= least * joint_n**2) & (dot >= least * np.sqrt(square * square[a]))
+        ok[a] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
+            alive[a] = False  # nothing may join it any more
             chain = []
             continue
-        b = int(others[np.argmin(cost)])
-        if len(chain) > 1 and cost[others == chain[-2]][0] <= cost.min() * (1 + 1e-12):
+        cost = n[at] * n[a] / joint_n[at] * (square[at] / n[at] ** 2 + square[a] / n[a] ** 2 - 2 * dot[at] / (n[at] * n[a]))
+        b = int(at[np.argmin(cost)])
+        if len(chain) > 1 and ok[chain[-2]] and cost[at == chain[-2]][0] <= cost.min() * (1 + 1e-12) + 1e-15:
             b = chain[-2]
             chain = chain[:-2]
             n[a] += n[b]
             total[a] += total[b]
+            square[a] = total[a] @ total[a]
             alive[b] = False
             label[label == b] = a
         else:
             chain.append(b)
 
 
-def _assign(dims: int, centres: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, vec, leaf, angle, near): nearest leaf of each vector, and all other leaves within `reach`."""
+def _assign(dims: int, centres: np.ndarray, cluster: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, vec, leaf, angle, near): nearest leaf of each vector, and all other leaves within `reach`, with whether they are of the same cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_batch(batches, 1024):
@@ -207,20 +240,20 @@ def _assign(dims: int, centres: np.ndarray, reach: float) -> Callable[[Iterator[
                 hit = s >= np.cos(reach)
                 hit[np.arange(len(rows)), leaf] = False
                 r, c = np.nonzero(hit)
-                near = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(np.arccos(np.clip(s[r, c], -1, 1)).astype(np.float64))], ["leaf", "angle"])
+                near = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)), pa.array(np.arccos(np.clip(s[r, c], -1, 1)).astype(np.float64)), pa.array(cluster[leaf[r]] == cluster[c])], ["leaf", "angle", "fellow"])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32))
                 nears = pa.ListArray.from_arrays(offsets, near)
             else:
                 leaf, angle = np.full(len(rows), -1), np.full(len(rows), np.pi)
-                nears = pa.array([[] for _ in rows], pa.list_(pa.struct([("leaf", pa.int32()), ("angle", pa.float64())])))
+                nears = pa.array([[] for _ in rows], pa.list_(pa.struct([("leaf", pa.int32()), ("angle", pa.float64()), ("fellow", pa.bool_())])))
             yield from pa.table([t["id"], t["vec"], pa.array(leaf.astype(np.int32)), pa.array(angle.astype(np.float64)), nears], ["id", "vec", "leaf", "angle", "near"]).to_batches()
 
     return run
 
 
-def assign(vectors: DataFrame, centres: np.ndarray, dims: int, reach: float) -> DataFrame:
-    """The full assignment pass; the centres (at most MAX_LEAVES rows) travel with the task."""
-    return vectors.mapInArrow(_assign(dims, centres, reach), "id bigint, vec binary, leaf int, angle double, near array<struct<leaf:int,angle:double>>")
+def assign(vectors: DataFrame, centres: np.ndarray, cluster: np.ndarray, dims: int, reach: float) -> DataFrame:
+    """The full assignment pass; the centres (at most MAX_LEAVES rows a set of leaves) travel with the task."""
+    return vectors.mapInArrow(_assign(dims, centres, cluster, reach), "id bigint, vec binary, leaf int, angle double, near array<struct<leaf:int,angle:double,fellow:boolean>>")
 
 
 def _linked(dims: int, least: float) -> Callable[[pa.Table], pa.Table]:
@@ -266,8 +299,8 @@ def linked_groups(vectors: DataFrame, dims: int, least: float = 0.9) -> DataFram
     half = theta / 2 - SLACK
     vectors = cut(vectors)
     reps = cut(distinct_vectors(vectors))
-    centres = leaves(reps, dims, half)
-    seen = cut(assign(reps, centres, dims, theta + half + SLACK))
+    centres, cluster = warded_leaves(reps, dims, half, least)
+    seen = cut(assign(reps, centres, cluster, dims, theta + half + SLACK))
 
     # a vector within half the angle of its leaf's centre is of the leaf's clique; the clique goes by its smallest id
     core = seen.where(F.col("angle") <= half)
@@ -276,29 +309,38 @@ def linked_groups(vectors: DataFrame, dims: int, least: float = 0.9) -> DataFram
     units = cut(units.select("id", "vec", "leaf", "angle", "near", F.when(F.col("angle") <= half, F.col("clique")).otherwise(F.col("id")).alias("unit")))
 
     # where angles decide; a loose vector also looks at the clique of its own leaf
-    own = F.when(F.col("angle") > half, F.array(F.struct("leaf", "angle"))).otherwise(F.array().cast("array<struct<leaf:int,angle:double>>"))
-    looks = units.select("id", "unit", F.explode(F.concat("near", own)).alias("x")).select("id", "unit", "x.leaf", F.col("x.angle").alias("angle"))
+    own = F.when(F.col("angle") > half, F.array(F.struct("leaf", "angle", F.lit(True).alias("fellow")))).otherwise(F.array().cast("array<struct<leaf:int,angle:double,fellow:boolean>>"))
+    looks = units.select("id", "unit", F.explode(F.concat("near", own)).alias("x")).select("id", "unit", "x.leaf", F.col("x.angle").alias("angle"), "x.fellow")
     looks = looks.join(cliques.withColumnRenamed("unit", "to"), "leaf").where(F.col("angle") <= theta + F.col("reach") + SLACK)
     sure = looks.where(F.col("angle") <= theta - F.col("reach") - SLACK).select(F.col("unit").alias("a"), F.col("to").alias("b")).distinct()
 
-    # loose vectors against each other
-    loose = units.where(F.col("angle") > half).select(F.pmod("id", F.lit(1)).alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(True).alias("is_d"))
-    among = in_blocks(loose, _linked(dims, least), "a bigint, b bigint")
+    def against(pairs: DataFrame) -> DataFrame:
+        """Vectors asked (id, leaf) and the cliques they are asked against, as groups by leaf."""
+        asked = units.join(pairs.withColumnRenamed("leaf", "grp"), "id").select(F.col("grp").cast("bigint").alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(False).alias("is_d"))
+        held = units.where(F.col("angle") <= half).join(pairs.select("leaf").distinct(), "leaf", "left_semi").select(F.col("leaf").cast("bigint").alias("grp"), "id", "vec", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"))
+        return asked.unionAll(held)
+
+    def by_unit(found: DataFrame) -> DataFrame:
+        unit_of = units.select("id", "unit")
+        found = found.join(unit_of.select(F.col("id").alias("a"), F.col("unit").alias("ua")), "a").join(unit_of.select(F.col("id").alias("b"), F.col("unit").alias("ub")), "b")
+        return found.select(F.col("ua").alias("a"), F.col("ub").alias("b"))
+
+    # what Ward proposes: of each unit the vector nearest to another leaf of its cluster, against that leaf's clique; and loose vectors against each other
+    doubtful = looks.where(F.col("angle") > theta - F.col("reach") - SLACK)
+    tried = cut(doubtful.where("fellow and unit <> to").groupBy("unit", "leaf").agg(F.min_by("id", F.struct("angle", "id")).alias("id")).select("id", "leaf").distinct())
+    loose = units.where(F.col("angle") > half).select(F.lit(-1).cast("bigint").alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(True).alias("is_d"))
+    among = by_unit(in_blocks(loose.unionAll(against(tried)), _linked(dims, least), "a bigint, b bigint"))
     edges = cut(sure.unionAll(among))
     joined = components(edges)
 
-    # doubtful: only where a vector and a clique are not yet in one component
+    # the exact rest: only where a vector and a clique are not yet in one component
     def top(df: DataFrame, col: str, out: str) -> DataFrame:
         return df.join(joined.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    doubt = top(top(looks.where(F.col("angle") > theta - F.col("reach") - SLACK), "unit", "from_top"), "to", "to_top").where("from_top <> to_top")
+    doubt = top(top(doubtful, "unit", "from_top"), "to", "to_top").where("from_top <> to_top")
     doubt = cut(doubt.select("id", "leaf").distinct())
-    asked = units.join(doubt.withColumnRenamed("leaf", "grp"), "id").select(F.col("grp").cast("bigint").alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(False).alias("is_d"))
-    held = units.where(F.col("angle") <= half).join(doubt.select("leaf").distinct(), "leaf", "left_semi").select(F.col("leaf").cast("bigint").alias("grp"), "id", "vec", F.lit(False).alias("is_q"), F.lit(True).alias("is_d"))
-    more = in_blocks(asked.unionAll(held), _linked(dims, least), "a bigint, b bigint")
-    unit_of = units.select("id", "unit")
-    more = more.join(unit_of.select(F.col("id").alias("a"), F.col("unit").alias("ua")), "a").join(unit_of.select(F.col("id").alias("b"), F.col("unit").alias("ub")), "b")
-    joined = components(edges.unionAll(more.select(F.col("ua").alias("a"), F.col("ub").alias("b"))))
+    more = by_unit(in_blocks(against(doubt), _linked(dims, least), "a bigint, b bigint"))
+    joined = components(edges.unionAll(more))
 
     keys = top(units.select("id", "vec", "unit"), "unit", "cluster_key").select("vec", "cluster_key")
     rows = vectors.join(keys, "vec").select("cluster_key", "id")
@@ -319,8 +361,8 @@ def describe(vectors: DataFrame, dims: int, least: float = 0.9, typical: int = 3
     spark = vectors.sparkSession
     copies = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     reps = cut(copies)
-    centres = leaves(reps.select("id", "vec"), dims, theta / 2)
-    seen = cut(assign(reps.select("id", "vec"), centres, dims, 0.0).drop("near").join(reps.select("id", "copies"), "id"))
+    centres, *_ = leaves(reps.select("id", "vec"), dims, theta / 2)
+    seen = cut(assign(reps.select("id", "vec"), centres, np.zeros(len(centres)), dims, 0.0).drop("near").join(reps.select("id", "copies"), "id"))
     covered, rest = seen.where(F.col("angle") <= theta), seen.where(F.col("angle") > theta)
 
     # the kept leaves, at most MAX_LEAVES; a leaf goes by the smallest id of its members

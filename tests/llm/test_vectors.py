@@ -209,3 +209,50 @@ def test_registered_queries(spark, sf):
     assert {tuple(r) for r in queries.p2_found(spark, sf).collect()} == pairs
     assert {tuple(r) for r in queries.p5_found(spark, sf).collect()} == brute_groups(np.array(ids), rows, 0.9)
     assert queries.p5_clusters(spark, sf).count() > 0
+
+
+def test_more_sets_of_leaves_where_the_first_is_full(spark, monkeypatch):
+    """Vectors outside a full set of leaves get leaves of their own, set after set; the groups stay exact."""
+    monkeypatch.setattr(clusters, "MAX_LEAVES", 5)
+    monkeypatch.setattr(clusters, "LOOSE", 10)
+    rng = np.random.default_rng(14)
+    rows = np.vstack([clustered(rng, 400, centres=30), rng.standard_normal((40, 16))])
+    v = frame(spark, range(440), rows)
+    centres, cluster = clusters.warded_leaves(vectors.distinct_vectors(v), 16, 0.22, 0.9)
+    assert len(centres) == len(cluster) > 20 and len(centres) <= 5 * clusters.ROUNDS
+    assert {(r.cluster_key, r.id) for r in clusters.linked_groups(v, 16).collect()} == brute_groups(np.arange(440), rows, 0.9)
+
+
+def test_buckets_grow_with_the_collection(spark, monkeypatch):
+    """Several hashes name a bucket of a large collection; own buckets come first, and recall holds."""
+    assert [neighbours.hashes_for(n, 50) for n in (0, 500, 75_000, 750_000, 10**8)] == [1, 1, 1, 2, 3]
+    rng = np.random.default_rng(15)
+    rows = clustered(rng, 900, centres=40)
+    u = vectors.unit(rows).astype(np.float32)
+    two = neighbours.buckets(u, 0, 2, 4)
+    assert two.shape == (900, 4) and all(len(set(r)) == 4 for r in two.tolist())
+    assert np.array_equal(two[:, 0], neighbours.nearest_axes(u, 0, 1, 0)[:, 0] * 32 + neighbours.nearest_axes(u, 0, 1, 1)[:, 0])
+    monkeypatch.setattr(neighbours, "hashes_for", lambda n, dims: 2)
+    monkeypatch.setattr(neighbours, "SMALL", 4)
+    got = {(r.id, r.other) for r in neighbours.nearest(frame(spark, range(900), rows), 16).collect()}
+    want = brute_nearest(range(900), rows, 5, 0.9)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_parts_of_a_vector_meet_across_tasks(spark, monkeypatch):
+    """Components of one id in any number of parts, with late and repeated ones, in small slabs."""
+    rng = np.random.default_rng(16)
+    values, rows = {}, []
+    for k in range(3000):
+        i, j, t = int(rng.integers(3)), int(rng.integers(4)), int(rng.integers(1, 28))
+        v = float(np.float32(rng.standard_normal()))
+        rows.append((i, j, v, T(t)))
+        values[i, j] = max(values.get((i, j), (0, -9.0)), (t, v))
+    df = spark.createDataFrame(rows, "soma_dim_0 bigint, soma_dim_1 bigint, soma_data double, written_at timestamp_ntz").repartition(7)
+    monkeypatch.setattr(vectors._parts, "__defaults__", (50,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {r.id: np.frombuffer(bytes(r.vec), "<f4").tolist() for r in vectors.latest_vectors(df, "soma_dim_0", "soma_dim_1", "soma_data", "written_at", 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: [values[i, j][1] for j in range(4)] for i in range(3)}
