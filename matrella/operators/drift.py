@@ -1,9 +1,10 @@
 """Schemas that drift between files: rescue-column ingestion.
 
 Every line of every file is brought into one target schema.  Whatever the target does not know, or what cannot be
-cast to the target's type, is kept as JSON in the column `_rescued`, so nothing is lost.  Renames found between
-successive files of a stream are promoted: they map a drifted name to a target field, and rescued values are
-replayed into the typed columns.  Each change between a file and the one before it is reported.
+cast to the target's type, is kept as JSON in the column `_rescued`, so nothing is lost.  The lines are parsed once: the rescue table, which is
+written to the shared folder, also holds the names, types and texts of each line's fields as they were.  From it each change between a file and the one
+before it is reported.  Renames among them are promoted: they map a drifted name to a target field, and rescued values are
+replayed into the typed columns.
 
 Nulls and dirt: null, empty and cut lines are ignored (they give no row); a line without a usable soma_joinid still
 shows which fields its file has.  Repeated lines change nothing in the report and stay repeated in the table.
@@ -18,14 +19,14 @@ import re
 import warnings
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matrella.session import cut
+from matrella.session import cut, written
 
 KEY = "soma_joinid"
-LONG = "stream_id string, file_id bigint, soma_joinid bigint, field string, kind string, value string"
 
 
 class _Number(str):
@@ -79,76 +80,196 @@ def _joinid(value: object) -> int | None:
     return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text) else None
 
 
-def _long_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows: list[tuple] = []
-        for stream, file, line in zip(pdf["stream_id"], pdf["file_id"], pdf["payload"]):
-            if (obj := parse_line(line)) is None:
-                continue
-            joinid = _joinid(obj.pop(KEY, None))
-            rows.extend((stream, file, joinid, field, *kind_and_text(value)) for field, value in flat_fields(obj))
-        out = pd.DataFrame(rows, columns=["stream_id", "file_id", "soma_joinid", "field", "kind", "value"])
-        yield out.astype({"soma_joinid": "Int64"})
+#: where a file mixes types in one field, the widest of them is the field's type there
+WIDTH = {"string": 5, "array": 4, "decimal": 3, "integer": 2, "boolean": 1}
 
+_INT = re.compile(r"\s*([+-]?[0-9]+)(?:\.0*)?\s*", re.ASCII)
+_DOUBLE = re.compile(r"\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|NaN|Infinity)\s*", re.ASCII)
+_BOOL = {"true": True, "t": True, "yes": True, "y": True, "1": True, "false": False, "f": False, "no": False, "n": False, "0": False}
 
-def long_fields(files: DataFrame) -> DataFrame:
-    """One row per line and field: (stream_id, file_id, soma_joinid, field, kind, value); kind and value are null for JSON null."""
-    return files.select("stream_id", "file_id", "payload").mapInPandas(_long_rows, LONG)
 
+def _whole(bits: int) -> Callable[[str], int | None]:
+    def cast(text: str) -> int | None:
+        m = _INT.fullmatch(text)
+        value = int(m[1]) if m and len(text) < 40 else None
+        return value if value is not None and -(1 << (bits - 1)) <= value < 1 << (bits - 1) else None
+
+    return cast
 
-#: where a file mixes types in one field, the widest of them is the field's type there
-WIDTH = {"string": 5, "array": 4, "decimal": 3, "integer": 2, "boolean": 1}
+
+#: Spark type -> text to value, None where it can't be cast; whole numbers may be written as 3.0
+CASTS: dict[str, Callable[[str], object]] = {
+    "string": lambda text: text,
+    "int": _whole(32),
+    "bigint": _whole(64),
+    "double": lambda text: float(text) if _DOUBLE.fullmatch(text) else None,
+    "boolean": lambda text: _BOOL.get(text.strip().lower()),
+}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _candidates(names: tuple[str, ...], target: Mapping[str, str]) -> list[list[int]]:
+    """For each target field the places of the names that may fill it: its own first, then those that equal it without case (last part of an inner name), by name."""
+    last: dict[str, list[str]] = {}
+    for n in names:
+        last.setdefault(n.rsplit("/", 1)[-1].lower(), []).append(n)
+    at = {n: k for k, n in enumerate(names)}
+    return [[at[n] for n in sorted(last.get(f.lower(), ()), key=lambda n, f=f: (n != f, n))] + ([at[f]] if "/" in f and f in at else []) for f in target]
+
+
+def _flat(obj: dict, prefix: str, names: list[str], values: list) -> None:
+    for name, value in obj.items():
+        if type(value) is dict:
+            _flat(value, f"{prefix}{name}/", names, values)
+        else:
+            names.append(prefix + name)
+            values.append(value)
+
+
+_KINDS = {_Number: 2, _Decimal: 3, str: 5}
+_PARSED = ("names", "widths", "texts")
+
+
+def _lines(target: Mapping[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each line parsed, typed and rescued; lines that are no valid object stay as rows without names, as their file was there."""
+    casts = [CASTS[k] for k in target.values()]
+    kinds = [_ARROW[k] for k in target.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, ...], tuple[pa.Scalar | None, list[list[int]]]] = {}
+        for batch in batches:
+            ids, shape, widths, texts, sizes, rescued = [], [], [], [], [], []
+            typed: list[list] = [[] for _ in casts]
+            for line in batch.column("payload").to_pylist():
+                obj = parse_line(line)
+                if obj is None:
+                    ids.append(None)
+                    shape.append(None)
+                    sizes.append(0)
+                    rescued.append(None)
+                    for column in typed:
+                        column.append(None)
+                    continue
+                ids.append(_joinid(obj.pop(KEY, None)))
+                names: list[str] = []
+                values: list = []
+                _flat(obj, "", names, values)
+                key = tuple(names)
+                if len(set(key)) < len(key):  # an inner name may be spelled like an outer one: the later counts
+                    names, values = zip(*dict(zip(names, values)).items())
+                    key = tuple(names)
+                if key not in known:
+                    known[key] = (list(key), _candidates(key, target))
+                row = []
+                for v in values:
+                    if v is None:
+                        widths.append(0)
+                        row.append(None)
+                    elif (w := _KINDS.get(type(v))) is not None:
+                        widths.append(w)
+                        row.append(v)
+                    else:
+                        kind, text = kind_and_text(v)
+                        widths.append(WIDTH[kind])
+                        row.append(text)
+                texts += row
+                sizes.append(len(row))
+                shape.append(known[key][0])
+                taken = set()
+                for column, cast, places in zip(typed, casts, known[key][1]):
+                    value = None
+                    for k in places:
+                        got = None if row[k] is None else cast(row[k])
+                        if got is not None and value is None:
+                            value = got
+                        if got is not None and (got == value or got != got and value != value):
+                            taken.add(k)
+                    column.append(value)
+                left = {n: t for k, (n, t) in enumerate(zip(key, row)) if t is not None and k not in taken}
+                rescued.append(json.dumps(left, ensure_ascii=False) if left else None)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            cols = [batch.column(n) for n in ("stream_id", "file_id", "exported_at", "line_no")]
+            cols += [pa.array(ids, pa.int64()), pa.array(shape, pa.list_(pa.string())), pa.ListArray.from_arrays(ends, pa.array(widths, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(texts, pa.string()))]
+            cols += [pa.array(c, k) for c, k in zip(typed, kinds)] + [pa.array(rescued, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["stream_id", "file_id", "exported_at", "line_no", KEY, *_PARSED, *target, "_rescued"])
+
+    return run
+
+
+def rescued_lines(files: DataFrame, target: Mapping[str, str]) -> DataFrame:
+    """All lines with their target fields typed, the rest in `_rescued`, and their fields as they were: names, widths (see WIDTH, 0 for null) and texts.
+
+    names is null where a line is no valid object.
+    """
+    if unknown := sorted(set(target.values()) - set(CASTS)):
+        raise ValueError(f"no such target types: {', '.join(unknown)}")
+    typed = "".join(f", `{f}` {k}" for f, k in target.items())
+    src = files.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("file_id").cast("bigint").alias("file_id"), F.col("exported_at").cast("timestamp_ntz").alias("exported_at"), F.col("line_no").cast("int").alias("line_no"), "payload")
+    return src.mapInArrow(_lines(target), f"stream_id string, file_id bigint, exported_at timestamp_ntz, line_no int, soma_joinid bigint, names array<string>, widths array<int>, texts array<string>{typed}, _rescued string")
+
+
+#: Files whose wanted names are broadcast (a few names each); beyond that the engine chooses the join.
+MAX_FILES = 100_000
 
 
 def changes(files: DataFrame, min_equal: int = 5) -> DataFrame:
-    """Every change (stream_id, file_id, change_kind, old_field, new_field) of a file against the one before it in its stream.
+    """`changes_in` of files that nothing else is wanted of: everything is rescued."""
+    return changes_in(written(rescued_lines(files, {})), min_equal)
+
+
+def changes_in(lines: DataFrame, min_equal: int = 5) -> DataFrame:
+    """Every change (stream_id, file_id, change_kind, old_field, new_field) of a file against the one before it in its stream, from a rescue table.
 
     renamed: the old name is gone, the new one is new, and at least `min_equal` records have values in both that are all equal as text;
     removed, added: gone or new without a rename; retyped: the type differs, a field of nulls keeping the type it had before.
+
+    Names come first: what is there in each file is small, and values are looked up only in files with vanished and new names, and of these names only.
     """
-    facts = long_fields(files)
+    of_file = ["stream_id", "file_id"]
     order = Window.partitionBy("stream_id").orderBy("exported_at", "file_id")
-    seq = files.groupBy("stream_id", "file_id").agg(F.min("exported_at").alias("exported_at")).select("stream_id", "file_id", F.row_number().over(order).alias("seq"))
-
-    width = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in WIDTH.items()])
-    seen = facts.groupBy("stream_id", "file_id", "field").agg(F.max(width).alias("width"))
-    name_of = F.coalesce(*[F.when(F.col("width") == w, k) for k, w in WIDTH.items()])
-    by_field = Window.partitionBy("stream_id", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    seen = seen.join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", F.last(name_of, ignorenulls=True).over(by_field).alias("type"))
-
-    following = seq.where("seq > 1").select("stream_id", "seq", "file_id")
-    now = seen.where("seq > 1").select("stream_id", "seq", "field", F.col("type").alias("new_type"), F.lit(True).alias("here"))
-    before = seen.select("stream_id", (F.col("seq") + 1).alias("seq"), "field", F.col("type").alias("old_type"), F.lit(True).alias("was"))
-    # what follows works on names of fields per file, written out so that its many small joins don't repeat the parsing
-    both = cut(now.join(before, ["stream_id", "seq", "field"], "full").join(following, ["stream_id", "seq"]))
-    gone, new = both.where("here is null"), both.where("was is null")
-
-    # values of vanished and of new fields meet per record; both sides are reduced to distinct values first
-    values = facts.where("value is not null and soma_joinid is not null").join(seq, ["stream_id", "file_id"]).select("stream_id", "seq", "field", "soma_joinid", "value").distinct()
-    old_values = values.withColumn("seq", F.col("seq") + 1).join(gone.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "old_field", "value": "old_value"})
-    new_values = values.join(new.select("stream_id", "seq", "field"), ["stream_id", "seq", "field"], "left_semi").withColumnsRenamed({"field": "new_field", "value": "new_value"})
-    met = old_values.join(new_values, ["stream_id", "seq", "soma_joinid"]).groupBy("stream_id", "seq", "old_field", "new_field")
-    pairs = met.agg(F.countDistinct("soma_joinid").alias("n"), F.min((F.col("old_value") == F.col("new_value")).cast("int")).alias("all_equal"))
-    pairs = cut(pairs.where((F.col("n") >= min_equal) & (F.col("all_equal") == 1)).select("stream_id", "seq", "old_field", "new_field"))
-
-    old = gone.select("stream_id", "seq", F.col("field").alias("old_field"), "old_type")
-    cur = new.select("stream_id", "seq", F.col("field").alias("new_field"), "new_type")
-    file_of = both.select("stream_id", "seq", "file_id").distinct()
-    renamed = pairs.join(old, ["stream_id", "seq", "old_field"]).join(cur, ["stream_id", "seq", "new_field"]).join(file_of, ["stream_id", "seq"])
+    # a file without a valid line has one row without a field: it stands in the order of the files all the same
+    field = lines.select(*of_file, "exported_at", F.explode_outer(F.arrays_zip("names", "widths")).alias("f")).select(*of_file, "exported_at", F.col("f.names").alias("field"), F.col("f.widths").alias("width"))
+    seen = cut(field.groupBy(*of_file, "field").agg(F.max("width").alias("width"), F.min("exported_at").alias("exported_at")))
+    seq = seen.groupBy(*of_file).agg(F.min("exported_at").alias("exported_at")).select(*of_file, F.row_number().over(order).alias("seq"), F.lead("file_id").over(order).alias("next_file"))
+    seen = seen.where("field is not null").drop("exported_at").join(seq, of_file)
+    by_field = Window.partitionBy("stream_id", "field").orderBy("seq")
+    seen = seen.withColumn("type", F.last(F.when(F.col("width") > 0, F.col("width")), ignorenulls=True).over(by_field.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumns({"before": F.lag("seq").over(by_field), "after": F.lead("seq").over(by_field), "old_type": F.lag("type").over(by_field), "file_before": F.lag("file_id").over(by_field)})
+    fresh = (F.col("seq") > 1) & F.coalesce(F.col("before") < F.col("seq") - 1, F.lit(True))
+    stale = F.col("next_file").isNotNull() & F.coalesce(F.col("after") > F.col("seq") + 1, F.lit(True))
+    moved = (F.col("before") == F.col("seq") - 1) & (F.col("old_type") != F.col("type"))
+    here = lambda what, file, source: F.struct(F.lit(what).alias("what"), F.col(file).alias("file_id"), F.col(source).alias("source"))
+    events = F.array_compact(F.array(F.when(fresh, here("new", "file_id", "file_id")), F.when(stale, here("gone", "next_file", "file_id")), F.when(moved, here("retyped", "file_id", "file_id"))))
+    # (file_id, what, field, type, source): one row a change of names; source is the file that has the values
+    found = cut(seen.select("stream_id", "field", "type", F.explode(events).alias("e")).select("stream_id", "e.*", "field", "type"))
+    gone, new = found.where("what = 'gone'").drop("what"), found.where("what = 'new'").drop("what")
+
+    # values of vanished and of new fields meet per record, in files that have both
+    both = gone.select(*of_file).join(new.select(*of_file), of_file, "left_semi").distinct()
+    wanted = found.where("what <> 'retyped'").join(both, of_file, "left_semi").groupBy("stream_id", F.col("source").alias("__source")).agg(F.collect_set(F.struct("file_id", "what", "field")).alias("wanted"))
+    wanted = cut(wanted.withColumnRenamed("stream_id", "__stream"))
+    if wanted.count() <= MAX_FILES:
+        wanted = F.broadcast(wanted)
+    value = lambda w: F.struct(w["file_id"].alias("file_id"), w["what"].alias("what"), w["field"].alias("field"), F.get("texts", F.array_position("names", w["field"]).cast("int") - 1).alias("value"))
+    at = lines.where("names is not null and soma_joinid is not null").select("stream_id", F.col("file_id").alias("__file"), KEY, "names", "texts").join(wanted, (F.col("stream_id").eqNullSafe(F.col("__stream"))) & (F.col("__file") == F.col("__source")))
+    values = at.select("stream_id", KEY, F.explode(F.filter(F.transform("wanted", value), lambda v: v["value"].isNotNull())).alias("v")).select("stream_id", KEY, "v.*").distinct()
+    old = values.where("what = 'gone'").select(*of_file, KEY, F.col("field").alias("old_field"), F.col("value").alias("old_value"))
+    cur = values.where("what = 'new'").select(*of_file, KEY, F.col("field").alias("new_field"), F.col("value").alias("new_value"))
+    met = old.join(cur, [*of_file, KEY]).groupBy(*of_file, KEY, "old_field", "new_field").agg(F.min((F.col("old_value") == F.col("new_value")).cast("int")).alias("equal"))
+    pairs = met.groupBy(*of_file, "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"), F.min("equal").alias("equal"))
+    pairs = cut(pairs.where((F.col("n") >= min_equal) & (F.col("equal") == 1)).select(*of_file, "old_field", "new_field"))
 
     def out(df: DataFrame, kind: str, old_name: str, new_name: str) -> DataFrame:
-        return df.select("stream_id", "file_id", F.lit(kind).alias("change_kind"), F.col(old_name).alias("old_field"), F.col(new_name).alias("new_field"))
+        return df.select(*of_file, F.lit(kind).alias("change_kind"), F.col(old_name).alias("old_field"), F.col(new_name).alias("new_field"))
 
-    removed = gone.join(pairs.select("stream_id", "seq", F.col("old_field").alias("field")).distinct(), ["stream_id", "seq", "field"], "left_anti")
-    added = new.join(pairs.select("stream_id", "seq", F.col("new_field").alias("field")).distinct(), ["stream_id", "seq", "field"], "left_anti")
-    kept = both.where("here and was and old_type <> new_type")
-    moved = renamed.where("old_type <> new_type").select("stream_id", "file_id", "new_field").distinct()
+    types = pairs.join(gone.select(*of_file, F.col("field").alias("old_field"), F.col("type").alias("old_type")), [*of_file, "old_field"])
+    types = types.join(new.select(*of_file, F.col("field").alias("new_field"), "type"), [*of_file, "new_field"]).where("old_type <> type")
     parts = [
-        out(renamed, "renamed", "old_field", "new_field"),
-        out(removed, "removed", "field", "field"),
-        out(added, "added", "field", "field"),
-        out(kept, "retyped", "field", "field"),
-        out(moved, "retyped", "new_field", "new_field"),
+        out(pairs, "renamed", "old_field", "new_field"),
+        out(gone.join(pairs.withColumnRenamed("old_field", "field"), [*of_file, "field"], "left_anti"), "removed", "field", "field"),
+        out(new.join(pairs.withColumnRenamed("new_field", "field"), [*of_file, "field"], "left_anti"), "added", "field", "field"),
+        out(found.where("what = 'retyped'"), "retyped", "field", "field"),
+        out(types, "retyped", "new_field", "new_field"),
     ]
     result = parts[0]
     for p in parts[1:]:
@@ -201,30 +322,19 @@ def promotions(found: DataFrame, target: Iterable[str], max_names: int = 10_000)
     return {name: min(hits[k]) for k, names in sets.items() if hits[k] for name in sorted(names)}
 
 
-def _line_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for file, line_no, line in zip(pdf["file_id"], pdf["line_no"], pdf["payload"]):
-            if (obj := parse_line(line)) is None:
-                continue
-            joinid = _joinid(obj.pop(KEY, None))
-            fields = {n: t for n, v in flat_fields(obj) if (t := kind_and_text(v)[1]) is not None}
-            rows.append((file, line_no, joinid, json.dumps(fields, ensure_ascii=False)))
-        yield pd.DataFrame(rows, columns=["file_id", "line_no", KEY, "_rescued"]).astype({KEY: "Int64"})
+def table_of(lines: DataFrame) -> DataFrame:
+    """The valid lines of a rescue table as (file_id, line_no, soma_joinid, target fields typed, _rescued)."""
+    return lines.where("names is not null").drop("stream_id", "exported_at", *_PARSED)
 
 
 def ingest(files: DataFrame, target: Mapping[str, str]) -> DataFrame:
     """All lines as (file_id, line_no, soma_joinid, target fields typed, _rescued).
 
-    target: field -> Spark type.  A field of exactly that name is taken if it can be cast, else the first by name of those that equal it without case
+    target: field -> Spark type (one of CASTS).  A field of exactly that name is taken if it can be cast, else the first by name of those that equal it without case
     (last part of an inner name); every other non-null field, and every value
     that cannot be cast, stays in `_rescued` (a JSON object of texts, null when nothing is left).
     """
-    raw = files.select("file_id", "line_no", "payload").mapInPandas(_line_rows, "file_id bigint, line_no int, soma_joinid bigint, _rescued string")
-    raw = raw.withColumn("__m", F.from_json("_rescued", "map<string,string>"))
-    for field, kind in target.items():
-        raw = raw.withColumn(field, F.lit(None).cast(kind))
-    return _fill(raw, target, {f: f for f in target}, spellings=True)
+    return table_of(rescued_lines(files, target))
 
 
 def replay(table: DataFrame, target: Mapping[str, str], promoted: Mapping[str, str]) -> DataFrame:
@@ -238,28 +348,22 @@ def replay(table: DataFrame, target: Mapping[str, str], promoted: Mapping[str, s
 def _cast(text: Column, kind: str) -> Column:
     if kind in ("int", "bigint"):  # whole numbers may be written as 3.0
         return F.when(text.rlike(r"^\s*[+-]?[0-9]+(\.0*)?\s*$"), F.regexp_replace(F.trim(text), r"\..*$", "").try_cast(kind))
+    if kind == "double":
+        return F.when(text.rlike(r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|Infinity)\s*$"), text.try_cast(kind))
     return text if kind == "string" else text.try_cast(kind)
 
 
-def _spelled(field: str, agrees: Callable[[Column], Column]) -> Column:
-    """The rescued names that equal the field without case and whose values agree."""
-    return F.map_keys(F.map_filter("__m", lambda k, v: (F.lower(F.substring_index(k, "/", -1)) == field.lower()) & agrees(v)))
-
-
-def _fill(df: DataFrame, target: Mapping[str, str], names: Mapping[str, str], spellings: bool = False) -> DataFrame:
-    cols, used, spelled = {}, [], []
+def _fill(df: DataFrame, target: Mapping[str, str], names: Mapping[str, str]) -> DataFrame:
+    cols, used = {}, []
     for field, kind in target.items():
         sources = sorted(n for n, f in names.items() if f == field)
         tries = [_cast(F.try_element_at("__m", F.lit(n)), kind) for n in sources]
-        if spellings:
-            tries.append(_cast(F.try_element_at("__m", F.array_min(_spelled(field, lambda v, kind=kind: _cast(v, kind).isNotNull()))), kind))
-            spelled.append(_spelled(field, lambda v, kind=kind, field=field: F.coalesce(_cast(v, kind) == F.col(f"`{field}`"), F.lit(False))))
         cols[field] = F.coalesce(F.col(f"`{field}`"), *tries) if tries else F.col(f"`{field}`")
         # a value leaves the rescue column when it agrees with what the typed column now holds
         used += [(n, _cast(F.try_element_at("__m", F.lit(n)), kind).eqNullSafe(F.col(f"`{field}`")) & F.col(f"`{field}`").isNotNull()) for n in sources]
     df = df.withColumns(cols)
     gone = F.array_compact(F.array(*[F.when(done, F.lit(n)) for n, done in used])) if used else F.array().cast("array<string>")
-    df = df.withColumn("__gone", F.concat(gone, *spelled))
+    df = df.withColumn("__gone", gone)
     left = F.map_filter("__m", lambda k, _: ~F.array_contains("__gone", k))
     df = df.withColumn("_rescued", F.when(F.size(left) > 0, F.to_json(left)))
     return df.drop("__m", "__gone")

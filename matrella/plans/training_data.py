@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matrella.functions.labels import plain_integer
 from matrella.operators import drift, eager_agg, orphans
-from matrella.session import table
+from matrella.session import table, written
 
 TARGET = {"obs_id": "string", "ncount_rna": "double", "nfeature_rna": "int", "percent.mt": "double", "seurat_clusters": "bigint", "cell_type": "string", "is_primary_data": "boolean"}
 
@@ -35,19 +35,29 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d)).select("table_name", "period", "reason", "n_keys")
 
 
+def _rescue_table(spark: SparkSession, d: str) -> DataFrame:
+    return written(drift.rescued_lines(table(spark, d, "obs_files"), TARGET))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every change of fields between successive files of a stream."""
-    return drift.changes(table(spark, d, "obs_files")).select("file_id", "change_kind", "old_field", "new_field").distinct()
+    """Every change of fields between successive files of a stream, from the rescue table."""
+    return drift.changes_in(_rescue_table(spark, d)).select("file_id", "change_kind", "old_field", "new_field").distinct()
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines of all files in one consistent obs table, the rest rescued."""
-    files = table(spark, d, "obs_files")
-    promoted = drift.promotions(drift.changes(files), TARGET)
-    out = drift.replay(drift.ingest(files, TARGET), TARGET, promoted)
+    lines = _rescue_table(spark, d)
+    promoted = drift.promotions(drift.changes_in(lines), TARGET)
+    out = drift.replay(drift.table_of(lines), TARGET, promoted)
     return out.withColumnRenamed("percent.mt", "percent_mt")
 
 
+def p3_rescued(spark: SparkSession, d: str) -> DataFrame:
+    """All lines in the target schema before any promotion, and how many fields of each are rescued."""
+    out = drift.table_of(drift.rescued_lines(table(spark, d, "obs_files"), TARGET)).withColumnRenamed("percent.mt", "percent_mt")
+    return out.withColumn("n_rescued", F.coalesce(F.size(F.json_object_keys("_rescued")), F.lit(0)).cast("bigint")).drop("_rescued")
+
+
 def _cell_states(spark: SparkSession, d: str) -> DataFrame:
     return eager_agg.fact_states(table(spark, d, "x_rna"), F.col("soma_dim_0"), F.col("soma_data"))
 
@@ -80,7 +90,7 @@ def p6_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     return s.select("cluster", "n_rows", "n_values", F.round("sum_values", 1).alias("sum_values"), F.round("mean_value", 3).alias("mean_value"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_table, p6_found, p6_per_cell, p6_per_cluster)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_table, p3_rescued, p6_found, p6_per_cell, p6_per_cluster)}
 
 _REFS = """
 refs AS (SELECT 'x_rna' AS table_name, soma_dim_0 AS k, written_at AS w FROM x_rna
@@ -100,7 +110,29 @@ judged AS (SELECT table_name, strftime(w, '%Y-%m') AS period, k AS soma_joinid,
 _LABEL = r"""CASE WHEN regexp_full_match(trim(seurat_clusters), '[+-]?[0-9]{1,18}(\.0*)?') THEN CAST(regexp_replace(trim(seurat_clusters), '\..*$', '') AS BIGINT) END"""
 _CELLS = "SELECT soma_dim_0 AS k, count(*) AS n_rows, count(CASE WHEN NOT isnan(soma_data) THEN 1 END) AS n_values, coalesce(sum(CASE WHEN NOT isnan(soma_data) THEN CAST(soma_data AS DOUBLE) END), 0) AS sum_values FROM x_rna GROUP BY 1"
 
+_NUMBER = r"'[ \t]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*'"
+_TYPED = {
+    "string": "val",
+    "int": r"CASE WHEN regexp_full_match(val, '[ \t]*[+-]?[0-9]+(\.0*)?[ \t]*') THEN CAST(TRY_CAST(regexp_extract(val, '[+-]?[0-9]+') AS INTEGER) AS VARCHAR) END",
+    "bigint": r"CASE WHEN regexp_full_match(val, '[ \t]*[+-]?[0-9]+(\.0*)?[ \t]*') THEN CAST(TRY_CAST(regexp_extract(val, '[+-]?[0-9]+') AS BIGINT) AS VARCHAR) END",
+    "double": f"CASE WHEN regexp_full_match(val, {_NUMBER}) THEN CAST(TRY_CAST(val AS DOUBLE) AS VARCHAR) END",
+    "boolean": "CASE WHEN lower(trim(val)) IN ('true', 't', 'yes', 'y', '1') THEN 'true' WHEN lower(trim(val)) IN ('false', 'f', 'no', 'n', '0') THEN 'false' END",
+}
+_RESCUED = f"""
+WITH rows_ AS (SELECT row_number() OVER () AS rid, file_id, line_no, payload FROM obs_files),
+lines AS (SELECT * FROM rows_ WHERE payload IS NOT NULL AND json_valid(payload)), objects AS (SELECT * FROM lines WHERE json_type(payload) = 'OBJECT'),
+top AS (SELECT rid, e.key AS name, e.value AS v, e.type AS t FROM objects, json_each(payload) e WHERE e.key <> 'soma_joinid'),
+flat AS (SELECT rid, name AS field, v, t FROM top WHERE t <> 'OBJECT' UNION ALL SELECT rid, name || '/' || e.key, e.value, e.type FROM top, json_each(v) e WHERE t = 'OBJECT'),
+vals AS (SELECT rid, field, lower(string_split(field, '/')[-1]) AS short, json_extract_string(v, '$') AS val FROM flat WHERE t <> 'NULL'),
+cast_ AS (SELECT rid, field, short, CASE short {" ".join(f"WHEN '{f}' THEN {_TYPED[k]}" for f, k in TARGET.items())} END AS v FROM vals),
+picked AS (SELECT rid, short, arg_min(v, (CASE WHEN field = short THEN 0 ELSE 1 END) || field) AS v FROM cast_ WHERE v IS NOT NULL GROUP BY rid, short),
+left_ AS (SELECT c.rid, count(*) AS n FROM cast_ c LEFT JOIN picked p ON p.rid = c.rid AND p.short = c.short WHERE c.v IS NULL OR p.v IS NULL OR c.v <> p.v GROUP BY c.rid)
+SELECT o.file_id, o.line_no, CASE WHEN regexp_full_match(json_extract_string(o.payload, '$.soma_joinid'), '-?[0-9]{{1,18}}') THEN CAST(json_extract_string(o.payload, '$.soma_joinid') AS BIGINT) END AS soma_joinid,
+{", ".join(f"CAST(max(CASE WHEN short = '{f}' THEN p.v END) AS {k.replace('string', 'varchar')}) AS {f.replace('.', '_')}" for f, k in TARGET.items())}, coalesce(max(n), 0) AS n_rescued
+FROM objects o LEFT JOIN picked p ON p.rid = o.rid LEFT JOIN left_ l ON l.rid = o.rid GROUP BY o.rid, o.file_id, o.line_no, o.payload"""
+
 SQL: dict[str, str] = {
+    "p3_rescued": _RESCUED,
     "p1_found": f"WITH {_REFS} SELECT DISTINCT table_name, period, soma_joinid, reason FROM judged WHERE reason IS NOT NULL",
     "p1_report": f"WITH {_REFS} SELECT table_name, period, reason, count(DISTINCT soma_joinid) AS n_keys FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
     "p3_found": """

@@ -53,3 +53,10 @@ def scratch(spark: SparkSession) -> str:
     uri = f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
     _clear_at_exit(spark, uri)
     return uri
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, columns compressed: for what is read more than once and by few columns at a time."""
+    uri = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -242,3 +242,40 @@ def test_roll_ups_of_joined_states(spark):
     assert [r.key for r in eager_agg.heavy_keys(eager_agg.per_key(joined), 3 / 7).collect()] == [1]
     empty = eager_agg.join_inputs(eager_agg.fact_states(facts.limit(0), F.col("k"), F.col("v")), groups.limit(0))
     assert eager_agg.heavy_keys(eager_agg.per_key(empty), 0.5).count() == 0 and eager_agg.per_group(empty).count() == 0
+
+
+def test_table_against_brute_force(spark, sf):
+    """Each line's typed fields and rescued texts, by its own names, spellings, and then promoted names in their order."""
+    target = training_data.TARGET
+    raw = spark.read.parquet(f"{sf}/obs_files.parquet")
+    promoted = drift.promotions(drift.changes(raw), target)
+    want = []
+    for r in raw.collect():
+        if (obj := drift.parse_line(r.payload)) is None:
+            continue
+        joinid = obj.pop("soma_joinid", None)
+        left = {n: t for n, v in drift.flat_fields(obj) if (t := drift.kind_and_text(v)[1]) is not None}
+        row = {}
+        for names in (lambda f: sorted((n for n in left if n.rsplit("/", 1)[-1].lower() == f), key=lambda n: (n != f, n)), lambda f: sorted(n for n in left if promoted.get(n) == f)):
+            for f, kind in target.items():
+                tried = {n: v for n in names(f) if (v := drift.CASTS[kind](left[n])) is not None}
+                if row.get(f) is None:
+                    row[f] = next(iter(tried.values()), None)
+                for n, v in tried.items():
+                    if v == row[f]:
+                        del left[n]
+        want.append((r.file_id, r.line_no, int(joinid) if joinid is not None else None, *row.values(), json.dumps(left, sort_keys=True) if left else None))
+    got = [(*list(r)[:-1], json.dumps(json.loads(r[-1]), sort_keys=True) if r[-1] else None) for r in training_data.p3_table(spark, sf).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[-1] is None for r in got) > 100
+
+
+def test_the_rescue_table_keeps_lines_as_they_were(spark):
+    """One parse: changes and the table come from the same written lines; what is typed keeps its text for the comparison."""
+    f = files(spark, [[*lines(x=lambda k: f"{k}.0"), "cut {"], lines(X_new=lambda k: k), ["", None]])
+    t = drift.rescued_lines(f, TARGET)
+    assert t.count() == 15 and drift.table_of(t).count() == 12
+    assert sorted((r.file_id, r.change_kind, r.old_field, r.new_field) for r in drift.changes_in(t).collect()) == [(2, "added", "X_new", "X_new"), (2, "removed", "x", "x"), (3, "removed", "X_new", "X_new")]
+    first = t.where("file_id = 1 and soma_joinid = 3").first()
+    assert first.x == 3 and first._rescued is None and first.texts == ["3.0"] and first.widths == [5]
+    with pytest.raises(ValueError):
+        drift.rescued_lines(f, {"x": "date"})
