@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from matrella.session import cut
 
-#: Proven size bound of a broadcast filter: 2**19 words of 64 bits are 2**19 rows of two longs (8 MB of data).
-#: Beyond about 3 million keys the share of false positives rises; results stay exact, as positives are verified.
-MAX_WORDS = 1 << 19
+#: Proven size bound of a broadcast filter: 2**19 words of 64 bits are 2**19 rows of two longs (8 MB of data), enough for about 3 million keys.  A filter of
+#: more keys grows on and is joined by word instead, after the references were reduced to one row a key and month.
+BROADCAST_WORDS = 1 << 19
+#: Bound of any filter (1.4 thousand million keys); beyond it the share of false positives rises.  Results stay exact in any case, as positives are verified.
+MAX_WORDS = 1 << 28
 BITS_PER_KEY = 12
 
 
@@ -37,8 +39,9 @@ class KeyFilter:
         """df with a column `maybe_known`: false proves that no parent has the key."""
         probe = df.withColumn("bloom_word", _word(F.col(key), self.words))
         mask = _mask(F.col(key))
+        frame = F.broadcast(self.frame) if self.words <= BROADCAST_WORDS else self.frame
         return (
-            probe.join(F.broadcast(self.frame), "bloom_word", "left")
+            probe.join(frame, "bloom_word", "left")
             .withColumn("maybe_known", F.coalesce(F.col("bloom_bits").bitwiseAND(mask) == mask, F.lit(False)))
             .drop("bloom_word", "bloom_bits")
         )
@@ -56,12 +59,13 @@ def _mask(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def key_filter(keys: DataFrame, key: str) -> KeyFilter:
-    """The filter of all non-null values of `key`; building it combines on the map side, copies cost nothing."""
+def key_filter(keys: DataFrame, key: str, most: int | None = None) -> KeyFilter:
+    """The filter of all non-null values of `key`, of at most `most` words; building it combines on the map side, copies cost nothing."""
+    most = MAX_WORDS if most is None else min(most, MAX_WORDS)
     present = keys.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
     n = present.agg(F.approx_count_distinct("k")).first()[0]
     words = 1 << 6
-    while words * 64 < BITS_PER_KEY * n and words < MAX_WORDS:
+    while words * 64 < BITS_PER_KEY * n and words < most:
         words *= 2
     frame = present.groupBy(_word(F.col("k"), words).alias("bloom_word")).agg(F.bit_or(_mask(F.col("k"))).alias("bloom_bits"))
     return KeyFilter(words, frame)
@@ -102,10 +106,13 @@ def orphans(refs: DataFrame, parents: DataFrame, deletes: DataFrame, always: Dat
     always = always.select("soma_joinid").where(F.col("soma_joinid").isNotNull()).distinct()
 
     known = key_filter(parents.select("soma_joinid"), "soma_joinid")
-    period = F.date_format("at", "yyyy-MM").alias("period")
-    per_key = refs.groupBy("table_name", "soma_joinid", period).agg(F.min("at").alias("first_ref"), F.count(F.lit(1)).alias("n_refs"))
-    # one row a table, key and month, written out: both ways below start from it without another pass over the references
-    per_key = cut(known.split(per_key.join(always, "soma_joinid", "left_anti"), "soma_joinid"))
+    # the only pass over the references: one row a table, key and month, and of keys that may ever have been deleted one row an instant
+    ever_deleted = key_filter(deletes, "soma_joinid", BROADCAST_WORDS).split(refs, "soma_joinid")
+    instant = F.when(F.col("maybe_known"), F.col("at")).alias("instant")
+    seen = ever_deleted.groupBy("table_name", "soma_joinid", F.date_format("at", "yyyy-MM").alias("period"), instant).agg(F.min("at").alias("first_ref"), F.count(F.lit(1)).alias("n_refs"))
+    seen = cut(seen.join(always, "soma_joinid", "left_anti"))
+    per_key = seen.groupBy("table_name", "soma_joinid", "period").agg(F.min("first_ref").alias("first_ref"), F.sum("n_refs").alias("n_refs"))
+    per_key = cut(known.split(per_key, "soma_joinid"))
 
     out = ["table_name", "period", "soma_joinid", "reason", "n_refs"]
     proven = per_key.where(~F.col("maybe_known")).withColumn("reason", F.lit("missing")).select(*out)
@@ -120,11 +127,9 @@ def orphans(refs: DataFrame, parents: DataFrame, deletes: DataFrame, always: Dat
 
     # only keys that were ever deleted need every instant of their references
     spans = dead_spans(timed.select("soma_joinid", "at"), deletes.select("soma_joinid", "at"))
-    spans = spans.join(parents.select("soma_joinid").distinct(), "soma_joinid", "left_semi").join(always, "soma_joinid", "left_anti")
-    maybe = key_filter(deletes, "soma_joinid").split(refs, "soma_joinid").where("maybe_known").drop("maybe_known")
-    instants = maybe.distinct()
-    dead = instants.join(spans, "soma_joinid").where((F.col("at") >= F.col("dead_from")) & (F.col("dead_to").isNull() | (F.col("at") < F.col("dead_to"))))
-    deleted = dead.groupBy("table_name", period, "soma_joinid").agg(F.count(F.lit(1)).alias("n_refs")).withColumn("reason", F.lit("deleted")).select(*out)
+    spans = spans.join(parents.select("soma_joinid").distinct(), "soma_joinid", "left_semi")
+    dead = seen.where("instant is not null").join(spans, "soma_joinid").where((F.col("instant") >= F.col("dead_from")) & (F.col("dead_to").isNull() | (F.col("instant") < F.col("dead_to"))))
+    deleted = dead.groupBy("table_name", "period", "soma_joinid").agg(F.count(F.lit(1)).alias("n_refs")).withColumn("reason", F.lit("deleted")).select(*out)
     return proven.unionAll(verified).unionAll(deleted)
 
 

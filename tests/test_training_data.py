@@ -279,3 +279,20 @@ def test_the_rescue_table_keeps_lines_as_they_were(spark):
     assert first.x == 3 and first._rescued is None and first.texts == ["3.0"] and first.widths == [5]
     with pytest.raises(ValueError):
         drift.rescued_lines(f, {"x": "date"})
+
+
+def test_large_filters_are_joined_by_word(spark, monkeypatch):
+    """More keys than a broadcast filter holds: the filter grows, is not broadcast, and still proves most orphans."""
+    monkeypatch.setattr(orphans, "BROADCAST_WORDS", 64)
+    f = orphans.key_filter(spark.range(5000).withColumnRenamed("id", "k"), "k")
+    assert f.words > 64
+    odd = f.split(spark.range(10**6, 10**6 + 5000).withColumnRenamed("id", "k"), "k")
+    assert odd.where("maybe_known").count() < 500
+    assert f.split(spark.range(5000).withColumnRenamed("id", "k"), "k").where("not maybe_known").count() == 0
+    assert orphans.key_filter(spark.range(5000).withColumnRenamed("id", "k"), "k", 64).words == 64
+
+
+def test_references_are_reduced_before_anything_else(spark, sf):
+    """What is returned starts from the written reduction: no table of references is read again for it."""
+    plan = training_data.p1_found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and not any(t in plan for t in ("x_rna", "obsm_pca", "obs_presence"))
