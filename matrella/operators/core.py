@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from matrella.functions.filter_lang import compile_filter
 from matrella.session import cut
 
-#: Up to so many keys are numbered by one sort task (16 MB of ids); see `numbered`.
-NUMBERING_STEP = 1 << 21
+#: Up to so many keys are numbered by one sort task (1 MB of ids), and so many lie in a range; see `numbered`.
+NUMBERING_STEP = 1 << 17
 
 
 def read_rows(df: DataFrame, columns: Sequence[str] | None = None, value_filter: str | None = None, syntax: str = "python") -> DataFrame:
@@ -65,10 +65,12 @@ def axis_matrix(matrix: DataFrame, obs_ids: DataFrame | None, var_ids: DataFrame
 def numbered(keys: DataFrame, by: str | Sequence[str], name: str, start: int = 0) -> DataFrame:
     """keys (distinct, not null) with their place in ascending order of `by` (one column or several), from `start`.
 
-    Up to NUMBERING_STEP keys are numbered by one sort.  More of them are range-partitioned and written out once, so that the ranges stay as they are when
+    The keys are written out once, so what selects them runs once.  Up to NUMBERING_STEP of them are numbered by one sort.  More are range-partitioned and
+    written again, so that the ranges stay as they are when
     tasks are repeated; each range is numbered by its own task and shifted by the sizes of the ranges before (one row a range).
     """
     by = [by] if isinstance(by, str) else list(by)
+    keys = cut(keys)
     n = keys.count()
     if n <= NUMBERING_STEP:
         return keys.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1 + F.lit(start)).cast("bigint"))
@@ -104,14 +106,21 @@ def latest(df: DataFrame, keys: Sequence[str], version: Sequence[Column]) -> Dat
     return df.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") == 1).drop("__nth")
 
 
-def compressed_rows(matrix: DataFrame, major: str, minor: str, value: str) -> DataFrame:
-    """One row for each non-empty major index: (major, indices, data, nnz), minor indices ascending.
+#: Minor indices that one piece of a compressed row spans.
+PIECE = 1 << 16
 
-    A row of a matrix is one value here; for very wide rows use `blocks` of `matrella.operators.assemble`.
+
+def compressed_rows(matrix: DataFrame, major: str, minor: str, value: str, width: int | None = None) -> DataFrame:
+    """(major, piece, indices, data, nnz): each non-empty major index in pieces of `width` minor indices (PIECE if none is given), minor indices ascending.
+
+    A piece holds at most `width` cells of a matrix without duplicates, so a row with any number of cells is spread over tasks; pieces one after the other are the row,
+    and `row_pointers` tells where it begins.
     """
+    width = width or PIECE
     cells = F.array_sort(F.collect_list(F.struct(F.col(minor).alias("j"), F.col(value).alias("v"))))
-    g = matrix.where(F.col(major).isNotNull() & F.col(minor).isNotNull()).groupBy(major).agg(cells.alias("c"))
-    return g.select(major, F.col("c.j").alias("indices"), F.col("c.v").alias("data"), F.size("c").alias("nnz"))
+    piece = F.floor(F.col(minor) / width).cast("bigint").alias("piece")
+    g = matrix.where(F.col(major).isNotNull() & F.col(minor).isNotNull()).groupBy(major, piece).agg(cells.alias("c"))
+    return g.select(major, "piece", F.col("c.j").alias("indices"), F.col("c.v").alias("data"), F.size("c").alias("nnz"))
 
 
 def row_pointers(matrix: DataFrame, major: str, block: int = 1 << 20) -> DataFrame:

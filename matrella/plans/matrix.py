@@ -231,18 +231,18 @@ def csr_indptr(t: Read) -> DataFrame:
     return core.row_pointers(_x(t), "soma_dim_0", 4096)
 
 
-@query(f"WITH x AS ({_X}) SELECT soma_dim_0, CAST(string_agg(soma_dim_1 || ':' || soma_data, ',' ORDER BY soma_dim_1) AS VARCHAR) AS cells FROM x GROUP BY 1")
+@query(f"WITH x AS ({_X}) SELECT soma_dim_0, soma_dim_1 // 65536 AS piece, CAST(string_agg(soma_dim_1 || ':' || soma_data, ',' ORDER BY soma_dim_1) AS VARCHAR) AS cells FROM x GROUP BY 1, 2")
 def csr_rows(t: Read) -> DataFrame:
     rows = core.compressed_rows(_x(t), "soma_dim_0", "soma_dim_1", "soma_data")
     cells = F.zip_with("indices", "data", lambda j, v: F.concat_ws(":", j.cast("string"), v.cast("string")))
-    return rows.select("soma_dim_0", F.array_join(cells, ",").alias("cells"))
+    return rows.select("soma_dim_0", "piece", F.array_join(cells, ",").alias("cells"))
 
 
-@query(f"WITH x AS ({_X}) SELECT soma_dim_1, CAST(string_agg(soma_dim_0 || ':' || soma_data, ',' ORDER BY soma_dim_0) AS VARCHAR) AS cells FROM x GROUP BY 1")
+@query(f"WITH x AS ({_X}) SELECT soma_dim_1, soma_dim_0 // 65536 AS piece, CAST(string_agg(soma_dim_0 || ':' || soma_data, ',' ORDER BY soma_dim_0) AS VARCHAR) AS cells FROM x GROUP BY 1, 2")
 def csc_columns(t: Read) -> DataFrame:
     rows = core.compressed_rows(_x(t), "soma_dim_1", "soma_dim_0", "soma_data")
     cells = F.zip_with("indices", "data", lambda j, v: F.concat_ws(":", j.cast("string"), v.cast("string")))
-    return rows.select("soma_dim_1", F.array_join(cells, ",").alias("cells"))
+    return rows.select("soma_dim_1", "piece", F.array_join(cells, ",").alias("cells"))
 
 
 @query(f"SELECT soma_dim_0 // 1000 AS block, count(*) AS nnz, count(DISTINCT soma_dim_0) AS n_rows, CAST(sum(soma_data) AS BIGINT) AS total FROM ({_X}) GROUP BY 1")
