@@ -11,7 +11,7 @@ at most e apart.  So:
 The shortest stretch of a passage is the shortest run of `min_words` of its words, so every copy of such a run with up to e edits is found.
 
 Null and empty texts hold nothing, passages of fewer than `min_words` words can't leak.  Repeated documents are each reported, repeated
-items too.  Passages go to the tasks in blocks of bounded size, however many there are; documents are never collected.
+items too.  Passages go to the tasks in blocks of bounded size, one at a time, however many there are; documents are never collected.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrella.llm.words import slabs, words_of
+from matrella.session import written
 
 Q = 12
 FOUND = "doc_id bigint, item_id bigint, shared int, score int, exact_words int"
@@ -231,40 +233,54 @@ def _pieces(texts: list[str], overlap: int, longest: int = 1 << 20) -> tuple[lis
     return out, np.array(owner, np.int64)
 
 
+def _blocks(items: DataFrame, item_id: str, passage: str) -> Iterator[list[tuple[int, str]]]:
+    """Passages in blocks of at most BLOCK_CHARS characters (or one passage), one empty block if there are none."""
+    block: list[tuple[int, str]] = []
+    room = BLOCK_CHARS
+    for r in items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null").toLocalIterator():
+        p = normal(r.p)
+        if len(p) > room and block:
+            yield block
+            block, room = [], BLOCK_CHARS
+        block.append((r.i, p))
+        room -= len(p)
+    yield block
+
+
+def _pass(src: DataFrame, index: Index | None, edits: int) -> tuple[DataFrame, Broadcast]:
+    """The leaks of one block's passages in all documents, and the broadcast that holds its index."""
+    shipped = src.sparkSession.sparkContext.broadcast(index and vars(index))  # plain arrays: tasks need no copy of the package
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = SimpleNamespace(**shipped.value) if shipped.value else None
+        for batch in batches:
+            for b in slabs(batch, "text") if ix else ():
+                texts, owner = _pieces([normal(t) for t in b.column("text").to_pylist()], int(ix.length.max()) + 64)
+                chars = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                doc, item, *rest = leaks_of(chars, ends, ix, edits)
+                ids = b.column("doc_id").take(pa.array(owner[doc]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ix.items[item]), *[pa.array(x.astype(np.int32)) for x in rest]], ["doc_id", "item_id", "shared", "score", "exact_words"])
+
+    return src.mapInArrow(run, FOUND), shipped
+
+
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = 10, edits: int = 1, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id, shared, score, exact_words): each document with the items of which it holds a stretch.
 
     shared: most q-grams shared in one band; score: best alignment; exact_words: longest run of whole words found unchanged on one diagonal.
-    items are a benchmark's few thousand passages; they come to the driver and go out in blocks of BLOCK_CHARS characters, one pass over the
-    documents for each block.
+    items go out in blocks of BLOCK_CHARS characters, one pass over the documents for each block.  A benchmark's few thousand passages are one block.  Where
+    there are more, the driver holds one block at a time: its index is shipped, its pass is written to the shared folder, and the index is dropped.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    room = BLOCK_CHARS
-    for r in items.select(F.col(item_id).cast("bigint").alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null").toLocalIterator():
-        p = normal(r.p)
-        if len(p) > room and blocks[-1]:
-            blocks.append([])
-            room = BLOCK_CHARS
-        blocks[-1].append((r.i, p))
-        room -= len(p)
-    spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    out = None
-    for block in blocks:
-        index = build_index(block, min_words, edits)
-        shipped = spark.sparkContext.broadcast(index and vars(index))  # plain arrays: tasks need no copy of the package
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            ix = SimpleNamespace(**shipped.value) if shipped.value else None
-            for batch in batches:
-                for b in slabs(batch, "text") if ix else ():
-                    texts, owner = _pieces([normal(t) for t in b.column("text").to_pylist()], int(ix.length.max()) + 64)
-                    chars = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-                    ends = np.cumsum([len(t) + 1 for t in texts])
-                    doc, item, *rest = leaks_of(chars, ends, ix, edits)
-                    ids = b.column("doc_id").take(pa.array(owner[doc]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(ix.items[item]), *[pa.array(x.astype(np.int32)) for x in rest]], ["doc_id", "item_id", "shared", "score", "exact_words"])
-
-        part = src.mapInArrow(run, FOUND)
-        out = part if out is None else out.unionAll(part)
+    out, waiting = None, None
+    for block in _blocks(items, item_id, passage):
+        if waiting is not None:
+            part, shipped = waiting
+            part = written(part)
+            shipped.destroy()
+            out = part if out is None else out.unionAll(part)
+        waiting = _pass(src, build_index(block, min_words, edits), edits)
+    part = waiting[0]
+    out = part if out is None else out.unionAll(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.max("score").alias("score"), F.max("exact_words").alias("exact_words"))

@@ -37,6 +37,15 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.join(labels, found.id == labels.soma_joinid, "left").select("cluster", "size", "nth", F.col("id").alias("soma_joinid"), "nearness", "label")
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row on all Ward clusters: vectors in them, clusters with more typical members than asked for, members named twice, and members of no cluster's cone."""
+    found = clusters.describe(_vectors(spark, d), DIMS)
+    of = found.groupBy("cluster").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("nearness").alias("least"))
+    sizes = of.agg(F.sum("size").alias("n_vectors"), F.count_if((F.col("n") > 3) | (F.col("n") > F.col("size"))).alias("too_many"), F.count_if(F.col("least") < 0.5).alias("far")).withColumn("one", F.lit(1))
+    twice = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice")).withColumn("one", F.lit(1))
+    return sizes.join(twice, "one").select("n_vectors", "too_many", "twice", "far")
+
+
 FIELDS = ("ncount_rna", "nfeature_rna", "percent.mt")
 P4_KEYS = ("experiment_id", "seurat_clusters", "field_name")
 MIN_VALUES = 50
@@ -74,6 +83,18 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.from_json("key", "experiment_id bigint, seurat_clusters bigint, field_name string").alias("k"), "n", "pct", "value", "low", "high").select("k.*", "n", "pct", "value", "low", "high")
 
 
+def p4_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Each estimate against exact counts: whether its rank lies within the bounds given, and no farther from the wanted one than 1 % of the values above (one at least)."""
+    values = _measurements(spark, d)
+    got = p4_percentiles(spark, d)
+    estimates = got.withColumnRenamed("value", "estimate")
+    counts = values.join(estimates, list(P4_KEYS)).groupBy(*P4_KEYS, "n", "pct", "low", "high").agg(F.count_if(F.col("value") < F.col("estimate")).alias("less"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("pct") * F.col("n") / 100)).cast("bigint")
+    off = F.greatest(F.col("less") + 1 - wanted, wanted - F.col("upto"), F.lit(0))
+    bounded = (F.col("low") <= F.col("upto")) & (F.col("high") >= F.col("less") + 1)
+    return counts.select(*P4_KEYS, "pct", "n", bounded.alias("bounded"), (off <= F.greatest(F.lit(1.0), 0.01 * (F.col("n") - wanted + 1))).alias("near"))
+
+
 CAPACITY = 8192
 
 
@@ -91,6 +112,19 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(_placed(spark, d), CAPACITY)
 
 
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row on all containers: texts and tokens placed, texts split, containers too full, texts not placed whole, and whether at most 1 % (and a container) of room is unused."""
+    placed = _placed(spark, d)
+    of_doc = placed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.max("n_pieces").alias("n_pieces"))
+    want = table(spark, d, "documents").where("text is not null").select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("tokens"))
+    docs = want.join(of_doc, "doc_id", "full").agg(
+        F.count("placed").alias("n_docs"), F.sum("placed").alias("tokens"), F.count_if(F.col("n_pieces") > 1).alias("n_split"),
+        F.count_if(~(F.col("placed").eqNullSafe(F.col("tokens")) & (F.col("pieces") == F.col("n_pieces")) & (F.col("pieces") == F.ceil(F.col("tokens") / CAPACITY)))).alias("wrong"),
+    )
+    boxes = packing.containers(placed, CAPACITY).agg(F.count_if(F.col("unused") < 0).alias("too_full"), F.count(F.lit(1)).alias("n_containers"))
+    return docs.withColumn("one", F.lit(1)).join(boxes.withColumn("one", F.lit(1)), "one").select("n_docs", "tokens", "n_split", "wrong", "too_full", (F.col("n_containers") <= 1 + 1.01 * F.col("tokens") / CAPACITY).alias("well_filled"))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items of which they hold a stretch of ten words, up to one edit, and how much of it."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -113,7 +147,7 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumns({f"{rule}_rate": F.round(f"{rule}_rate", 6) for rule in repetition.RULES})
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p5_found, p5_clusters, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_hosts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p4_checked, p5_found, p5_clusters, p5_checked, p7_found, p7_containers, p7_checked, p8_found, p8_leaks, p9_found, p9_hosts)}
 
 _VALUES = r"""
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY soma_joinid ORDER BY loaded_at DESC) AS nth FROM obs WHERE soma_joinid IS NOT NULL) WHERE nth = 1),
@@ -176,6 +210,12 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)""",
 hit AS (SELECT DISTINCT doc_id, pos + k AS place FROM r JOIN (SELECT doc_id, run FROM r GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, run) CROSS JOIN (SELECT unnest(range(6)) AS k))
 SELECT doc_id FROM (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id) JOIN w USING (doc_id) WHERE n >= 0.3 * len(w)""",
     "p7_found": "SELECT doc_id FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) + 1 > 8192",
+    "p5_checked": """WITH last AS (SELECT soma_dim_0 AS id, soma_data AS v FROM (SELECT *, row_number() OVER (PARTITION BY soma_dim_0, soma_dim_1 ORDER BY written_at DESC, soma_data DESC) AS nth
+  FROM obsm_pca WHERE soma_dim_0 IS NOT NULL AND soma_dim_1 BETWEEN 0 AND 49) WHERE nth = 1)
+SELECT count(DISTINCT id) AS n_vectors, 0 AS too_many, 0 AS twice, 0 AS far FROM last WHERE v IS NOT NULL AND NOT isnan(v) AND v <> 0""",
+    "p7_checked": """SELECT count(*) AS n_docs, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS tokens, count(*) FILTER (octet_length(encode(text)) + 1 > 8192) AS n_split, 0 AS wrong, 0 AS too_full, true AS well_filled
+FROM documents WHERE text IS NOT NULL""",
+    "p4_checked": f"""WITH {_VALUES} SELECT DISTINCT experiment_id, seurat_clusters, field_name, pct, n, true AS bounded, true AS near FROM ranked CROSS JOIN (SELECT unnest([50, 90, 99]) AS pct)""",
     "p4_found": f"""WITH {_VALUES} SELECT experiment_id, seurat_clusters, r.field_name, pct FROM ranked r JOIN percentile_limits l ON l.field_name = r.field_name
 WHERE n >= 50 AND nth = greatest(1, (pct * n + 99) // 100) AND v >= limit_value""",
 }
