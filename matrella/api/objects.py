@@ -9,12 +9,13 @@ import math
 import uuid
 from collections.abc import Callable, Iterator, Mapping, MutableMapping, Sequence
 from contextlib import suppress
+from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrameWriter, SparkSession
 from pyspark.sql import DataFrame as Frame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as arrow_type
@@ -23,7 +24,7 @@ from matrella.errors import DoesNotExistError, MatrellaError
 from matrella.functions.coords import MAX_BROADCAST, check_coords, points_of, select_coords, slice_bounds
 from matrella.functions.filter_lang import columns_of, compile_tree, parse, parse_r
 from matrella.operators import core
-from matrella.operators.assemble import Compressed, rows_per_block
+from matrella.operators.assemble import Compressed, represented, rows_per_block
 from matrella.store import types
 from matrella.store.log import Log, State, now_ms
 
@@ -218,6 +219,29 @@ def _check_read(batch_size: object, partitions: object) -> None:
         raise ValueError("partitioned reads are not supported")
 
 
+@dataclass(frozen=True)
+class WriteOptions:
+    """How the files of a fragment are written."""
+
+    compression: str = "zstd"
+    level: int | None = None
+    row_group_bytes: int | None = None
+    max_records: int = 100_000_000  # rows of one file
+    max_file_bytes: int | None = None  # bytes of one file before compression, by the widths of the columns' types
+
+    def applied(self, writer: DataFrameWriter, struct: types.T.StructType) -> DataFrameWriter:
+        most = self.max_records
+        if self.max_file_bytes:
+            most = min(most, max(1, self.max_file_bytes // sum(_WIDTH.get(f.dataType.simpleString(), 16) for f in struct)))
+        writer = writer.option("compression", self.compression).option("maxRecordsPerFile", most)
+        if self.level is not None:
+            writer = writer.option(f"parquet.compression.codec.{self.compression}.level", self.level)
+        return writer if self.row_group_bytes is None else writer.option("parquet.block.size", self.row_group_bytes)
+
+
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "bigint": 8, "double": 8, "timestamp_ntz": 8}
+
+
 # --- arrays ----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +258,8 @@ def _jsonable(value: object) -> object:
 class StoredArray(StoredObject):
     """An object whose rows are fragments of Parquet files, latest row of a key first."""
 
+    write_options = WriteOptions()
+
     @property
     def schema(self) -> pa.Schema:
         return pa.schema([types.arrow_field(c) for c in self.state.schema])
@@ -406,7 +432,7 @@ class StoredArray(StoredObject):
         order = df.withColumn(TS, F.lit(ts).cast("bigint")).withColumn(FRAG, F.lit(name))
         clustered = order if s.options.get("unsorted") else order.repartitionByRange(*keys).sortWithinPartitions(*keys)
         # what is wrong shows in the data written, which lies apart until it is found right; nothing is visible to readers before the log entry
-        clustered.write.option("compression", "zstd").option("maxRecordsPerFile", MAX_RECORDS).parquet(out)
+        self.write_options.applied(clustered.write, order.schema).parquet(out)
         got = self.spark.read.schema(order.schema).parquet(out).agg(*stats).first()
         try:
             self._check_written(s, got, within)
@@ -454,7 +480,7 @@ class StoredArray(StoredObject):
         keys = [f"`{k}`" for k in s.index]
         # apart from the written fragments: whoever follows those has seen these rows
         df = self.snapshot().withColumn(TS, F.lit(ts).cast("bigint")).withColumn(FRAG, F.lit(name))
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(f"{self.uri}/base/{name}")
+        self.write_options.applied(df.repartitionByRange(*keys).sortWithinPartitions(*keys).write, df.schema).parquet(f"{self.uri}/base/{name}")
         got = self.spark.read.schema(df.schema).parquet(f"{self.uri}/base/{name}").agg(F.count(F.lit(1)).alias("n"), *[f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for f, n in ((F.min, "low"), (F.max, "high"))]).first()
         fragment = {"id": name, "dir": "base", "ts": ts, "rows": got.n, "low": [_jsonable(got[f"low{k}"]) for k in range(len(keys))], "high": [_jsonable(got[f"high{k}"]) for k in range(len(keys))]}
         old = {f["id"]: f.get("dir", "frag") for f in s.fragments}
@@ -530,8 +556,6 @@ class StoredArray(StoredObject):
 
 
 MAX_LEVELS = 32_767
-#: rows of one file of a fragment
-MAX_RECORDS = 100_000_000
 
 
 class DataFrame(StoredArray):
@@ -734,6 +758,12 @@ class SparseRead:
     def tables(self) -> TableRead:
         return TableRead(self.df)
 
+    def matrix(self, as_: str = "T") -> object:
+        """The cells in memory as sorted triplets ("T"), compressed by rows ("R") or by columns ("C"), in the array's shape."""
+        if self.array.ndim != 2:
+            raise ValueError("only matrices have such forms")
+        return represented(self.df.toArrow(), self.array.shape, as_)
+
     def coos(self, shape: Sequence[int] | None = None) -> Iterator[pa.SparseCOOTensor]:
         shape = tuple(shape or self.array.shape)
         if len(shape) != self.array.ndim:
@@ -878,6 +908,14 @@ class Blockwise:
                 order = np.lexsort((j, i) if self.axis == 0 else (i, j))
                 yield (i[order], j[order], d[order], shape), ids
 
+    def matrices(self, as_: str = "T") -> Iterator[tuple[object, tuple]]:
+        """(block, joinids) in the form asked for: triplets ("T"), by rows ("R") or by columns ("C")."""
+        if as_ == ("R" if self.axis == 0 else "C"):
+            yield from self.compressed()
+        else:
+            for t, ids in self.tables():
+                yield represented(t, tuple(self.array.shape[k] if k in self.keep else len(ids[k]) for k in range(2)), as_), ids
+
     def scipy(self, compress: bool = True) -> Iterator[tuple[object, tuple]]:
         """As `compressed`, as matrices of the sparse library where it is installed."""
         for block, ids in self.compressed(compress):
@@ -928,6 +966,11 @@ class DenseNDArray(NDArray):
             out = np.ascontiguousarray(out.T)
         return pa.Tensor.from_numpy(out)
 
+    def read_table(self, coords: object = (), *, result_order: str = "row-major") -> pa.Table:
+        """The cells of the box, absent ones filled, as a table in the order asked for."""
+        dims = self.state.index
+        return core.in_order(self.read_frame(coords), dims, result_order).select(*dims, "soma_data").toArrow()
+
     def write(self, coords: object, values: object) -> DenseNDArray:
         values = values.to_numpy() if isinstance(values, pa.Tensor) else np.asarray(values)
         self.need("w")

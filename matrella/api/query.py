@@ -17,6 +17,9 @@ from matrella.operators import core
 from matrella.operators.assemble import Compressed, IntIndexer, Labelled, compress, dense_rows
 
 
+MAX_WIDTH = 1 << 20
+
+
 @dataclass(frozen=True)
 class AxisQuery:
     """What is wanted of one axis: coordinates and a value filter."""
@@ -225,8 +228,11 @@ class ExperimentAxisQuery:
         back = id_name or frame.metadata.get("dataframe_index_name")
         return pdf.set_index(back) if back in pdf.columns else pdf
 
-    def to_bundle(self, X_name: str | None = "", *, column_names: dict[str, Sequence[str]] | None = None, X_layers: Sequence[str] = (), obsm_layers: Sequence[str] = (), obsp_layers: Sequence[str] = (), varm_layers: Sequence[str] = (), varp_layers: Sequence[str] = (), drop_levels: bool = False, obs_id_name: str | None = None, var_id_name: str | None = None) -> Bundle:
-        """Everything the query selects, in memory.  X_name: unset takes `data` if there is such a layer, None takes none."""
+    def to_bundle(self, X_name: str | None = "", *, column_names: dict[str, Sequence[str]] | None = None, X_layers: Sequence[str] = (), obsm_layers: Sequence[str] = (), obsp_layers: Sequence[str] = (), varm_layers: Sequence[str] = (), varp_layers: Sequence[str] = (), drop_levels: bool = False, obs_id_name: str | None = None, var_id_name: str | None = None, width_hints: dict[str, int] | None = None) -> Bundle:
+        """Everything the query selects, in memory.  X_name: unset takes `data` if there is such a layer, None takes none.
+
+        An embedding is as wide as its hint says, else as its shape, or, where that is wider than MAX_WIDTH, as the columns written.
+        """
         if X_name == "":
             X_name = "data" if "X" in self.ms and "data" in self.ms["X"] else None
         if X_name is None and X_layers:
@@ -248,7 +254,10 @@ class ExperimentAxisQuery:
 
             def embedding(slot: str, name: str, axis: str) -> np.ndarray:
                 layer = self._layer(slot, name)
-                return dense_rows(self._slice(slot, name, (axis,)).concat(), ids[axis], layer.shape[1], layer.type.to_pandas_dtype())
+                width = (width_hints or {}).get(name) or layer.shape[1]
+                if width > MAX_WIDTH:
+                    width = 0 if (domain := layer.non_empty_domain()) is None else domain[1][1] + 1
+                return dense_rows(self._slice(slot, name, (axis,)).concat(), ids[axis], width, layer.type.to_pandas_dtype())
 
             x = pool.submit(matrix, "X", X_name, ("obs", "var")) if X_name is not None else None
             many = {

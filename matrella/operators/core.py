@@ -1,6 +1,7 @@
 """The small algebra of annotated matrices as DataFrame compositions.
 
-Every function takes and returns lazy frames; nothing is collected.  A matrix is a COO frame (soma_dim_0, soma_dim_1, ..., soma_data); an axis is a
+Every function takes and returns frames; no rows come to the driver.  All are lazy but `numbered` and what builds on it, which write the keys out once and count
+them, and `number_new`, which asks for the largest id.  A matrix is a COO frame (soma_dim_0, soma_dim_1, ..., soma_data); an axis is a
 frame with an integer id.  Null keys never match a selection or a join.
 """
 

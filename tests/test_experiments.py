@@ -68,6 +68,7 @@ def test_axis_query(uri):
         assert q.obs(["obs_id"]).concat().column_names == ["obs_id", "cell_type"]
         assert q.obsm("pca").concat().num_rows == 8 and q.obsp("nn").concat().num_rows == 8
         b = q.to_bundle(obsm_layers=["pca"], obsp_layers=["nn"], drop_levels=True)
+        assert q.to_bundle(obsm_layers=["pca"], width_hints={"pca": 3}).obsm["pca"].shape == (4, 3)
         assert b.X.shape == (4, 3) and b.obs["cell_type"].cat.categories.tolist() == ["B cell"] and b.obsm["pca"].shape == (4, 2)
         with pytest.raises(KeyError):
             q.X("zzz")

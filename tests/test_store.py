@@ -366,3 +366,24 @@ def test_blocks_in_one_job(spark, tmp_path):
     assert sorted(map(tuple, sums.collect())) == [(0, 4), (2, 4)]
     with pytest.raises(ValueError):
         next(a.read(([1, 1],)).blockwise(0).tables())
+
+
+def test_forms_of_reads(spark, tmp_path):
+    from matrella.api.objects import WriteOptions
+
+    a = SparseNDArray.create(f"{tmp_path}/a", type=pa.int32(), shape=(3, 4))
+    a.write_options = WriteOptions(compression="snappy", row_group_bytes=1 << 20, max_file_bytes=40)
+    a.write(pa.table({"soma_dim_0": [2, 0, 1], "soma_dim_1": [1, 3, 0], "soma_data": pa.array([5, 6, 7], pa.int32())}))
+    files = [p for p in (tmp_path / "a" / "frag").rglob("*.parquet")]
+    assert len(files) == 3 and all(".snappy." in p.name for p in files)
+    read = a.reopen("r").read()
+    assert [x.tolist() for x in read.matrix("T")] == [[0, 1, 2], [3, 0, 1], [6, 7, 5]]
+    assert read.matrix("R").kind == "csr" and read.matrix("C").to_numpy().tolist() == read.matrix("R").to_numpy().tolist()
+    with pytest.raises(ValueError):
+        read.matrix("X")
+    for as_, kind in (("R", "csr"), ("C", "csc")):
+        assert [m.kind for m, _ in read.blockwise(0, size=2).matrices(as_)] == [kind, kind]
+    assert [m[2].tolist() for m, _ in read.blockwise(0, size=2).matrices("T")] == [[6, 7], [5]]
+    d = DenseNDArray.create(f"{tmp_path}/d", type=pa.int32(), shape=(2, 2))
+    d.write((0, slice(0, 1)), np.array([[1, 2]], "i4"))
+    assert d.reopen("r").read_table(result_order="column-major")["soma_data"].to_pylist() == [1, 0, 2, 0]
