@@ -330,8 +330,7 @@ def linked_groups(vectors: DataFrame, dims: int, least: float = 0.9) -> DataFram
     tried = cut(doubtful.where("fellow and unit <> to").groupBy("unit", "leaf").agg(F.min_by("id", F.struct("angle", "id")).alias("id")).select("id", "leaf").distinct())
     loose = units.where(F.col("angle") > half).select(F.lit(-1).cast("bigint").alias("grp"), "id", "vec", F.lit(True).alias("is_q"), F.lit(True).alias("is_d"))
     among = by_unit(in_blocks(loose.unionAll(against(tried)), _linked(dims, least), "a bigint, b bigint"))
-    edges = cut(sure.unionAll(among))
-    joined = components(edges)
+    joined = cut(components(sure.unionAll(among)))
 
     # the exact rest: only where a vector and a clique are not yet in one component
     def top(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -339,8 +338,9 @@ def linked_groups(vectors: DataFrame, dims: int, least: float = 0.9) -> DataFram
 
     doubt = top(top(doubtful, "unit", "from_top"), "to", "to_top").where("from_top <> to_top")
     doubt = cut(doubt.select("id", "leaf").distinct())
-    more = by_unit(in_blocks(against(doubt), _linked(dims, least), "a bigint, b bigint"))
-    joined = components(edges.unionAll(more))
+    more = cut(by_unit(in_blocks(against(doubt), _linked(dims, least), "a bigint, b bigint")))
+    if not more.isEmpty():  # the components found so far are stars already: few rounds join them
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     keys = top(units.select("id", "vec", "unit"), "unit", "cluster_key").select("vec", "cluster_key")
     rows = vectors.join(keys, "vec").select("cluster_key", "id")
