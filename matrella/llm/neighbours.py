@@ -194,7 +194,7 @@ def _best_of_block(dims: int, k: int, least: float) -> Callable[[pa.Table], pa.T
     return run
 
 
-def hashes_for(n: int, dims: int, rows: int = 1024) -> int:
+def hashes_for(n: int, dims: int, rows: int = 8192) -> int:
     """How many hashes name a bucket: so many that buckets of an even spread hold about `rows` vectors at most, one at least."""
     width = 2 << (dims - 1).bit_length()
     return max(1, math.ceil(math.log(max(n, 1) / rows, width)))
