@@ -396,6 +396,10 @@ class StoredArray(StoredObject):
         table = pa.table(cols, names=values.column_names)
         return self.spark.createDataFrame(table) if table.num_rows else self.spark.createDataFrame([], types.struct([c for c in self.state.schema if c["name"] in table.column_names]))
 
+    def _completed(self, df: Frame) -> Frame:
+        """df with the columns that the object works out by itself."""
+        return df
+
     def _write(self, df: Frame, within: Sequence[tuple] | None = None, **note: object) -> None:
         """Write df as one fragment, its keys within the domain and the box that may be given; `note` goes into its log entry."""
         self.need("w")
@@ -632,7 +636,7 @@ class DataFrame(StoredArray):
         return self.count
 
     def write(self, values: object) -> DataFrame:
-        self._write(self._frame_of(values))
+        self._write(self._completed(self._frame_of(values)))
         return self
 
     def delete_cells(self, coords: object = (), *, value_filter: str | None = None) -> None:

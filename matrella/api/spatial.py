@@ -76,10 +76,8 @@ class GeometryDataFrame(DataFrame):
     def coordinate_space(self) -> CoordinateSpace:
         return _space(self)
 
-    def write(self, values: object) -> GeometryDataFrame:
-        df = with_envelope(self._frame_of(values), axes=self.coordinate_space.axis_names)
-        self._write(df)
-        return self
+    def _completed(self, df: Frame) -> Frame:
+        return with_envelope(df, axes=self.coordinate_space.axis_names)
 
     def from_outlines(self, values: Frame, outline: str = "soma_geometry") -> GeometryDataFrame:
         """Write polygons given as outlines [x0, y0, x1, y1, ...]."""

@@ -27,7 +27,7 @@ def append_stream(stream: Frame, array: StoredArray, checkpoint: str) -> DataStr
         target = cls.open(uri, "w", spark=spark)
         query = json.loads(target.log.files.read(f"{checkpoint.rstrip('/')}/metadata").strip().splitlines()[-1])["id"]
         if target.state.streams.get(query, -1) < number and not batch.isEmpty():
-            target._write(batch, stream=query, batch=number)
+            target._write(target._completed(batch), stream=query, batch=number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

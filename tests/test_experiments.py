@@ -349,3 +349,14 @@ def test_diagnostics(spark, uri):
         pass
     assert t["seconds"] >= 0
     diagnostics.set_log_level("error")
+
+
+def test_geometries_can_be_streamed(spark, tmp_path):
+    from matrella.streaming.appends import append_stream
+
+    g = GeometryDataFrame.create(f"{tmp_path}/g", schema=pa.schema([("quality", pa.float32())]))
+    rows = [(k, float(k), bytearray(point_wkb(k, k + 1))) for k in range(4)]
+    spark.createDataFrame(rows, "soma_joinid bigint, quality float, soma_geometry binary").write.parquet(f"{tmp_path}/src")
+    stream = spark.readStream.schema("soma_joinid bigint, quality float, soma_geometry binary").parquet(f"{tmp_path}/src")
+    append_stream(stream, g, f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(g.reopen("r").read_spatial_region([1, 0, 2, 9]).concat()["soma_joinid"].to_pylist()) == [1, 2]
