@@ -256,3 +256,17 @@ def test_found_packing(spark, sf):
     assert check_packed(sizes, queries._placed(spark, sf).collect(), 8192) > 0.9
     c = queries.p7_containers(spark, sf).collect()
     assert all(r.tokens + r.unused == 8192 for r in c)
+
+
+def test_documents_of_bad_hosts_are_suspect_earlier(spark):
+    """The host's verdict is joined to each document: at a quarter repeated, one of a bad host is suspect, one of another is not; neither fails."""
+    again = "one two three four five six seven"
+    bad = " ".join([again] * 9)
+    fresh = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    quarter = lambda k: f"{again} {fresh(k, 21)} {again} {fresh(k + 500, 21)}"
+    rows = [(k, bad, "spam") for k in range(30)] + [(100, quarter(100), "spam")] + [(200 + k, fresh(200 + k, 40), "fine") for k in range(30)] + [(300, quarter(300), "fine"), (301, bad, "fine"), (302, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in repetition.judged(df).collect()}
+    assert len(got) == len(rows) and got[100].host_bad and not got[300].host_bad
+    assert got[100].runs_suspect and not got[100].runs_fails and not got[300].runs_suspect and 0.2 <= got[300].run_share < 0.3
+    assert all(r.runs_suspect for r in got.values() if r.runs_fails) and got[301].runs_fails and not got[302].runs_suspect
