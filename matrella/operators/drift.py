@@ -258,7 +258,8 @@ def changes_in(lines: DataFrame, min_equal: int = 5) -> DataFrame:
         wanted = F.broadcast(wanted)
     value = lambda w: F.struct(w["file_id"].alias("file_id"), w["what"].alias("what"), w["field"].alias("field"), F.get("texts", F.array_position("names", w["field"]).cast("int") - 1).alias("value"))
     at = lines.where("names is not null and soma_joinid is not null").select("stream_id", F.col("file_id").alias("__file"), KEY, "names", "texts").join(wanted, (F.col("stream_id").eqNullSafe(F.col("__stream"))) & (F.col("__file") == F.col("__source")))
-    values = at.select("stream_id", KEY, F.explode(F.filter(F.transform("wanted", value), lambda v: v["value"].isNotNull())).alias("v")).select("stream_id", KEY, "v.*").distinct()
+    # written out: both sides of the join below start from one pass over the lines
+    values = cut(at.select("stream_id", KEY, F.explode(F.filter(F.transform("wanted", value), lambda v: v["value"].isNotNull())).alias("v")).select("stream_id", KEY, "v.*").distinct())
     old = values.where("what = 'gone'").select(*of_file, KEY, F.col("field").alias("old_field"), F.col("value").alias("old_value"))
     cur = values.where("what = 'new'").select(*of_file, KEY, F.col("field").alias("new_field"), F.col("value").alias("new_value"))
     met = old.join(cur, [*of_file, KEY]).groupBy(*of_file, KEY, "old_field", "new_field").agg(F.min((F.col("old_value") == F.col("new_value")).cast("int")).alias("equal"))
