@@ -193,6 +193,16 @@ class TableRead:
         parts = list(self._left)
         return pa.concat_tables(parts) if parts else self.df.limit(0).toArrow()
 
+    def over(self, work: Callable[[pa.Table], pa.Table], schema: str) -> Frame:
+        """Run `work` on each table of the whole read in a task, as they come: a lazy frame of any size, no rows come to the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield from work(pa.Table.from_batches([b])).to_batches()
+
+        return self.df.mapInArrow(run, schema)
+
 
 class BatchSize:
     """How large batches should be; only the default is supported, as partitions decide."""
@@ -753,6 +763,15 @@ class SparseNDArray(NDArray):
         self._delete(coords, None)
 
 
+#: Cells of one tensor that the driver is handed (24 MB of a matrix of 8-byte values).
+TENSOR_CELLS = 1 << 20
+
+
+def coo_tensor(t: pa.Table, dims: Sequence[str], shape: Sequence[int]) -> pa.SparseCOOTensor:
+    at = np.stack([t[n].to_numpy() for n in dims], axis=1)
+    return pa.SparseCOOTensor.from_numpy(t["soma_data"].to_numpy(), at, shape=tuple(shape))
+
+
 class SparseRead:
     """A lazy sparse read; the form of the result is chosen later."""
 
@@ -768,13 +787,30 @@ class SparseRead:
             raise ValueError("only matrices have such forms")
         return represented(self.df.toArrow(), self.array.shape, as_)
 
-    def coos(self, shape: Sequence[int] | None = None) -> Iterator[pa.SparseCOOTensor]:
+    def _shape(self, shape: Sequence[int] | None) -> tuple[int, ...]:
         shape = tuple(shape or self.array.shape)
         if len(shape) != self.array.ndim:
             raise ValueError(f"a shape of {len(shape)} dimensions for an array of {self.array.ndim}")
-        t = self.df.toArrow()
-        at = np.stack([t[n].to_numpy() for n in self.array.index_column_names], axis=1)
-        yield pa.SparseCOOTensor.from_numpy(t["soma_data"].to_numpy(), at, shape=shape)
+        return shape
+
+    def coos(self, shape: Sequence[int] | None = None) -> Iterator[pa.SparseCOOTensor]:
+        """Tensors of the whole shape one after the other, together all cells (none where there are no cells): up to TENSOR_CELLS in each, so that the driver never holds them all."""
+        shape, dims = self._shape(shape), self.array.index_column_names
+        parts: list[pa.Table] = []
+        have = 0
+        for t in arrow_batches(self.df):
+            while have + t.num_rows > TENSOR_CELLS:
+                yield coo_tensor(pa.concat_tables([*parts, t.slice(0, TENSOR_CELLS - have)]), dims, shape)
+                t, parts, have = t.slice(TENSOR_CELLS - have), [], 0
+            parts.append(t)
+            have += t.num_rows
+        if have:
+            yield coo_tensor(pa.concat_tables(parts), dims, shape)
+
+    def coos_over(self, work: Callable[[pa.SparseCOOTensor], pa.Table], schema: str, shape: Sequence[int] | None = None) -> Frame:
+        """Run `work` on tensors of the whole shape in tasks, together all cells; no cells come to the driver."""
+        shape, dims = self._shape(shape), self.array.index_column_names
+        return self.tables().over(lambda t: work(coo_tensor(t, dims, shape)), schema)
 
     def blockwise(self, axis: int | Sequence[int], *, size: int | None = None, reindex_disable_on_axis: int | Sequence[int] | None = None) -> Blockwise:
         axes = [axis] if isinstance(axis, int) else list(axis)

@@ -142,8 +142,13 @@ def stored_sparse_ordered(spark: SparkSession, d: str) -> Frame:
 
 @query(f"SELECT * FROM ({_XS})")
 def stored_coos(spark: SparkSession, d: str) -> Frame:
-    values, at = next(_x(spark, d).read().coos()).to_numpy()
-    return spark.createDataFrame(pa.table({"soma_dim_0": np.ascontiguousarray(at[:, 0]), "soma_dim_1": np.ascontiguousarray(at[:, 1]), "soma_data": values.reshape(-1)}))
+    """As tensors, taken apart again in the tasks that make them."""
+
+    def cells(tensor: pa.SparseCOOTensor) -> pa.Table:
+        values, at = tensor.to_numpy()
+        return pa.table({"soma_dim_0": np.ascontiguousarray(at[:, 0]), "soma_dim_1": np.ascontiguousarray(at[:, 1]), "soma_data": values.reshape(-1)})
+
+    return _x(spark, d).read().coos_over(cells, "soma_dim_0 bigint, soma_dim_1 bigint, soma_data bigint")
 
 
 @query(f"SELECT * FROM ({_XS})")

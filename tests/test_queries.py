@@ -34,6 +34,21 @@ def test_result_order_of_the_whole_matrix(spark, sf, duck, monkeypatch, name):
     assert rows(got) == rows(duck.execute(SQL[name]).fetch_df())
 
 
+@pytest.mark.parametrize("name", ["stored_coos"])
+def test_no_cells_come_to_the_driver(spark, sf, duck, monkeypatch, name):
+    """The whole matrix stays in tasks: a driver that can't fetch rows makes the same result."""
+
+    def refused(*_: object, **__: object) -> None:
+        raise MemoryError("rows fetched by the driver")
+
+    with monkeypatch.context() as m:
+        for way in ("toArrow", "toPandas", "toLocalIterator"):
+            m.setattr(type(spark.range(1)), way, refused)
+        got = Q[name](spark, sf)
+    got = got.toPandas()
+    assert len(got) > 5000 and rows(got) == rows(duck.execute(SQL[name]).fetch_df())
+
+
 def test_sql_only_for_queries():
     assert set(SQL) <= set(Q)
 

@@ -387,3 +387,24 @@ def test_forms_of_reads(spark, tmp_path):
     d = DenseNDArray.create(f"{tmp_path}/d", type=pa.int32(), shape=(2, 2))
     d.write((0, slice(0, 1)), np.array([[1, 2]], "i4"))
     assert d.reopen("r").read_table(result_order="column-major")["soma_data"].to_pylist() == [1, 0, 2, 0]
+
+
+def test_tensors_in_pieces(spark, tmp_path, monkeypatch):
+    """Tensors of a bounded number of cells, together all of them; a read of nothing has none."""
+    from matrella.api import objects
+
+    monkeypatch.setattr(objects, "TENSOR_CELLS", 4, raising=False)
+    a = SparseNDArray.create(f"{tmp_path}/a", type=pa.int32(), shape=(6, 3))
+    i, j = np.indices((6, 3))
+    a.write(pa.table({"soma_dim_0": i.ravel(), "soma_dim_1": j.ravel(), "soma_data": np.arange(18, dtype="i4")}))
+    a.reopen("r")
+    got = list(a.read().coos())
+    assert [t.non_zero_length for t in got] == [4, 4, 4, 4, 2] and all(t.shape == (6, 3) for t in got)
+    cells = [(*k, v) for t in got for v, k in zip(t.to_numpy()[0].ravel().tolist(), t.to_numpy()[1].tolist())]
+    assert sorted(cells) == [(k // 3, k % 3, k) for k in range(18)]
+    assert [t.non_zero_length for t in a.read((slice(0, 3),)).coos()] == [4, 4, 4]
+    assert not list(a.read(([],)).coos())
+    sums = a.read().coos_over(lambda t: pa.table({"n": [t.non_zero_length], "columns": [t.shape[1]]}), "n bigint, columns bigint", (6, 5)).collect()
+    assert sum(r.n for r in sums) == 18 and {r.columns for r in sums} == {5}
+    with pytest.raises(ValueError):
+        a.read().coos_over(lambda t: None, "n bigint", (4,))
