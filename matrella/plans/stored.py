@@ -153,8 +153,12 @@ def stored_coos(spark: SparkSession, d: str) -> Frame:
 
 @query(f"SELECT * FROM ({_XS})")
 def stored_series(spark: SparkSession, d: str) -> Frame:
-    """As a series by both dimensions."""
-    return spark.createDataFrame(pa.Table.from_pandas(X_as_series(_x(spark, d).read().tables().concat()).reset_index()))
+    """As series by both dimensions, made and taken apart in tasks table by table."""
+
+    def cells(t: pa.Table) -> pa.Table:
+        return pa.Table.from_pandas(X_as_series(t).reset_index(), preserve_index=False)
+
+    return _x(spark, d).read().tables().over(cells, "soma_dim_0 bigint, soma_dim_1 bigint, soma_data bigint")
 
 
 @query(f"SELECT soma_dim_0 // 700 AS block, soma_dim_0 % 700 AS i, soma_dim_1 AS j, soma_data FROM ({_XS})")

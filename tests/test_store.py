@@ -408,3 +408,5 @@ def test_tensors_in_pieces(spark, tmp_path, monkeypatch):
     assert sum(r.n for r in sums) == 18 and {r.columns for r in sums} == {5}
     with pytest.raises(ValueError):
         a.read().coos_over(lambda t: None, "n bigint", (4,))
+    series = a.read(result_order="column-major").tables().over(lambda t: pa.Table.from_pandas(X_as_series(t).reset_index(), preserve_index=False), "soma_dim_0 bigint, soma_dim_1 bigint, soma_data int")
+    assert sorted(map(tuple, series.collect())) == [(k // 3, k % 3, k) for k in range(18)]
