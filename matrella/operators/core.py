@@ -1,7 +1,7 @@
 """The small algebra of annotated matrices as DataFrame compositions.
 
 Every function takes and returns frames; no rows come to the driver.  All are lazy but `numbered` and what builds on it, which write the keys out once and count
-them, and `number_new`, which asks for the largest id.  A matrix is a COO frame (soma_dim_0, soma_dim_1, ..., soma_data); an axis is a
+them, `in_sequence`, which writes the rows out once, and `number_new`, which asks for the largest id.  A matrix is a COO frame (soma_dim_0, soma_dim_1, ..., soma_data); an axis is a
 frame with an integer id.  Null keys never match a selection or a join.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matrella.functions.filter_lang import compile_filter
-from matrella.session import cut
+from matrella.session import cut, written
 
 #: Up to so many keys are numbered by one sort task (1 MB of ids), and so many lie in a range; see `numbered`.
 NUMBERING_STEP = 1 << 17
@@ -83,6 +83,22 @@ def numbered(keys: DataFrame, by: str | Sequence[str], name: str, start: int = 0
     return out.withColumn(name, (F.col("__within") + F.col("__before") + F.lit(start)).cast("bigint")).drop("__range", "__within", "__before")
 
 
+def in_sequence(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """df with the place of each row in the order in which df gives its rows (say, after `in_order`), from `start`.
+
+    The rows are written out once, each with its partition and its place there, so that the order stays as it is when tasks are repeated; places are shifted by the
+    sizes of the partitions before (one row a partition, of which the driver keeps track anyway).  No row is sorted again.
+    """
+    bits = 33  # of the place within a partition
+    rows = written(df.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", bits)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = rows.withColumn("__part", part).join(F.broadcast(before), "__part")
+    place = F.col("__id") - F.shiftleft("__part", bits) + F.col("__before") + F.lit(start)
+    return out.withColumn(name, place.cast("bigint")).drop("__id", "__part", "__before")
+
+
 def ordinals(ids: DataFrame, key: str = "soma_joinid", name: str = "ordinal") -> DataFrame:
     """(key, ordinal): the place of each distinct non-null key in ascending order, from 0."""
     return numbered(ids.select(F.col(key).cast("bigint").alias(key)).where(F.col(key).isNotNull()).distinct(), key, name)

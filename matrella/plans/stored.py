@@ -135,9 +135,8 @@ def stored_sparse_read(spark: SparkSession, d: str) -> Frame:
 
 @query(f"SELECT *, row_number() OVER (ORDER BY soma_dim_1, soma_dim_0) - 1 AS nth FROM ({_XS})")
 def stored_sparse_ordered(spark: SparkSession, d: str) -> Frame:
-    """Cells in column-major order, as they arrive table by table."""
-    t = pa.concat_tables(_x(spark, d).read(result_order="column-major").tables())
-    return spark.createDataFrame(t.append_column("nth", pa.array(np.arange(t.num_rows))))
+    """Cells in column-major order, with the place at which each arrives."""
+    return core.in_sequence(_x(spark, d).read(result_order="column-major").df, "nth")
 
 
 @query(f"SELECT * FROM ({_XS})")

@@ -175,3 +175,15 @@ def test_new_labels_follow_their_first_place(spark):
     known = spark.createDataFrame([("b", 7)], "label string, soma_joinid bigint")
     inc = spark.createDataFrame([("z", 0, 4), ("a", 0, 9), ("z", 0, 1), ("b", 0, 0), (None, 0, 0), ("c", 1, 0)], "label string, input int, pos bigint")
     assert sorted(map(tuple, core.number_new(known, inc, "label", place=["input", "pos"]).collect())) == [("a", 9, True), ("b", 7, False), ("c", 10, True), ("z", 8, True)]
+
+
+def test_rows_in_sequence(spark):
+    """Places follow the order of the rows over all partitions, empty ones among them."""
+    parts = spark.range(0, 100, 1, 3).union(spark.range(0, 9, 1, 2).where("id < 0")).union(spark.range(100, 130, 1, 4)).withColumnRenamed("id", "k")
+    assert sorted(map(tuple, core.in_sequence(parts, "nth", 3).collect())) == [(k, k + 3) for k in range(130)]
+    df = spark.range(0, 5000, 1, 7).selectExpr("id * 37 % 5000 AS k")
+    for places in (4, 9):
+        ordered = df.repartitionByRange(places, "k").sortWithinPartitions("k")
+        assert sorted(map(tuple, core.in_sequence(ordered, "nth").collect())) == [(k, k) for k in range(5000)]
+    assert sorted(map(tuple, core.in_sequence(core.in_order(df, ["k"], "row-major"), "nth").collect())) == [(k, k) for k in range(5000)]
+    assert core.in_sequence(df.where("k < 0"), "nth").collect() == []

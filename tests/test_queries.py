@@ -34,7 +34,7 @@ def test_result_order_of_the_whole_matrix(spark, sf, duck, monkeypatch, name):
     assert rows(got) == rows(duck.execute(SQL[name]).fetch_df())
 
 
-@pytest.mark.parametrize("name", ["stored_coos", "stored_series"])
+@pytest.mark.parametrize("name", ["stored_coos", "stored_series", "stored_sparse_ordered"])
 def test_no_cells_come_to_the_driver(spark, sf, duck, monkeypatch, name):
     """The whole matrix stays in tasks: a driver that can't fetch rows makes the same result."""
 
